@@ -73,7 +73,7 @@ def rule_rows(batches, min_repeat: int, max_covered: float, max_repeat: int):
         yield made(texts)
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = 10, max_covered: float = 0.15, max_repeat: int = 100) -> DataFrame:
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = 10, max_covered: float = 0.2, max_repeat: int = 100) -> DataFrame:
     """One row per document: the counts, base_failed, kept, and the spans (first and last word) of repeats.
 
     A null text has no word and is rejected, as is any of fewer than ten words. Null ids are returned as they
@@ -99,6 +99,6 @@ def keep_rows(batches, at: int, min_repeat: int, max_covered: float, max_repeat:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text", min_repeat: int = 10, max_covered: float = 0.15, max_repeat: int = 100) -> DataFrame:
+def keep_good(docs: DataFrame, *, text_col: str = "text", min_repeat: int = 10, max_covered: float = 0.2, max_repeat: int = 100) -> DataFrame:
     """The documents that quality_rules keeps, with all their columns, in one pass without a join."""
     return docs.mapInArrow(task("repetition:keep_rows", docs.columns.index(text_col), min_repeat, max_covered, max_repeat), docs.schema)
