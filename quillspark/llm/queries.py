@@ -19,7 +19,7 @@ OP1 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN []::VARCHAR[] WHEN len(a) < 3 THEN [array_to_string(a, ' ')] ELSE list_transform(generate_series(1, len(a) - 2), i -> a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]) END) AS g FROM w
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN []::VARCHAR[] WHEN len(a) < 3 THEN [array_to_string(a, ' ')] ELSE list_transform(generate_series(1, len(a) - 2), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]) END) AS g FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
@@ -31,11 +31,126 @@ LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a) k USING (d
 """
 
 
+def op2_sentencepiece(spark, sf_dir):
+    from quillspark.llm.sentencepiece_bpe import decode, encode
+
+    coded = decode(encode(_read(spark, sf_dir, "documents")))
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("lossless"))
+
+
+def op3_url_filter(spark, sf_dir):
+    from quillspark.llm.url_filter import judge
+
+    return judge(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3 = r"""
+WITH p AS (
+  SELECT page_id,
+    CASE WHEN contains(url, '://') THEN translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages
+), r(h, p, rule, verdict) AS (
+  VALUES ('com', '/', 'com/', 'allow'), ('example.com', '/en/', 'example.com/en/', 'block'), ('www.example.com', '/en/', 'www.example.com/en/', 'allow'), ('net', '/es/', 'net/es/', 'block'), ('net', '/fr/', 'net/fr/', 'block')
+), b(h) AS (
+  VALUES ('ads-track.example.com'), ('adult-x.example.com'), ('casino-win.example.net'), ('cheap-pills.example.net'), ('free-bets.example.net'), ('spam-farm.example.org')
+), m AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id
+)
+SELECT p.page_id, p.host, p.path, m.rule,
+  coalesce(m.verdict, CASE WHEN EXISTS (SELECT 1 FROM b WHERE p.host = b.h OR ends_with(p.host, '.' || b.h)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN m USING (page_id)
+"""
+
+
+def op4_nearest_neighbours(spark, sf_dir):
+    from quillspark.llm.ann_forest import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+def op5_packing(spark, sf_dir):
+    from quillspark.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op6_html_extraction(spark, sf_dir):
+    from quillspark.llm.html_text import extract
+
+    return extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op7_chat_formatting(spark, sf_dir):
+    from quillspark.llm.chat import format_messages
+
+    return format_messages(_read(spark, sf_dir, "conversations"))
+
+
+# The tables hold no tool calls: there the result is each message as canonical JSON.
+OP7 = r"""
+SELECT conv_id, turn, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_faults,
+  '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS message_json
+FROM conversations
+"""
+
+
+def op8_quality_rules(spark, sf_dir):
+    from quillspark.llm.repetition import quality_rules
+
+    return quality_rules(_read(spark, sf_dir, "documents")).drop("spans", "longest_repeat")
+
+
+# A repeat of ten words or more is a repeated ten-word window; one of more than a hundred is a repeated 101-word window.
+OP8 = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS a FROM documents
+), k AS (
+  SELECT doc_id, n, i, array_to_string(a[i : i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, a, n, unnest(generate_series(1, len(a) - n + 1)) AS i FROM w CROSS JOIN (VALUES (5), (10), (101)) v(n))
+), f AS (SELECT doc_id, n, i FROM k QUALIFY count(*) OVER (PARTITION BY doc_id, n, g) > 1),
+c AS (
+  SELECT doc_id, count(DISTINCT p) FILTER (n = 5) AS r5, count(DISTINCT p) FILTER (n = 10) AS r10
+  FROM (SELECT doc_id, n, unnest(generate_series(i, i + n - 1)) AS p FROM f WHERE n < 101) GROUP BY doc_id
+), l AS (SELECT DISTINCT doc_id FROM f WHERE n = 101),
+d AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id
+), x AS (
+  SELECT doc_id, len(a)::BIGINT AS n_words, length(array_to_string(a, ''))::BIGINT AS word_chars,
+    (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+    coalesce(r5, 0)::BIGINT AS n_repeat_words, coalesce(r10, 0)::BIGINT AS covered_words, l.doc_id IS NOT NULL AS very_long
+  FROM w LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id) LEFT JOIN l USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND covered_words <= 0.2 * n_words AND NOT very_long AS kept
+FROM x
+"""
+
+
+def op9_secret_scan(spark, sf_dir):
+    from quillspark.llm.secrets import KINDS, scan, written
+
+    found = scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    counts = {f"n_{name}": of(i) for i, name in enumerate(KINDS)}
+    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("secrets")).alias("spans"))
+
+
+def op10_token_store(spark, sf_dir):
+    from quillspark.llm.token_store import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents")).select("doc_id", "start", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict:
-    return {
-        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-    }
+    listed = (op1_ngram_jaccard_join, op2_sentencepiece, op3_url_filter, op4_nearest_neighbours, op5_packing, op6_html_extraction, op7_chat_formatting, op8_quality_rules, op9_secret_scan, op10_token_store)
+    return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1}
+    return {"op1_ngram_jaccard_join": OP1, "op3_url_filter": OP3, "op7_chat_formatting": OP7, "op8_quality_rules": OP8}

@@ -1,5 +1,4 @@
 import random
-import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -131,4 +130,3 @@ def test_sum_of_squares_places_at_the_best_level():
                 best.append((int((after**2).sum()), -int(h)))
         assert packer.level(size) == -min(best)[1]
         packer.add((i, 0, size, np.zeros(size, "<u4")))
-    assert zlib.crc32(b"") == 0
