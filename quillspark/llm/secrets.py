@@ -53,7 +53,7 @@ def labelled_samples(docs: DataFrame, text_col: str, rows: int) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Words of texts that match no pattern: a text with a secret isn't a sample of ordinary words.
     clean = docs.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select(text.alias("t")).where(reduce(lambda a, b: a & b, (~F.rlike("t", F.lit(p)) for p in (ASSIGN, ACCESS, HEX))))
-    words = F.slice(F.regexp_extract_all("t", F.lit(r"[A-Za-z]{3,}"), F.lit(0)), 1, 400)
+    words = F.regexp_extract_all("t", F.lit(r"[A-Za-z]{3,}"), F.lit(0))
     pairs = clean.select(F.posexplode(F.transform(words, lambda w, i: F.struct(w.alias("a"), F.coalesce(F.get(words, i + 1), w).alias("b")))).alias("i", "p")).select("p.a", "p.b")
     a, b = F.col("a"), F.col("b")
     ordinary = pairs.select(F.explode(F.array(a, F.lower(F.concat(a, F.lit("_"), b)), F.concat(F.initcap(a), F.initcap(b)), F.lower(F.concat_ws("-", a, b)), F.upper(F.concat_ws("_", a, b)), F.concat(F.lower(a), F.lit("_"), F.length(b).cast("string")))).alias("value"))
@@ -87,7 +87,7 @@ def ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, at(i) * len(ALPHABET) + at(i + 1)))
 
 
-def scan(docs: DataFrame, *, text_col: str = "text", out_col: str = "secrets", sample_rows: int = 2_000, least: float = 12.0, per_letter: float = 0.6, model: list[float] | None = None) -> DataFrame:
+def scan(docs: DataFrame, *, text_col: str = "text", out_col: str = "secrets", sample_rows: int = 300, least: float = 12.0, per_letter: float = 0.6, model: list[float] | None = None) -> DataFrame:
     """docs with an array of spans (start, kind, end; kind an index of KINDS) in out_col, sorted by start, then kind.
 
     Pattern matches come first; a Markov span is kept where it overlaps none of them. The models are trained on
