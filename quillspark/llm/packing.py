@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._spark import task
-from quillspark.llm.tokens import default_tokenizer, word_ids
+from quillspark.llm.tokens import default_tokenizer, encoded, word_ids
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
@@ -110,8 +110,8 @@ def pack_rows(batches, path: str, end_id: int, window: int):
 
     for batch in batches:
         ready, held = [], 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = np.concatenate([words.encode(text).astype("<u4"), end])
+        for doc_id, found in encoded(batch, words):
+            ids = np.concatenate([found.astype("<u4"), end])
             ready += packer.add((doc_id, 0, len(ids), ids))
             held += len(ids)
             if held > 2_000_000:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm._spark import scratch, task
-from quillspark.llm.tokens import default_tokenizer, word_ids
+from quillspark.llm.tokens import default_tokenizer, encoded, word_ids
 
 BLOCK, RESTART, MAGIC, FOOTER = 64 << 10, 16, b"QSSTABL1", struct.Struct("<QQQQQQI4x8s")
 BITS, PROBES = 10, 7
@@ -194,13 +194,13 @@ def write_shards(batches, uri: str, path: str, end_id: int):
             done.append((shard, writer.n, writer.ids))
 
     for batch in batches:
-        for s, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for s, doc_id, ids in encoded(batch, words):
             if s != shard:
                 close()
                 shard, part = s, f"{top}/.{s:06d}-{uuid.uuid4().hex}"
                 out = files.open_output_stream(part)
                 writer = Writer(out, words.dtype.itemsize)
-            writer.add(key_of(doc_id), words.encode(text).tobytes() + end)
+            writer.add(key_of(doc_id), ids.tobytes() + end)
     close()
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True) if done else [[]] * 3, WRITTEN, strict=True)], schema=WRITTEN)
 

@@ -6,7 +6,9 @@ import re
 
 import numpy as np
 
-BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+# A space or line feed that is the only white space between two other characters. (Python's white space holds all of Unicode's.)
+BETWEEN = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def default_tokenizer() -> str:
@@ -16,12 +18,11 @@ def default_tokenizer() -> str:
 
 
 class WordIds(dict):
-    """A word with its leading space to the bytes of its ids.
+    """A word to the bytes of its ids; a word is led by a space that its key leaves out, or by a line feed that the key holds.
 
-    Where a single space stands between two characters that are no white space, the tokenizer's own
-    pattern starts a new piece at the space, so the ids of the parts are the ids of the whole. Parts that
-    begin or end with white space raise KeyError: such texts are cut by a pattern instead. Emptied when it
-    holds `most` words.
+    Where a single space or line feed stands between two characters that are no white space, the tokenizer's
+    own pattern starts a new piece there, so the ids of the parts are the ids of the whole. A batch's unknown
+    words are encoded by the library in one go and cut apart by their offsets. Emptied when it holds `most` words.
     """
 
     most = 700_000
@@ -37,33 +38,42 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word != word.strip():
-            raise KeyError(word)
-        return self.keep(word, self.ids(" " + word))
-
-    def keep(self, word: str, ids: bytes) -> bytes:
-        if len(self) >= self.most:
+        self.learn([word])
+        return self[word]
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that begin and end with no white space; their spaced text has a piece's start at every space."""
+        for first in range(0, len(words), 5_000):
+            part = words[first : first + 5_000]
+            part = [w if w[0] == "\n" else " " + w for w in part]
+            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, self.dtype)
+            begins = np.cumsum([0, *map(len, part)])
+            at = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), begins)
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            for word, a, b in zip(words[first : first + 5_000], (at[:-1] * size).tolist(), (at[1:] * size).tolist(), strict=True):
+                self[word] = raw[a:b]
+
+    def parts(self, text: str) -> tuple[str, list[str]]:
+        """The start of a text, and its words after that, each led by a single space or line feed."""
+        if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text):
+            first, *words = BETWEEN.split(text)
+        else:
+            first, *words = text.replace("\n", " \n").split(" ")
+        return first, words
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of whole texts, as the library gives them with add_special_tokens=False."""
+        cut = [self.parts(t) if t else ("", []) for t in texts]
+        unknown = list({w for _, words in cut for w in words if w not in self})
+        if len(self) + len(unknown) > self.most:
             self.clear()
-        if len(word) < 200:
-            self[word] = ids
-        return ids
+            unknown = list({w for _, words in cut for w in words})
+        self.learn(unknown)
+        return [np.frombuffer((self.ids(first) if first else b"") + b"".join(map(self.__getitem__, words)), self.dtype) for first, words in cut]
 
     def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a whole text, as the library gives them for it with add_special_tokens=False."""
-        if not text:
-            return np.empty(0, self.dtype)
-        first, _, rest = text.partition(" ")
-        if not rest or not first or first[-1].isspace():
-            parts = BETWEEN.split(text)
-        else:
-            try:
-                return np.frombuffer(self.ids(first) + b"".join(map(self.__getitem__, rest.split(" "))), self.dtype)
-            except KeyError:
-                parts = BETWEEN.split(text)
-        out = [self.ids(parts[0])]
-        for part in parts[1:]:
-            out.append(self.get(part) or self.keep(part, self.ids(" " + part)))
-        return np.frombuffer(b"".join(out), self.dtype)
+        return self.encode_all([text])[0]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -76,3 +86,10 @@ def word_ids(path: str) -> WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _LOADED[path] = WordIds(path)
     return _LOADED[path]
+
+
+def encoded(batch, words: WordIds, at_once: int = 500):
+    """Rows of an Arrow batch, with the ids of the text in its last column in the text's place."""
+    for first in range(0, batch.num_rows, at_once):
+        *others, texts = (c.to_pylist() for c in batch.slice(first, at_once).columns)
+        yield from zip(*others, words.encode_all(texts), strict=True)

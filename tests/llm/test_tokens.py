@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from quillspark.llm import packing, sentencepiece_bpe, token_store
 from quillspark.llm.tokens import WordIds, default_tokenizer
 
-ODD = ["", " ", "a", "a b", " a  b ", "a \n b c", "don't  stop\t now", "x\x1c y 　 z", "<|endoftext|> é 漢字 😀😀 a​ b", "a !b ?c 12 3'll 's", "\n\n a", "a" * 5000, "é ▁ ▁a", "  ▁", "tail ", "\x00 z"]
+ODD = ["", "a\nb", "a\n\nb", "a.\nB c\n", "\na b", "a\u2003 b\xa0\nc\nd", " ", "a", "a b", " a  b ", "a \n b c", "don't  stop\t now", "x\x1c y 　 z", "<|endoftext|> é 漢字 😀😀 a​ b", "a !b ?c 12 3'll 's", "\n\n a", "a" * 5000, "é ▁ ▁a", "  ▁", "tail ", "\x00 z"]
 
 
 def documents():
