@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -17,63 +18,78 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class WordIds(dict):
-    """A word to the bytes of its ids; a word is led by a space that its key leaves out, or by a line feed that the key holds.
+def byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1 bytes as themselves, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+class Recent(dict):
+    """A cache of make(key). When it holds `most` keys it becomes the older half, which is asked before anything is made anew."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        if len(key) < 200:
+            self[key] = value
+        return value
+
+
+class WordIds:
+    """Ids of texts, by way of their words.
 
     Where a single space or line feed stands between two characters that are no white space, the tokenizer's
-    own pattern starts a new piece there, so the ids of the parts are the ids of the whole. A batch's unknown
-    words are encoded by the library in one go and cut apart by their offsets. Emptied when it holds `most` words.
+    own pattern starts a new piece there, so the ids of the parts are the ids of the whole. Words are led by a
+    space that their key leaves out, or by a line feed that it holds. A word that is not in the cache is cut by the
+    published pattern of byte-level BPE, and each piece goes to the library's model.
     """
 
-    most = 700_000
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 500_000):
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
+        self.letters = dict(enumerate(byte_letters()))
+        self.code = "H" if self.tokenizer.get_vocab_size() < 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        # Fixed value: the pattern of this pre-tokenizer. Any other tokenizer encodes words as a whole, by its own rules.
+        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        plain = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and self.tokenizer.normalizer is None
+        self.model = self.tokenizer.model
+        self.piece = Recent(self.piece_ids, most // 2)
+        self.word = Recent(self.word_ids if plain else self.whole_ids, most)
+
+    def piece_ids(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def word_ids(self, word: str) -> bytes:
+        pieces = self.pieces(word if word[0] == "\n" else " " + word)
+        return self.piece[pieces[0]] if len(pieces) == 1 else b"".join(map(self.piece.__getitem__, pieces))
+
+    def whole_ids(self, word: str) -> bytes:
+        return self.ids(word if word[0] == "\n" else " " + word)
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        self.learn([word])
-        return self[word]
-
-    def learn(self, words: list[str]) -> None:
-        """Encode words that begin and end with no white space; their spaced text has a piece's start at every space."""
-        for first in range(0, len(words), 5_000):
-            part = words[first : first + 5_000]
-            part = [w if w[0] == "\n" else " " + w for w in part]
-            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, self.dtype)
-            begins = np.cumsum([0, *map(len, part)])
-            at = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), begins)
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            for word, a, b in zip(words[first : first + 5_000], (at[:-1] * size).tolist(), (at[1:] * size).tolist(), strict=True):
-                self[word] = raw[a:b]
-
-    def parts(self, text: str) -> tuple[str, list[str]]:
-        """The start of a text, and its words after that, each led by a single space or line feed."""
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a whole text, as the library gives them with add_special_tokens=False."""
+        if not text:
+            return np.empty(0, self.dtype)
         if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text):
             first, *words = BETWEEN.split(text)
         else:
             first, *words = text.replace("\n", " \n").split(" ")
-        return first, words
-
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of whole texts, as the library gives them with add_special_tokens=False."""
-        cut = [self.parts(t) if t else ("", []) for t in texts]
-        unknown = list({w for _, words in cut for w in words if w not in self})
-        if len(self) + len(unknown) > self.most:
-            self.clear()
-            unknown = list({w for _, words in cut for w in words})
-        self.learn(unknown)
-        return [np.frombuffer((self.ids(first) if first else b"") + b"".join(map(self.__getitem__, words)), self.dtype) for first, words in cut]
-
-    def encode(self, text: str | None) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return np.frombuffer(self.ids(first) + b"".join(map(self.word.__getitem__, words)), self.dtype)
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -88,8 +104,8 @@ def word_ids(path: str) -> WordIds:
     return _LOADED[path]
 
 
-def encoded(batch, words: WordIds, at_once: int = 500):
+def encoded(batch, words: WordIds):
     """Rows of an Arrow batch, with the ids of the text in its last column in the text's place."""
-    for first in range(0, batch.num_rows, at_once):
-        *others, texts = (c.to_pylist() for c in batch.slice(first, at_once).columns)
-        yield from zip(*others, words.encode_all(texts), strict=True)
+    for first in range(0, batch.num_rows, 500):
+        *others, texts = (c.to_pylist() for c in batch.slice(first, 500).columns)
+        yield from zip(*others, map(words.encode, texts), strict=True)
