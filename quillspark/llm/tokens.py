@@ -52,7 +52,7 @@ class WordIds:
     published pattern of byte-level BPE, and each piece goes to the library's model.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 700_000):
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
