@@ -130,3 +130,17 @@ def test_sum_of_squares_places_at_the_best_level():
                 best.append((int((after**2).sum()), -int(h)))
         assert packer.level(size) == -min(best)[1]
         packer.add((i, 0, size, np.zeros(size, "<u4")))
+
+
+def test_both_agendas_agree(monkeypatch):
+    words = sentencepiece_bpe.vocabulary(sentencepiece_bpe.default_model())
+    rng = random.Random(6)
+    units = ["".join(rng.choice(" theandinger.,é漢😀▁\n") for _ in range(rng.randrange(2, 33))) for _ in range(300)]
+    short = [words.segment(u, 3, 1, p) for u in units for p in (0.0, 0.2)]
+    monkeypatch.setattr(words, "segment_short", None)
+    long = []
+    for u in units:
+        for p in (0.0, 0.2):
+            key = sentencepiece_bpe.xxhash.xxh64_intdigest(f"3:1:{u}") if p else 0
+            long.append(words.segment_long(u, key, int(p * (1 << 32))))
+    assert short == long
