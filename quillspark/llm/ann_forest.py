@@ -41,20 +41,30 @@ class Forest:
 
     def candidates(self, query: np.ndarray, most: int) -> np.ndarray:
         """Rows found by ascending all trees together until at least `most` are in."""
-        codes = [((p[:, :-1] @ query) > 0) @ self.weights for p in self.planes]
+        codes = [int(((p[:, :-1] @ query) > 0) @ self.weights) for p in self.planes]
+
+        def ranges(depth: int) -> list[tuple[int, int]]:
+            """Each tree's rows that share the query's first `depth` bits."""
+            step = self.bits - depth
+            out = []
+            for c, keys in zip(codes, self.keys, strict=True):
+                low = c >> step << step
+                out.append((int(np.searchsorted(keys, np.uint64(low))), int(np.searchsorted(keys, np.uint64(low + (1 << step) - 1), side="right"))))
+            return out
+
+        # The ranges together bound their union from above: the deepest depth that could hold enough is found by bisection.
+        deep, high = 0, self.bits
+        while deep < high:
+            middle = (deep + high + 1) // 2
+            if sum(b - a for a, b in ranges(middle)) >= most:
+                deep = middle
+            else:
+                high = middle - 1
         found = np.zeros(self.n, bool)
-        ranges = [(0, 0)] * len(codes)
-        for depth in range(self.bits, -1, -1):
-            low = [(int(c) >> (self.bits - depth)) << (self.bits - depth) for c in codes]
-            for t, keys in enumerate(self.keys):
-                a = int(np.searchsorted(keys, np.uint64(low[t])))
-                top = low[t] + (1 << (self.bits - depth))
-                b = len(keys) if top >= 1 << self.bits else int(np.searchsorted(keys, np.uint64(top)))
-                if (a, b) != ranges[t]:
-                    found[self.order[t][a:b]] = True
-                    ranges[t] = (a, b)
-            # The ranges bound the union from above, so it is counted only when they could hold enough.
-            if sum(b - a for a, b in ranges) >= most and np.count_nonzero(found) >= most:
+        for depth in range(deep, -1, -1):  # ranges grow as the trees are ascended
+            for order, (a, b) in zip(self.order, ranges(depth), strict=True):
+                found[order[a:b]] = True
+            if np.count_nonzero(found) >= most:
                 break
         return np.flatnonzero(found)
 
