@@ -11,11 +11,29 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
+#: On a worker: what empties each module's caches, and the module that ran last.
+RELEASE: list[Callable[[], None]] = []
+LAST: list[str] = [""]
+
+
+def entered(module: str) -> None:
+    """A worker outlives its task: what another module has cached goes before this one fills its own caches."""
+    if LAST[0] != module:
+        import gc
+
+        import pyarrow as pa
+
+        for release in RELEASE:
+            release()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        LAST[0] = module
+
 
 def task(target: str, *args) -> Callable[[Iterator], Iterator]:
     """A mapInArrow / mapInPandas function that calls ``module:function(batches, *args)``.
 
-    The function is imported on the worker, so module-level caches live as long as the worker does.
+    The function is imported on the worker, so module-level caches live on until another module's task comes.
     """
     root = ROOT
 
@@ -26,7 +44,9 @@ def task(target: str, *args) -> Callable[[Iterator], Iterator]:
         if root not in sys.path:
             sys.path.append(root)
         module, name = target.split(":")
-        yield from getattr(importlib.import_module(f"quillspark.llm.{module}"), name)(batches, *args)
+        work = getattr(importlib.import_module(f"quillspark.llm.{module}"), name)
+        importlib.import_module("quillspark.llm._spark").entered(module)
+        yield from work(batches, *args)
 
     return run
 

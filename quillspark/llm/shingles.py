@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from quillspark.llm._spark import RELEASE
+
 U = np.uint64
 MASK = (1 << 64) - 1
 
@@ -26,6 +28,7 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+RELEASE.append(HASHES.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,10 +117,17 @@ def all_keys(tokens: np.ndarray, sizes: Sizes, spare: float, common: np.ndarray
 INDEX = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
+def slices(batches, rows: int = 500):
+    """The batches in parts of few rows: a part's Python objects are all that a task holds."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def index_rows(batches, k, num, den, spare, common=None):
     """(doc_id, text) to INDEX. keys is null for a set that this task has met before, and for null ids and empty sets."""
     sizes, seen = Sizes(num, den), set()
-    for batch in batches:
+    for batch in slices(batches):
         out: dict[str, list] = {name: [] for name in INDEX.names}
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tokens = shingles_of(text, k)
@@ -134,7 +144,7 @@ def index_rows(batches, k, num, den, spare, common=None):
 COUNTS = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
 
-def repeated_tokens(batches, k, window=8_000_000):
+def repeated_tokens(batches, k, window=2_000_000):
     """(token, sets) of tokens in two or more distinct sets of this task, counted in windows of `window` tokens.
 
     By the pigeonhole principle every token in more sets than there are windows is reported.
@@ -145,7 +155,7 @@ def repeated_tokens(batches, k, window=8_000_000):
         return pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], schema=COUNTS)
 
     seen, parts, held = set(), [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(1).to_pylist():
             tokens = shingles_of(text, k)
             if len(tokens) and (fp := fingerprint(tokens)) not in seen:
@@ -164,7 +174,7 @@ TOKENS = pa.schema([("cluster", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int
 
 def member_tokens(batches, k):
     """(text, cluster, fp1, fp2, min_id, copies, leads) to TOKENS; rows whose text isn't the class's are left out."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = {name: [] for name in TOKENS.names}
         for text, cluster, fp1, fp2, min_id, copies, leads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             tokens = shingles_of(text, k)

@@ -7,6 +7,8 @@ from array import array
 
 import numpy as np
 
+from quillspark.llm._spark import RELEASE
+
 # A space or line feed that is the only white space between two other characters. (Python's white space holds all of Unicode's.)
 BETWEEN = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -93,6 +95,7 @@ class WordIds:
 
 
 _LOADED: dict[str, WordIds] = {}
+RELEASE.append(_LOADED.clear)
 
 
 def word_ids(path: str) -> WordIds:
