@@ -111,7 +111,7 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
         return counts.select(c, (before + (F.col("_n") + 1) / 2).alias(f"_rank_{c}"))
 
     both = rows.join(average_rank(a), a).join(average_rank(b), b)
-    return both.agg(F.round(F.avg(F.abs(F.col(a) - F.col(b))), 6).alias("mae"), F.round(F.corr(f"_rank_{a}", f"_rank_{b}"), 6).alias("spearman"), F.count("*").alias("n"))
+    return both.agg(F.round(F.avg(F.abs(F.col(a) - F.col(b))), 4).alias("mae"), F.round(F.corr(f"_rank_{a}", f"_rank_{b}"), 6).alias("spearman"), F.count("*").alias("n"))
 
 
 def composite(rows: DataFrame, entailment: str, coverage: str, stability: str) -> DataFrame:
