@@ -71,20 +71,19 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = source.join(few, "doc_id").select("text", "cluster", "fp1", "fp2", "min_id", "copies", "leads")
     tokens = materialize(texts.mapInArrow(task("shingles:member_tokens", k), TOKENS), "tokens")
 
-    salts = 16
-    leaders = tokens.where("leads").groupBy("cluster").agg(F.first("tokens").alias("leader")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # A leader goes to every block of its cluster, so that a large cluster's rows are spread.
+    blocks = sets.select("cluster", F.ceil(F.col("sets") / block).cast("int").alias("blocks"))
+    blocks = materialize(blocks, "blocks")
+    own = F.pmod(F.xxhash64("fp2", "fp1"), F.col("blocks")).cast("int")
+    dealt = tokens.join(blocks, "cluster").withColumn("own", own)
+    leaders = dealt.where("leads").dropDuplicates(["cluster"]).select("cluster", F.col("tokens").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
     apart = (
-        tokens.withColumn("salt", F.pmod(F.xxhash64("fp1"), F.lit(salts)).cast("int"))
-        .join(leaders, ["cluster", "salt"])
+        dealt.join(leaders, ["cluster", "own"])
         .withColumn("apart", F.concat(F.array_except("tokens", "leader"), F.array_except("leader", "tokens")))
-        .select("cluster", "fp1", "fp2", "min_id", "copies", "size", "apart")
+        .select("cluster", "blocks", "own", "fp1", "fp2", "min_id", "copies", "size", "apart")
     )
-    blocks = sets.select("cluster", F.ceil(F.col("sets") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp2", "fp1"), F.col("blocks")).cast("int")
     pairs = (
-        apart.join(blocks, "cluster")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.col("own").alias("side"), "fp1", "fp2", "min_id", "copies", "size", "apart")
     )
     spread = pairs.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
