@@ -24,7 +24,7 @@ from quillspark.llm._spark import broadcast_if_small, materialize, task
 from quillspark.llm.components import connected_components
 
 INDEX = "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>"
-TOKENS = "cluster long, fp1 long, fp2 long, min_id long, copies long, size long, leads boolean, tokens array<long>"
+TOKENS = "cluster long, fp1 long, fp2 long, min_id long, copies long, size long, blocks int, leads boolean, tokens array<long>"
 ANSWERS = "fp1 long, fp2 long, low long, min_id long, links long"
 
 
@@ -41,7 +41,7 @@ def common_tokens(docs: DataFrame, k: int, least: int = 64, most: int = 1_000_00
     return np.sort(found.view(np.uint64))
 
 
-def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, spare: float = 0.25, block: int = 1024) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, spare: float = 0.25, block: int = 1024, hot: int = 500) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
     Two documents link when den * |intersection| >= num * |union| of their distinct k-word shingles (words
@@ -65,18 +65,16 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = index.where("fp1 is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("min_id"), rep.alias("rep"), F.count("*").alias("copies"))
     members = materialize(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes, "rep"), "members")
     sets = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.min(F.struct("rep", "fp1", "fp2")).alias("lead")).where("sets > 1")
-    members = materialize(members.join(sets, "cluster").withColumn("leads", F.struct("rep", "fp1", "fp2") == F.col("lead")).drop("lead"), "members")
+    members = members.join(sets, "cluster").withColumn("leads", F.struct("rep", "fp1", "fp2") == F.col("lead")).withColumn("blocks", F.ceil(F.col("sets") / block).cast("int"))
+    members = materialize(members.select(F.col("rep").alias("doc_id"), "cluster", "fp1", "fp2", "min_id", "copies", "blocks", "leads"), "members")
 
-    few = broadcast_if_small(members.select(F.col("rep").alias("doc_id"), "cluster", "fp1", "fp2", "min_id", "copies", "leads"), members.count(), 200_000)
-    texts = source.join(few, "doc_id").select("text", "cluster", "fp1", "fp2", "min_id", "copies", "leads")
+    texts = source.join(broadcast_if_small(members, members.count(), 200_000), "doc_id").select("text", "cluster", "fp1", "fp2", "min_id", "copies", "blocks", "leads")
     tokens = materialize(texts.mapInArrow(task("shingles:member_tokens", k), TOKENS), "tokens")
 
     # A leader goes to every block of its cluster, so that a large cluster's rows are spread.
-    blocks = sets.select("cluster", F.ceil(F.col("sets") / block).cast("int").alias("blocks"))
-    blocks = materialize(blocks, "blocks")
-    own = F.pmod(F.xxhash64("fp2", "fp1"), F.col("blocks")).cast("int")
-    dealt = tokens.join(blocks, "cluster").withColumn("own", own)
-    leaders = dealt.where("leads").dropDuplicates(["cluster"]).select("cluster", F.col("tokens").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    leaders = tokens.where("leads").groupBy("cluster", "blocks").agg(F.first("tokens").alias("leader"))
+    leaders = leaders.select("cluster", "leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    dealt = tokens.withColumn("own", F.pmod(F.xxhash64("fp2", "fp1"), F.col("blocks")).cast("int"))
     apart = (
         dealt.join(leaders, ["cluster", "own"])
         .withColumn("apart", F.concat(F.array_except("tokens", "leader"), F.array_except("leader", "tokens")))
@@ -93,12 +91,15 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = connected_components(answers.where("low < min_id"), "low", "min_id").withColumnRenamed("node", "min_id").withColumnRenamed("component", "low")
     links = answers.groupBy("fp1", "fp2").agg(F.sum("links").alias("links"))
     solved = classes.join(links, ["fp1", "fp2"], "left").join(met, "min_id", "left")
-    solved = solved.select("fp1", "fp2", F.coalesce("low", "min_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return (
-        index.select("doc_id", "n_shingles", "fp1", "fp2")
-        .join(solved, ["fp1", "fp2"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("fp1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    )
+    solved = materialize(solved.select("fp1", "fp2", "copies", F.coalesce("low", "min_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "solved")
+
+    # Classes of very many copies (at most documents / hot of them) are looked up without dealing their documents out by class.
+    large, own = solved.where(F.col("copies") >= hot).select("fp1", "fp2", F.struct("component_id", "n_links").alias("found")), index.select("doc_id", "n_shingles", "fp1", "fp2")
+    looked = own.join(broadcast_if_small(large, large.count(), 100_000), ["fp1", "fp2"], "left")
+    small = solved.where(F.col("copies") < hot).select("fp1", "fp2", F.struct("component_id", "n_links").alias("found"))
+    rest = looked.where("found is null and fp1 is not null").drop("found").join(small, ["fp1", "fp2"])
+    alone = looked.where("fp1 is null").withColumn("found", F.struct(F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    return looked.where("found is not null").unionByName(rest).unionByName(alone).select("doc_id", "n_shingles", "found.component_id", "found.n_links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -113,4 +114,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     if repeated.isEmpty():
         return kept
     again = broadcast_if_small(repeated, repeated.count())
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))

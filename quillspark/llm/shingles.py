@@ -169,17 +169,17 @@ def repeated_tokens(batches, k, window=2_000_000):
         yield counted(parts)
 
 
-TOKENS = pa.schema([("cluster", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("min_id", pa.int64()), ("copies", pa.int64()), ("size", pa.int64()), ("leads", pa.bool_()), ("tokens", pa.list_(pa.int64()))])
+TOKENS = pa.schema([("cluster", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("min_id", pa.int64()), ("copies", pa.int64()), ("size", pa.int64()), ("blocks", pa.int32()), ("leads", pa.bool_()), ("tokens", pa.list_(pa.int64()))])
 
 
 def member_tokens(batches, k):
-    """(text, cluster, fp1, fp2, min_id, copies, leads) to TOKENS; rows whose text isn't the class's are left out."""
+    """(text, cluster, fp1, fp2, min_id, copies, blocks, leads) to TOKENS; rows whose text isn't the class's are left out."""
     for batch in slices(batches):
         rows = {name: [] for name in TOKENS.names}
-        for text, cluster, fp1, fp2, min_id, copies, leads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for text, cluster, fp1, fp2, min_id, copies, blocks, leads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             tokens = shingles_of(text, k)
             if len(tokens) and fingerprint(tokens) == (fp1, fp2):
-                for name, value in zip(TOKENS.names, (cluster, fp1, fp2, min_id, copies, len(tokens), leads, tokens.view(np.int64)), strict=True):
+                for name, value in zip(TOKENS.names, (cluster, fp1, fp2, min_id, copies, len(tokens), blocks, leads, tokens.view(np.int64)), strict=True):
                     rows[name].append(value)
         yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in TOKENS], schema=TOKENS)
 

@@ -55,7 +55,7 @@ def corpus(seed):
 @pytest.mark.parametrize("k, num, block", [(3, 90, 1024), (5, 80, 1024), (3, 90, 7), (2, 70, 5)])
 def test_equals_brute_force(spark, k, num, block):
     rows = corpus(k * num + block)
-    got = jaccard_classes(spark.createDataFrame([(i, t, "a", "b", 1) for i, t in rows], SCHEMA), k=k, num=num, block=block)
+    got = jaccard_classes(spark.createDataFrame([(i, t, "a", "b", 1) for i, t in rows], SCHEMA), k=k, num=num, block=block, hot=3)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got.collect()} == brute(rows, k, num, 100)
 
 
