@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import is_heading
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends (trim knows spaces only)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def lines_to_passages(docs: DataFrame, doc: str, text: Column, least: int = 30, most: int = 5000) -> DataFrame:
     """(doc, n, section, text): lines under the heading before them; each document is folded in one row."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim)
@@ -32,7 +37,7 @@ def markdown_sections(docs: DataFrame, doc: str, text: Column) -> DataFrame:
     each = docs.select(doc, F.posexplode(parts).alias("n", "part"))
     head = r"(?s)^#{1,6}\s+([^\n]*)\n?(.*)$"
     titled = F.col("part").rlike(r"^#{1,6}\s")
-    return each.select(doc, (F.col("n") + 1).alias("n"), F.when(titled, F.trim(F.regexp_extract("part", head, 1))).otherwise("").alias("section"), F.trim(F.when(titled, F.regexp_extract("part", head, 2)).otherwise(F.col("part"))).alias("text"))
+    return each.select(doc, (F.col("n") + 1).alias("n"), F.when(titled, F.trim(F.regexp_extract("part", head, 1))).otherwise("").alias("section"), strip(F.when(titled, F.regexp_extract("part", head, 2)).otherwise(F.col("part"))).alias("text"))
 
 
 def chunk_numbers(items: Column, limit: int) -> Column:
@@ -60,12 +65,12 @@ def id_blocks(docs: DataFrame, doc: str, text: Column, pattern: str = r"[MT]\d+\
     """(doc, n, id, text): a block from each id to the next."""
     parts = F.filter(F.split(text, rf"(?=\b{pattern}\b)"), lambda p: p.rlike(rf"^{pattern}\b"))
     each = docs.select(doc, F.posexplode(parts).alias("n", "part"))
-    return each.select(doc, (F.col("n") + 1).alias("n"), F.regexp_extract("part", rf"^({pattern})", 1).alias("id"), F.trim(F.regexp_replace("part", rf"^{pattern}", "")).alias("text"))
+    return each.select(doc, (F.col("n") + 1).alias("n"), F.regexp_extract("part", rf"^({pattern})", 1).alias("id"), strip(F.regexp_replace("part", rf"^{pattern}", "")).alias("text"))
 
 
 def between(text: Column, start: str, *ends: str) -> Column:
     """What stands between a marker and the next one (or the end)."""
-    return F.trim(F.regexp_extract(text, rf"(?is){start}\s*:?\s*(.*?)(?=(?:{'|'.join(ends)})\s*:?|\z)" if ends else rf"(?is){start}\s*:?\s*(.*)", 1))
+    return strip(F.regexp_extract(text, rf"(?is){start}\s*:?\s*(.*?)(?=(?:{'|'.join(ends)})\s*:?|\z)" if ends else rf"(?is){start}\s*:?\s*(.*)", 1))
 
 
 def inline_matches(docs: DataFrame, doc: str, text: Column, pattern: str) -> DataFrame:
