@@ -57,7 +57,7 @@ def references(text: Column, pattern: str, own: Column) -> Column:
 
 def reference_list(text: Column, pattern: str) -> Column:
     """P10: a list written with commas, ampersands or semicolons; items that look like ids stay."""
-    return F.filter(F.transform(F.split(text, "[,&;]"), F.trim), lambda x: x.rlike(f"^(?:{pattern})$"))
+    return F.filter(F.transform(F.split(text, "[,&;]"), lambda x: F.trim(x)), lambda x: x.rlike(f"^(?:{pattern})$"))
 
 
 def without_prefix(text: Column, prefix: str) -> Column:
@@ -105,7 +105,7 @@ def obligation_text(text: Column, pattern: str) -> Column:
 
 def typed_obligations(text: Column, patterns: dict[str, str], least: int = 15) -> Column:
     """Every sentence under every type whose pattern it matches (so "shall not" comes under two)."""
-    parts = F.filter(F.transform(sentences(text), F.trim), lambda s: F.char_length(s) >= least)
+    parts = F.filter(F.transform(sentences(text), lambda x: F.trim(x)), lambda s: F.char_length(s) >= least)
     typed = [F.transform(F.filter(parts, lambda s, p=p: F.lower(s).rlike(p)), lambda s, k=k: F.struct(s.alias("text"), F.lit(k).alias("type"))) for k, p in patterns.items()]
     return F.concat(*typed)
 

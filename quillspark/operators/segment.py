@@ -15,7 +15,7 @@ def strip(text: Column) -> Column:
 
 def lines_to_passages(docs: DataFrame, doc: str, text: Column, least: int = 30, most: int = 5000) -> DataFrame:
     """(doc, n, section, text): lines under the heading before them; each document is folded in one row."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
     state = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<section:string,text:string>>").alias("out"), F.lit("").alias("body"))
 
     def closed(acc):
@@ -80,7 +80,7 @@ def inline_matches(docs: DataFrame, doc: str, text: Column, pattern: str) -> Dat
 
 def nested_list(text: Column) -> Column:
     """X11: numbered lines with the lettered lines under them, as array<struct<text, sub>>."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     kind = "array<struct<text:string,sub:array<string>>>"
 
     def step(acc, line):
