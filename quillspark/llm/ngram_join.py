@@ -65,6 +65,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = index.where("fp1 is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("min_id"), rep.alias("rep"), F.count("*").alias("copies"))
     members = materialize(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes, "rep"), "members")
     sets = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.min(F.struct("rep", "fp1", "fp2")).alias("lead")).where("sets > 1")
+    sets = materialize(sets, "sets")  # so that the join with it can split a large cluster
     members = members.join(sets, "cluster").withColumn("leads", F.struct("rep", "fp1", "fp2") == F.col("lead")).withColumn("blocks", F.ceil(F.col("sets") / block).cast("int"))
     members = materialize(members.select(F.col("rep").alias("doc_id"), "cluster", "fp1", "fp2", "min_id", "copies", "blocks", "leads"), "members")
 
