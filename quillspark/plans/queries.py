@@ -26,7 +26,7 @@ def query(sql: str | None = None):
     """Register a function of a table reader under its own name."""
 
     def register(f: Callable[[Read], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        QUERIES[f.__name__] = lambda spark, sf_dir: counted(f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")))
         if sql:
             ORACLE[f.__name__] = sql
         return f
@@ -34,6 +34,11 @@ def query(sql: str | None = None):
     return register
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """Ranks, sizes and lengths as long, which is what SQL counts in."""
+    return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if kind == "int" and c in ("rank", "n_query", "n_text", "n_shared", "length")})
+
+
 # Parts of the SQL that several oracles share.
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda x: x <> '')"
 BM25 = """
@@ -259,9 +264,10 @@ def w5_keep_best(t):
     return curate.keep_best(t("lineitem").select("l_partkey", "l_extendedprice", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o")), ["l_partkey"], "l_extendedprice", "o")
 
 
-@query("SELECT n_regionkey, list(struct_pack(n_name := n_name, n_nationkey := n_nationkey) ORDER BY n_nationkey DESC) AS nations, count(*) AS n FROM nation GROUP BY 1")
+@query("SELECT n_regionkey, string_agg(n_name || ':' || n_nationkey, ',' ORDER BY n_nationkey DESC) AS nations, count(*) AS n FROM nation GROUP BY 1")
 def a21_group_nested(t):
-    return curate.group_nested(t("nation"), "n_regionkey", ["n_name", "n_nationkey"], "n_nationkey", "nations")
+    nested = curate.group_nested(t("nation"), "n_regionkey", ["n_name", "n_nationkey"], "n_nationkey", "nations")
+    return nested.withColumn("nations", F.array_join(F.transform("nations", lambda x: F.concat_ws(":", x["n_name"], x["n_nationkey"].cast("string"))), ","))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
