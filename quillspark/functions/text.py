@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 # The obligation words and noise headings of the reference's filters.
@@ -106,7 +106,9 @@ def obligation_text(text: Column, pattern: str) -> Column:
 def typed_obligations(text: Column, patterns: dict[str, str], least: int = 15) -> Column:
     """Every sentence under every type whose pattern it matches (so "shall not" comes under two)."""
     parts = F.filter(F.transform(sentences(text), lambda x: F.trim(x)), lambda s: F.char_length(s) >= least)
-    typed = [F.transform(F.filter(parts, lambda s, p=p: F.lower(s).rlike(p)), lambda s, k=k: F.struct(s.alias("text"), F.lit(k).alias("type"))) for k, p in patterns.items()]
+    # A second parameter of a lambda would be the index, so the pattern is bound by a function.
+    of_type = lambda k, p: F.transform(F.filter(parts, lambda s: F.lower(s).rlike(p)), lambda s: F.struct(s.alias("text"), F.lit(k).alias("type")))
+    typed = [of_type(k, p) for k, p in patterns.items()]
     return F.concat(*typed)
 
 
@@ -202,3 +204,14 @@ def is_heading(line: Column, longest_: int = 100, most_words: int = 12) -> Colum
     t = F.trim(line)
     short = (F.char_length(t) > 0) & (F.char_length(t) <= longest_) & (F.size(tokens(t)) <= most_words) & ~F.endswith(t, F.lit("."))
     return short & (t.rlike(r"^\d+(\.\d+)*[.)]?\s+\S") | ((F.upper(t) == t) & t.rlike("[A-Z]")) | t.rlike(r"^#{1,6}\s"))
+
+
+def min_max(score: Column, over: WindowSpec) -> Column:
+    """A group's scores between 0 and 1; all 0 where they are equal."""
+    low, high = F.min(score).over(over), F.max(score).over(over)
+    return F.when(high == low, F.lit(0.0)).otherwise((score - low) / (high - low))
+
+
+def of_greatest(score: Column, over: WindowSpec) -> Column:
+    """Scores over the group's greatest; 0 where that is 0."""
+    return ratio(score, F.max(score).over(over))

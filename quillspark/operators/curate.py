@@ -118,3 +118,46 @@ def conversation(system: Column, user: Column, assistant: Column) -> Column:
 def fill_down(rows: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """The last value that isn't null, up to and with the row."""
     return rows.withColumn(out, F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def keep_or_archive(parts: DataFrame, gold: DataFrame, group: str, file: str, item: str, recency: str, distinct_share: float = 0.85) -> DataFrame:
+    """(group, file, n_gold, n_items, kept). Files of a group that hold mostly different items are parts of one
+    document and all stay; of duplicates the one with most gold items stays (the most recent on a tie), the rest are archived.
+
+    Null items count for nothing; a group without items keeps all its files. Two files of a group share no item exactly
+    if its distinct items are as many as its files' items together, so no pair of files is formed.
+    """
+    files = parts.groupBy(group, file).agg(F.max(recency).alias("recency"))
+    items = parts.where(F.col(item).isNotNull()).select(group, file, item).distinct()
+    marked = items.join(gold.select(item, F.lit(1).alias("_g")).distinct(), item, "left")
+    sizes = marked.groupBy(group, file).agg(F.count("*").alias("n_items"), F.count("_g").alias("n_gold"))
+    spread = items.groupBy(group, item).agg(F.count("*").alias("c")).groupBy(group).agg((F.count("*") / F.sum("c")).alias("share"))
+    each = files.join(sizes, [group, file], "left").join(spread, group, "left").na.fill(0, ["n_items", "n_gold"])
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n_gold"), F.desc("recency"), file))
+    return each.select(group, file, "n_gold", "n_items", (F.coalesce(F.col("share") > distinct_share, F.lit(True)) | (place == 1)).alias("kept"))
+
+
+def matching_or_first(rows: DataFrame, by: list[str], where: Column, order: str, n: int = 3) -> DataFrame:
+    """the rows of a group for which the condition holds, else its first n rows; null counts as false."""
+    w = Window.partitionBy(*by)
+    flagged = rows.withColumn("_m", F.coalesce(where, F.lit(False)))
+    marked = flagged.withColumns({"_any": F.bool_or("_m").over(w), "_n": F.row_number().over(w.orderBy(order))})
+    return marked.where(F.col("_m") | (~F.col("_any") & (F.col("_n") <= n))).drop("_m", "_any", "_n")
+
+
+def sections(rows: DataFrame, by: list[str], order: str, starts: Column, text: str, glue: str = "\n") -> DataFrame:
+    """(by, section, n, text): rows joined in order; a section begins where the condition holds (0: before the first)."""
+    numbered = rows.withColumn("section", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    return numbered.groupBy(*by, "section").agg(F.count("*").alias("n"), F.array_join(F.transform(parts, lambda x: x["t"]), glue).alias(text))
+
+
+def before_and_after(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """How many rows each group had and has; a group that one side lacks counts 0 there."""
+    a, b = (x.groupBy(*by).agg(F.count("*").alias(n)) for x, n in ((before, "before"), (after, "after")))
+    return a.join(b, by, "full_outer").na.fill(0, ["before", "after"])
+
+
+def unfinished(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """K7: the rows whose key an earlier run has not written yet."""
+    return rows.join(done.select(*keys).distinct(), keys, "left_anti")

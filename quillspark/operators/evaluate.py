@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import f1, ratio
+from quillspark.functions.text import f1, ratio, tokens
 
 POSITIVE = ["Fully Addressed", "Partially Addressed"]
 
@@ -124,3 +124,37 @@ def blocked_pairs(labels: DataFrame, key: str, passage: str, status: str) -> Dat
     """Negative pairs that are positive nowhere."""
     p = label_pairs(labels, key, passage, status)
     return p.where("negative and not positive").select("control_id", "passage_id")
+
+
+def macro(rates: DataFrame, where: Column | None = None) -> DataFrame:
+    """Plain means over groups (documents); groups that failed or were skipped are left out by `where`."""
+    some = rates if where is None else rates.where(where)
+    return some.agg(F.count("*").alias("n_groups"), *(F.round(F.avg(c), 6).alias(f"macro_{c}") for c in ("precision_judged", "recall", "f1_judged")))
+
+
+def obligation_coverage(parts: Column, passage: Column) -> Column:
+    """The share of the parts of which the passage holds any of the first five alphabetic words longer than four
+    letters from "shall" on (from the start where there is none); 0 without parts or passage."""
+    low = F.lower(F.coalesce(passage, F.lit("")))
+
+    def hit(part):
+        t = F.lower(part)
+        words = F.filter(tokens(F.substr(t, F.greatest(F.instr(t, "shall"), F.lit(1)))), lambda w: w.rlike(r"^\p{L}{5,}$"))
+        return F.exists(F.slice(words, 1, 5), lambda w: F.contains(low, w))
+
+    return F.when((F.size(parts) > 0) & (low != ""), F.round(F.size(F.filter(parts, hit)) / F.size(parts), 3)).otherwise(0.0)
+
+
+def field_coverage(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """For every field how many rows fill it (neither null nor blank), and the share."""
+    filled = [F.count_if(F.trim(F.col(f).cast("string")) != "").alias(f) for f in fields]
+    wide = rows.agg(F.count("*").alias("n"), *filled)
+    long = wide.select("n", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("filled")) for f in fields))).alias("x"))
+    return long.select("x.field", "x.filled", F.round(ratio(F.col("x.filled"), F.col("n")), 6).alias("share"))
+
+
+def judge_agreement(rows: DataFrame, right: Column, verdict: Column) -> DataFrame:
+    """How many right rows were kept, how many wrong ones were dropped, and the accuracy of both together."""
+    counts = rows.agg(F.count_if(right).alias("n_right"), F.count_if(~right).alias("n_wrong"), F.count_if(right & verdict).alias("right_kept"), F.count_if(~right & ~verdict).alias("wrong_dropped"))
+    n = F.col("n_right") + F.col("n_wrong")
+    return counts.withColumns({"wrong_rate": F.round(ratio(F.col("wrong_dropped"), F.col("n_wrong")), 6), "accuracy": F.round(ratio(F.col("right_kept") + F.col("wrong_dropped"), n), 6)})
