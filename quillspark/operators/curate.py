@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,11 +140,16 @@ def keep_or_archive(parts: DataFrame, gold: DataFrame, group: str, file: str, it
 
 
 def matching_or_first(rows: DataFrame, by: list[str], where: Column, order: str, n: int = 3) -> DataFrame:
-    """the rows of a group for which the condition holds, else its first n rows; null counts as false."""
-    w = Window.partitionBy(*by)
-    flagged = rows.withColumn("_m", F.coalesce(where, F.lit(False)))
-    marked = flagged.withColumns({"_any": F.bool_or("_m").over(w), "_n": F.row_number().over(w.orderBy(order))})
-    return marked.where(F.col("_m") | (~F.col("_any") & (F.col("_n") <= n))).drop("_m", "_any", "_n")
+    """the rows of a group for which the condition holds, else its first n rows; null counts as false.
+
+    Only groups without a match are ranked, and of those no more than n rows a task: no group is gathered whole.
+    """
+    matched = rows.where(F.coalesce(where, F.lit(False)))
+    some = matched.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by))).distinct()
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)))
+    lacking = rows.join(some, same, "left_anti")
+    first = lacking.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("_n") <= n).drop("_n")
+    return matched.unionByName(first)
 
 
 def sections(rows: DataFrame, by: list[str], order: str, starts: Column, text: str, glue: str = "\n") -> DataFrame:
@@ -156,8 +163,3 @@ def before_and_after(before: DataFrame, after: DataFrame, by: list[str]) -> Data
     """How many rows each group had and has; a group that one side lacks counts 0 there."""
     a, b = (x.groupBy(*by).agg(F.count("*").alias(n)) for x, n in ((before, "before"), (after, "after")))
     return a.join(b, by, "full_outer").na.fill(0, ["before", "after"])
-
-
-def unfinished(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """K7: the rows whose key an earlier run has not written yet."""
-    return rows.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -53,12 +53,16 @@ def single_questions(passages: DataFrame, key: str, question: Column, reply: Col
 
 
 def topic_questions(hits: DataFrame, key: str, topic: str, reply: str, template: str, size: int, seed: int = 42) -> DataFrame:
-    """The same for groups of up to `size` passages of a topic. Passages are dealt to buckets by a keyed hash, so no topic
-    is gathered as a whole, and a bucket is cut into groups of `size`; every passage is in one group, groups of one are left out."""
+    """The same for groups of up to `size` passages of a topic.
+
+    Passages are dealt by a keyed hash to about one bucket per 10,000 of their topic, so a task holds a bucket and never a
+    large topic; a bucket is cut into groups of `size`. Every passage is in one group, groups of one are left out.
+    """
     order = F.crc32(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    bucket = F.pmod(order, F.lit(64))
-    some = hits.where(F.col(reply) != "").withColumn("_b", bucket)
-    placed = some.withColumn("_g", F.floor((F.row_number().over(Window.partitionBy(topic, "_b").orderBy(order, key)) - 1) / size))
+    some = hits.where((F.col(reply) != "") & F.col(topic).isNotNull())
+    buckets = some.groupBy(topic).agg(F.ceil(F.count("*") / 10_000).alias("_buckets"))
+    dealt = some.join(buckets, topic).withColumn("_b", F.pmod(order, F.col("_buckets")))
+    placed = dealt.withColumn("_g", F.floor((F.row_number().over(Window.partitionBy(topic, "_b").orderBy(order, key)) - 1) / size))
     parts = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(reply).alias("a"))))
     groups = placed.groupBy(topic, "_b", "_g").agg(parts.alias("p"), F.count("*").alias("n")).where("n >= 2")
     answer = F.array_join(F.transform("p", lambda x: F.concat(F.lit("From "), x["k"].cast("string"), F.lit(": "), x["a"])), " ")

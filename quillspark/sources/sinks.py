@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,3 +51,31 @@ def banner_text(df: DataFrame, doc: str, section: str, text: str, ordinal: str)
 def distinct_ids(df: DataFrame, *columns: str) -> DataFrame:
     """K9: the sorted distinct ids of several columns."""
     return reduce(DataFrame.union, (df.select(F.col(c).alias("id")) for c in columns)).where("id is not null").distinct().orderBy("id")
+
+
+def label_config(fields: dict[str, tuple[str, list[str]]], shown: list[str]) -> str:
+    """A labelling form as XML: the texts shown, then a control (its tag, its choices) for every field."""
+    view = ElementTree.Element("View")
+    for name in shown:
+        ElementTree.SubElement(view, "Text", name=name, value=f"${name}")
+    for name, (tag, choices) in fields.items():
+        control = ElementTree.SubElement(view, tag, name=name, toName=shown[0])
+        for choice in choices:
+            ElementTree.SubElement(control, "Choice", value=choice)
+    return ElementTree.tostring(view, encoding="unicode")
+
+
+def archive(spark: SparkSession, files: list[str], folder: str) -> list[str]:
+    """Move superseded files (curate.keep_or_archive names them) to a folder of the same store; those that aren't there
+    are passed over, a file that the folder has already is kept and not moved. Returns what moved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    target = path(folder)
+    target.getFileSystem(conf).mkdirs(target)
+    moved = []
+    for name in files:
+        file = path(name)
+        store, to = file.getFileSystem(conf), path(target, file.getName())
+        if store.exists(file) and not store.exists(to) and store.rename(file, to):
+            moved.append(name)
+    return moved

@@ -1,8 +1,11 @@
+from xml.etree import ElementTree
+
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import curate, evaluate, extract, rank, synthesize
+from quillspark.sources import sinks
 
 
 def rows(df, *columns):
@@ -31,9 +34,8 @@ def test_matching_rows_or_the_first(spark):
     assert rows(curate.matching_or_first(df, ["g"], F.col("m"), "o", 2), "g", "o") == [("a", 1), ("b", 1), ("b", 2)]
 
 
-def test_resume_and_counts(spark):
+def test_counts_before_and_after(spark):
     a, b = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
-    assert rows(curate.unfinished(a, b, ["k"]), "k") == [(1,)]
     assert rows(curate.before_and_after(a, b, ["k"]), "k", "before", "after") == [(1, 1, 0), (2, 2, 1), (3, 0, 1)]
 
 
@@ -85,7 +87,7 @@ def test_topic_groups_lose_no_pair_twice(spark):
     hits = spark.range(500).select(F.col("id"), F.lit("keys").alias("topic"), F.lit("answer").alias("reply"))
     got = synthesize.topic_questions(hits, "id", "topic", "reply", "What of {topic}?", 4).collect()
     used = [p for r in got for p in r.passages]
-    assert len(used) == len(set(used)) >= 400 and {r.n for r in got} <= {2, 3, 4} and len({r.question_id for r in got}) == len(got)
+    assert len(used) == len(set(used)) == 500 and {r.n for r in got} <= {2, 3, 4} and len({r.question_id for r in got}) == len(got)
 
 
 def test_negatives_exist_and_are_no_positives(spark):
@@ -99,3 +101,12 @@ def test_ranker_finds_the_feature(spark):
     model = rank.fit_ranker(data, ["f"], "y", trees=10)
     got = rank.learned_rank(model, data, ["f"], ["q"], "d", 3)
     assert got.count() == 12 and got.agg(F.min("d")).first()[0] > 150
+
+
+def test_label_config_and_archive(spark, tmp_path):
+    config = sinks.label_config({"status": ("Choices", ["Full & whole", "None"]), "note": ("TextArea", [])}, ["control", "passage"])
+    root = ElementTree.fromstring(config)
+    assert [c.get("value") for c in root.iter("Choice")] == ["Full & whole", "None"] and [x.get("value") for x in root.iter("Text")] == ["$control", "$passage"]
+    (tmp_path / "a.json").write_text("[]")
+    moved = sinks.archive(spark, [str(tmp_path / "a.json"), str(tmp_path / "gone.json")], str(tmp_path / "old"))
+    assert moved == [str(tmp_path / "a.json")] and (tmp_path / "old" / "a.json").exists() and not (tmp_path / "a.json").exists()
