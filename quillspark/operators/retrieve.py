@@ -17,14 +17,19 @@ def ranked(rows: DataFrame, by: list[str], score: str, tie: str, k: int | None =
     return out.where(F.col(name) <= k) if k else out
 
 
-def bm25_index(corpus: DataFrame, doc: str, text: Column, group: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (group, doc, term, tf, dl), term statistics (group, term, df) and group statistics (group, n, avgdl)."""
+def bm25_index(corpus: DataFrame, doc: str, text: Column, group: list[str] | None = None, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings (group, doc, dl, term, tf), term statistics (group, term, df) and group statistics (group, n, avgdl).
+
+    Statistics come from each row's distinct words, combined before their shuffle; only the postings are grouped by
+    document, and of those just the terms of `only` where it is given.
+    """
     by = group or []
-    words = corpus.select(*by, doc, F.explode(tokens(text)).alias("term"))
-    tf = words.groupBy(*by, doc, "term").agg(F.count("*").alias("tf"))
-    lengths = corpus.select(*by, doc, F.size(tokens(F.coalesce(text, F.lit("")))).alias("dl"))
-    postings = tf.join(lengths, [*by, doc])
-    return postings, postings.groupBy(*by, "term").agg(F.count("*").alias("df")), lengths.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rows = corpus.where(F.col(doc).isNotNull()).select(*by, doc, tokens(F.coalesce(text, F.lit(""))).alias("_w"))
+    words = rows.select(*by, doc, F.size("_w").alias("dl"), F.explode("_w").alias("term"))
+    if only is not None:
+        words = words.join(only.select("term").distinct(), "term", "left_semi")
+    terms = rows.select(*by, F.explode(F.array_distinct("_w")).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("df"))
+    return words.groupBy(*by, doc, "dl", "term").agg(F.count("*").alias("tf")), terms, rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.size("_w")).alias("avgdl"))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, *, doc: str, text: Column, query: str, query_text: Column, group: list[str] | None = None, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -34,14 +39,14 @@ def bm25(corpus: DataFrame, queries: DataFrame, *, doc: str, text: Column, query
     often as they occur. Terms join by equality; only documents that share a term with a query are ever scored.
     """
     by = group or []
-    postings, terms, stats = bm25_index(corpus, doc, text, group)
+    asked = queries.select(query, F.explode(tokens(query_text)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
+    postings, terms, stats = bm25_index(corpus, doc, text, group, asked)
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     idf = (terms.join(F.broadcast(stats), by) if by else terms.crossJoin(F.broadcast(stats))).withColumn("raw", raw)
     floor = idf.groupBy(*by).agg((0.25 * F.avg("raw")).alias("floor"))
     idf = (idf.join(F.broadcast(floor), by) if by else idf.crossJoin(F.broadcast(floor))).select(*by, "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select(query, F.explode(tokens(query_text)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
     weight = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(asked, "term").join(idf, [*by, "term"]).groupBy(query, *by, doc).agg(F.round(F.sum(weight), 6).alias("score"))
+    scored = postings.join(asked.join(idf, "term"), [*by, "term"]).groupBy(query, *by, doc).agg(F.round(F.sum(weight), 6).alias("score"))
     return ranked(scored.where("score > 0"), [query, *by], "score", doc, k)
 
 
