@@ -432,7 +432,7 @@ def r12_passage_centric(t):
     return mapping.passage_centric(passages, controls, mapping.Options())
 
 
-@query()
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'FULLY' ELSE 'NOT' END AS verdict, 'x' AS reason, CASE o_orderstatus WHEN 'F' THEN 'CORRECT' ELSE 'WRONG' END AS assignment FROM orders")
 def l5_judge_replies(t):
     reply = F.concat(F.lit("VERDICT: "), F.when(F.col("o_orderstatus") == "F", "Fully").otherwise("Not"), F.lit("\nREASON: x\n"))
     return t("orders").select("o_orderkey", annotate.judge_reply(reply).alias("j")).select("o_orderkey", "j.*")
