@@ -21,15 +21,25 @@ def entered(module: str) -> None:
     if LAST[0] != module:
         import gc
 
-        import pyarrow as pa
-
         for release in RELEASE:
             release()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        trim()
         LAST[0] = module
 
 
+def trim() -> None:
+    """Memory that is free goes back to the system: a worker lives on, idle, while JVM stages run. (Arrow's pool; glibc's heap.)"""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    heap = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if heap:
+        heap(0)
+
+
 def task(target: str, *args) -> Callable[[Iterator], Iterator]:
     """A mapInArrow / mapInPandas function that calls ``module:function(batches, *args)``.
 
@@ -45,8 +55,12 @@ def task(target: str, *args) -> Callable[[Iterator], Iterator]:
             sys.path.append(root)
         module, name = target.split(":")
         work = getattr(importlib.import_module(f"quillspark.llm.{module}"), name)
-        importlib.import_module("quillspark.llm._spark").entered(module)
-        yield from work(batches, *args)
+        shared = importlib.import_module("quillspark.llm._spark")
+        shared.entered(module)
+        try:
+            yield from work(batches, *args)
+        finally:
+            shared.trim()
 
     return run
 
