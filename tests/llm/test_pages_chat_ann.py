@@ -33,6 +33,19 @@ def test_extract(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_blocks_of_shared_words_stay():
+    """Every word stands on other pages of the host; only whole blocks and runs of 12 words that do are boilerplate."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    own = [[" ".join(rng.choices(words, k=n)) for n in (9, 15, 40)] + [f"w{i}"] for i in range(25)]
+    notice = " ".join(f"v{i}" for i in range(14))
+    pages = [["Home News", *blocks, f"e{i} {notice}", "w1 w2 again"] for i, blocks in enumerate(own)]
+    got = html_text.unique_text(pages, [0] * 25, [True] * 25, 12)
+    assert got == ["\n".join([*blocks, f"e{i}"]) for i, blocks in enumerate(own)]
+    alone = html_text.unique_text([["a b"], ["a b"], ["c a b"]], [0, 1, 0], [True] * 3, 12)
+    assert alone == ["a b", "a b", "c a b"]
+
+
 def test_suffix_array_against_brute_force():
     rng = random.Random(3)
     for _ in range(60):
