@@ -57,6 +57,12 @@ def test_encode_decode_frame(spark):
     assert len(got) == len(rows) and all((r.text or "") == r.decoded for r in got)
 
 
+def test_a_word_has_more_than_two_segmentations(spark):
+    word = "internationalization"
+    docs = spark.range(200).selectExpr("id as doc_id", f"'{word}' as text")
+    assert len({tuple(r.ids) for r in sentencepiece_bpe.encode(docs, dropout=0.3).collect()}) > 2
+
+
 @pytest.mark.parametrize("shards", [1, 4])
 def test_token_store_round_trip(spark, shards):
     docs, rows = frame(spark, documents())
