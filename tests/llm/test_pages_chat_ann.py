@@ -46,6 +46,19 @@ def test_blocks_of_shared_words_stay():
     assert alone == ["a b", "a b", "c a b"]
 
 
+def test_repeats_between_chunks(spark):
+    """What stands on two pages of a host goes, in whatever chunks they are: the result doesn't depend on the chunk."""
+    rng = random.Random(9)
+    notes = [" ".join(f"{k}x{rng.randrange(10**6)}" for _ in range(n)) for k in range(20) for n in (14, 5)]
+    pages = [[f"own{i} words", f"e{i} {notes[i % 20 * 2]}", notes[i % 20 * 2 + 1]] for i in range(40)]
+    rows = [(i, "http://h.com/", "".join(f"<p>{b}</p>" for b in blocks)) for i, blocks in enumerate(pages)]
+    rows.append((40, "http://h.com/", "<article><p>mine</p></article><p>own3 words</p>"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    small, large = ({r.page_id: r.text for r in html_text.extract(frame, chunk=n).collect()} for n in (100, 4))
+    want = {i: f"own{i} words\ne{i}" for i in range(40)} | {3: "e3", 40: "mine"}
+    assert small == want and large == want
+
+
 def test_suffix_array_against_brute_force():
     rng = random.Random(3)
     for _ in range(60):
