@@ -262,7 +262,7 @@ def r18_routes(t):
 
 def menu(t: Read) -> DataFrame:
     docs = t("documents")
-    return route.family_menu(docs, "doc_id", F.substring("text", 1, 400), literal(t, FAMILIES, "family, word"), literal(t, MEMBERS, "family, member"), positives(t), 2)
+    return route.family_menu(docs, "doc_id", F.col("text"), literal(t, FAMILIES, "family, word"), literal(t, MEMBERS, "family, member"), positives(t), 2)
 
 
 def positives(t: Read) -> DataFrame:

@@ -148,3 +148,11 @@ def test_stream(spark, tmp_path):
     query = events.windowed_counts(events.event_stream(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {(r.event_type, r.n, r.total) for r in spark.table("w").collect()} == {("a", 2, 3.0), ("b", 1, 1.0)}
+
+
+def test_family_menu_reads_whole_passages(spark):
+    from quillspark.plans import inventory
+
+    docs = spark.createDataFrame([(1, "x " * 300 + "dans"), (2, "dans")], "doc_id long, text string").selectExpr("*", "'en' as lang")
+    read = lambda name: docs
+    assert {r.doc_id: (r.family, r.hits) for r in inventory.menu(read).collect()} == {1: ("C", 1), 2: ("C", 1)}
