@@ -27,6 +27,13 @@ RESULT = r"(?s)<tool_result>(.*?)</tool_result>"
 REFERENCE = r'"\$([A-Za-z0-9_.-]+)"'
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join by keys of which null ones are equal."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys))
+    return left.join(other, same, how).drop(*(f"_right_{k}" for k in keys))
+
+
 def quoted(text: Column) -> Column:
     """A string as a JSON string."""
     return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
@@ -86,23 +93,23 @@ def depths(calls: DataFrame) -> DataFrame:
     """
     keyed = calls.where("call_id is not null").select("conv_id", "call_id").distinct()
     needs = calls.where("call_id is not null and size(refers) > 0").select("conv_id", "call_id", F.explode("refers").alias("needs")).distinct()
-    open_ = materialize(needs.join(keyed.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"]), "needs")
+    open_ = materialize(joined(needs, keyed.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "inner"), "needs")
     if open_.isEmpty():
         return calls.withColumn("depth", F.lit(0))
     layers, depth = [], 1
     settled_names = open_.select("conv_id", "call_id").distinct()
     while True:
         waiting = open_.select("conv_id", F.col("call_id").alias("needs")).distinct()
-        blocked = open_.join(waiting, ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct()
-        ready = materialize(open_.select("conv_id", "call_id").distinct().join(blocked, ["conv_id", "call_id"], "left_anti"), "ready")
+        blocked = joined(open_, waiting, ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct()
+        ready = materialize(joined(open_.select("conv_id", "call_id").distinct(), blocked, ["conv_id", "call_id"], "left_anti"), "ready")
         if ready.isEmpty():
             break
         layers.append(ready.withColumn("depth", F.lit(depth)))
-        open_ = materialize(open_.join(ready, ["conv_id", "call_id"], "left_anti"), "needs")
+        open_ = materialize(joined(open_, ready, ["conv_id", "call_id"], "left_anti"), "needs")
         depth += 1
     settled = reduce(DataFrame.unionByName, layers).withColumn("d", F.col("depth")).drop("depth") if layers else settled_names.limit(0).withColumn("d", F.lit(0))
     cyclic = open_.select("conv_id", "call_id").distinct().withColumn("d", F.lit(-1))
-    return calls.join(settled.unionByName(cyclic), ["conv_id", "call_id"], "left").withColumn("depth", F.coalesce("d", F.lit(0))).drop("d")
+    return joined(calls, settled.unionByName(cyclic), ["conv_id", "call_id"], "left").withColumn("depth", F.coalesce("d", F.lit(0))).drop("d")
 
 
 def link_calls(messages: DataFrame, tools: dict | None = None) -> DataFrame:
@@ -113,7 +120,7 @@ def link_calls(messages: DataFrame, tools: dict | None = None) -> DataFrame:
     """
     calls = depths(calls_of(messages))
     uses = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("uses"))
-    linked = calls.join(uses, ["conv_id", "call_id"], "left").join(results_of(messages), ["conv_id", "call_id"], "left")
+    linked = joined(joined(calls, uses, ["conv_id", "call_id"], "left"), results_of(messages), ["conv_id", "call_id"], "left")
     wrong = F.array(
         F.when(F.col("call_id").isNull(), "no identifier"),
         F.when(F.col("uses") > 1, "repeated identifier"),
@@ -133,14 +140,14 @@ def format_messages(conversations: DataFrame, tools: dict | None = None) -> Data
 
     message_json is ``{"content":text,"role":role}``; an assistant's calls stand in ``"tool_calls"``, in topological order,
     and are taken out of its content. Null roles and texts are JSON nulls. Messages may repeat: calls of repeated
-    (conversation, turn) pairs are listed in each. Other columns are ignored; an empty table gives no row.
+    (conversation, turn) pairs are listed in each. A null conversation or turn is a key like any other. Other columns are ignored; an empty table gives no row.
     """
     messages = conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     calls = link_calls(messages, tools)
     listed = F.array_sort(F.collect_list(F.struct("depth", "place", "call_json")))
     per_message = calls.groupBy("conv_id", "turn").agg(listed.alias("calls"), F.count("*").alias("n_calls"), F.sum(F.size("faults")).alias("n_faults"))
     has = F.contains("text", F.lit("<tool_call>")) & (F.col("role") == "assistant")
-    with_calls = messages.where(F.coalesce(has, F.lit(False))).join(per_message, ["conv_id", "turn"], "left")
+    with_calls = joined(messages.where(F.coalesce(has, F.lit(False))), per_message, ["conv_id", "turn"], "left")
     plain = messages.where(~F.coalesce(has, F.lit(False)))
     null, zero = F.lit("null"), F.lit(0).cast("long")
     content = F.trim(F.regexp_replace("text", CALL, ""))

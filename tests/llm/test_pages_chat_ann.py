@@ -179,6 +179,18 @@ def test_tool_calls(spark):
     assert chat.format_messages(frame.limit(0)).count() == 0
 
 
+def test_calls_with_null_keys(spark):
+    rows = [
+        (None, 1, "assistant", call("b", "search", query="$a") + call("a", "calculate", expression="1")),
+        (None, 2, "tool", '<tool_result>{"id":"a","content":7}</tool_result><tool_result>{"id":"b","content":8}</tool_result>'),
+        (5, None, "assistant", call("c", "calculate", expression="2")),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in chat.format_messages(frame).collect()}
+    assert (got[None, 1].n_calls, got[None, 1].n_faults, got[5, None].n_calls, got[5, None].n_faults) == (2, 0, 1, 1)
+    assert [(c["id"], c["result"]) for c in json.loads(got[None, 1].message_json)["tool_calls"]] == [("a", 7), ("b", 8)]
+
+
 @pytest.mark.parametrize("size", [0, 1])
 def test_runs(size):
     assert repetition.runs(np.ones(size, bool)) == [{"first": 0, "last": 0}] * size
