@@ -14,7 +14,7 @@ def strip(text: Column) -> Column:
 
 
 def lines_to_passages(docs: DataFrame, doc: str, text: Column, least: int = 30, most: int = 5000) -> DataFrame:
-    """(doc, n, section, text): lines under the heading before them; each document is folded in one row."""
+    """(doc, n, section, text): lines under the heading before them; each document is folded in one row."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
     state = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<section:string,text:string>>").alias("out"), F.lit("").alias("body"))
 
@@ -31,6 +31,53 @@ def lines_to_passages(docs: DataFrame, doc: str, text: Column, least: int = 30,
     return each.select(doc, (F.col("n") + 1).alias("n"), "p.section", F.substring("p.text", 1, most).alias("text"))
 
 
+# The source's eight patterns of a numbered section, each with an id and a title, in its order.
+NUMBERED = (
+    r"^(\d+(?:\.\d+)+)\s+(.+?)$",
+    r"^(\d+(?:\.\d+)*)\s+([A-Z][^.]{3,100})$",
+    r"^Section\s+(\d+(?:\.\d+)*)\s*[:–-]\s*(.+?)$",
+    r"^(\d+\.\d+)\s+(.+?)$",
+    r"^(\d+)\)\s+(.+?)$",
+    r"^(\d+)\.\s+([A-Za-z].+?)$",
+    r"^([A-Z]\d+)\s+(.+?)$",
+    r"^(\d+)\s+([A-Z][^.]{3,100})$",
+)
+
+
+def section_heading(line: Column) -> Column:
+    """struct<id, title> by the first pattern with a valid match, else null. As in the source, a bare number is no valid id."""
+
+    def matched(pattern):
+        number, title = (F.regexp_extract(line, "(?Ud)" + pattern, i) for i in (1, 2))
+        title = strip(title)
+        size = F.char_length(title)
+        valid = (F.char_length(number) < 20) & (size > 3) & (size < 200) & ~F.lower(title).startswith("page") & ~number.rlike(r"(?U)^\d+$")
+        return F.when(valid, F.struct(number.alias("id"), title.alias("title")))
+
+    return F.coalesce(*map(matched, NUMBERED))
+
+
+def numbered_sections(docs: DataFrame, doc: str, text: Column, least: int = 20, whole: int = 50) -> DataFrame:
+    """(doc, n, id, title, text): the lines from each numbered heading on, heading first, where longer than `least`.
+
+    Lines before the first heading belong to no section; a text without any section is one, if longer than `whole`.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: x != "")
+    kind = "array<struct<id:string,title:string,text:string>>"
+    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), section_heading(x).alias("head"))), lambda x: x["head"].isNotNull())
+    each = docs.select(doc, lines.alias("_lines"), numbered.alias("_heads"))
+
+    def section(head, i):
+        end = F.coalesce(F.get("_heads", i + 1)["at"], F.size("_lines"))
+        body = F.array_join(F.slice("_lines", head["at"] + 1, end - head["at"]), "\n")
+        return F.struct(head["head"]["id"].alias("id"), head["head"]["title"].alias("title"), body.alias("text"))
+
+    found = F.filter(F.transform("_heads", section), lambda s: F.char_length(s["text"]) > least)
+    full = F.array_join("_lines", "\n")
+    one = F.when(F.char_length(full) > whole, F.array(F.struct(F.lit("1").alias("id"), F.lit("Full Document").alias("title"), full.alias("text")))).otherwise(F.array().cast(kind))
+    return each.select(doc, F.posexplode(F.when(F.size(found) > 0, found).otherwise(one)).alias("n", "s")).select(doc, (F.col("n") + 1).alias("n"), "s.id", "s.title", "s.text")
+
+
 def markdown_sections(docs: DataFrame, doc: str, text: Column) -> DataFrame:
     """(doc, n, section, text) at ``#`` headings; what comes before the first has an empty section."""
     parts = F.filter(F.split(text, r"(?m)(?=^#{1,6}\s)"), lambda p: F.trim(p) != "")

@@ -156,3 +156,19 @@ def test_family_menu_reads_whole_passages(spark):
     docs = spark.createDataFrame([(1, "x " * 300 + "dans"), (2, "dans")], "doc_id long, text string").selectExpr("*", "'en' as lang")
     read = lambda name: docs
     assert {r.doc_id: (r.family, r.hits) for r in inventory.menu(read).collect()} == {1: ("C", 1), 2: ("C", 1)}
+
+
+def test_numbered_sections(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import segment
+
+    text = "Before\n1.1 Scope of it\nEveryone who works here.\n12 Page\n Section 2.1: Duties\nThe owner keeps the list.\n\nA12 Asset list\nAll assets are listed.\n3. Title alone\n4.1 Page 3 of these"
+    docs = spark.createDataFrame([(1, text), (2, "no heading at all " * 4), (3, "short"), (4, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n, r.id, r.title, r.text) for r in segment.numbered_sections(docs, "doc_id", F.col("text")).collect())
+    assert got == [
+        (1, 1, "1.1", "Scope of it", "1.1 Scope of it\nEveryone who works here.\n12 Page"),
+        (1, 2, "2.1", "Duties", "Section 2.1: Duties\nThe owner keeps the list."),
+        (1, 3, "A12", "Asset list", "A12 Asset list\nAll assets are listed.\n3. Title alone\n4.1 Page 3 of these"),
+        (2, 1, "1", "Full Document", ("no heading at all " * 4).strip()),
+    ]
