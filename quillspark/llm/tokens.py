@@ -84,7 +84,7 @@ class WordIds:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a whole text, as the library gives them with add_special_tokens=False."""
+        """The ids of a whole text, as the library gives them with add_special_tokens=False and encode_special_tokens=True."""
         if not text:
             return np.empty(0, self.dtype)
         if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text):
