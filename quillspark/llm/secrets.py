@@ -18,43 +18,80 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
-HEX = r"[0-9a-f]{32,}"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
+RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 SPAN = "struct<start: int, kind: int, end: int>"
+NONE = f"cast(array() as array<{SPAN}>)"
 
 
-def found(text: Column, pattern: str, kind: int, value: int = 0, least: int = 1) -> Column:
-    """Spans of the leftmost non-overlapping matches whose group `value` has `least` characters or more; offsets in code points.
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: an expression inside a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks_of(items: Column, size: int) -> Column:
+    """An array as an array of arrays of `size` items. items must be cheap (a column or a bound variable)."""
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda b: F.slice(items, b * size + 1, F.lit(size))))
+
+
+def running(items: Column, step, emit, kind: str, size: int = 256) -> Column:
+    """emit(at, item) of every item, `at` being an int that starts at 0 and becomes step(at, item).
+
+    An array grown item by item costs the square of its length, so items are folded in blocks, and blocks joined at last.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def inner(at, block):
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x))).alias("out")))
+
+    outer = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out"))
+    folded = lambda v: F.aggregate(blocks_of(v, size), outer, lambda acc, block: let(inner(acc["at"], block), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out"))), lambda acc: F.flatten(acc["out"]))
+    return F.coalesce(let(items, folded), none)
+
+
+def found(text: Column, pattern: str, kind: int, value: int = 0, least: int = 1, likely: Column | None = None) -> Column:
+    """(start, kind, end, match) of the leftmost non-overlapping matches whose group `value` has `least` characters or more; offsets in code points.
 
     The text between matches (split) and the matches (regexp_extract_all) alternate, so their lengths give the offsets.
+    `likely`, a cheap condition, is true wherever the pattern matches.
     """
     p = F.lit(pattern)
-    steps = F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"),
-        F.transform(F.regexp_extract_all(text, p, F.lit(0)), F.char_length).alias("size"),
-        F.transform(F.regexp_extract_all(text, p, F.lit(value)), F.char_length).alias("value"),
-    )
-    empty = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans"))
+    matches = F.regexp_extract_all(text, p, F.lit(0))
+    values = F.regexp_extract_all(text, p, F.lit(value)) if value else matches
+    steps = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"), matches.alias("match"), F.transform(values, F.char_length).alias("value"))
+    shape = f"{SPAN[:-1]}, match: string, value: int>"
+
+    def span(at, x):
+        start = at + x["gap"]
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.char_length(x["match"])).alias("end"), x["match"].alias("match"), x["value"].alias("value"))
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"))
-        return F.struct((start + F.coalesce(x["size"], F.lit(0))).alias("at"), F.when(x["value"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    spans = running(steps, lambda at, x: at + x["gap"] + F.coalesce(F.char_length(x["match"]), F.lit(0)), span, shape)
+    here = F.rlike(text, p) if likely is None else likely & F.rlike(text, p)
+    return F.when(here, F.filter(spans, lambda x: x["value"] >= least)).otherwise(F.expr(f"cast(array() as array<{shape}>)"))
 
-    return F.when(F.rlike(text, p), F.aggregate(steps, empty, step, lambda acc: acc["spans"])).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+
+def bare(spans: Column) -> Column:
+    """Spans without their matches."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
 def labelled_samples(docs: DataFrame, text_col: str, rows: int) -> DataFrame:
-    """(value, random): a sample of about `rows` documents' words as ordinary identifiers, and as many random strings."""
+    """(value, random): a sample of about `rows` documents' words as ordinary identifiers, and as many random strings.
+
+    The sample is taken by a hash of the text against a bound of 64 bits, so its size is about `rows` at any number of
+    documents; copies of one text count once.
+    """
     spark = docs.sparkSession
     share = min(1.0, rows / max(1, docs.count()))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    bound = min((1 << 63) - 1, int((share - 0.5) * (1 << 64)))
     # Words of texts that match no pattern: a text with a secret isn't a sample of ordinary words.
-    clean = docs.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select(text.alias("t")).where(reduce(lambda a, b: a & b, (~F.rlike("t", F.lit(p)) for p in (ASSIGN, ACCESS, HEX))))
+    clean = docs.where(F.xxhash64(text) <= F.lit(bound)).select(text.alias("t")).distinct().where(reduce(lambda a, b: a & b, (~F.rlike("t", F.lit(p)) for p in (ASSIGN, ACCESS, HEX))))
     words = F.regexp_extract_all("t", F.lit(r"[A-Za-z]{3,}"), F.lit(0))
-    pairs = clean.select(F.posexplode(F.transform(words, lambda w, i: F.struct(w.alias("a"), F.coalesce(F.get(words, i + 1), w).alias("b")))).alias("i", "p")).select("p.a", "p.b")
+    paired = let(words, lambda v: F.transform(v, lambda w, i: F.struct(w.alias("a"), F.coalesce(F.get(v, i + 1), w).alias("b"))))
+    pairs = clean.select(F.explode(paired).alias("p")).select("p.a", "p.b")
     a, b = F.col("a"), F.col("b")
     ordinary = pairs.select(F.explode(F.array(a, F.lower(F.concat(a, F.lit("_"), b)), F.concat(F.initcap(a), F.initcap(b)), F.lower(F.concat_ws("-", a, b)), F.upper(F.concat_ws("_", a, b)), F.concat(F.lower(a), F.lit("_"), F.length(b).cast("string")))).alias("value"))
     digest = F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 256)
@@ -81,10 +118,18 @@ def train(samples: DataFrame, smooth: float = 0.5) -> list[float]:
 
 
 def ratio(value: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio of a string over ALPHABET."""
+    """Log-likelihood ratio of a string over ALPHABET, in one pass over its letters."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substr(value, i, F.lit(1))) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, at(i) * len(ALPHABET) + at(i + 1)))
+    n = len(ALPHABET)
+    letters = F.filter(F.split(value, ""), lambda c: c != "")
+    zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+
+    def step(acc, c):
+        code = F.instr(F.lit(ALPHABET), c) - 1
+        more = F.when(acc["last"] < 0, F.lit(0.0)).otherwise(F.get(table, acc["last"] * n + code))
+        return F.struct(code.alias("last"), (acc["sum"] + more).alias("sum"))
+
+    return F.aggregate(letters, zero, step, lambda acc: acc["sum"])
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", out_col: str = "secrets", sample_rows: int = 300, least: float = 12.0, per_letter: float = 0.6, model: list[float] | None = None) -> DataFrame:
@@ -93,20 +138,34 @@ def scan(docs: DataFrame, *, text_col: str = "text", out_col: str = "secrets", s
     Pattern matches come first; a Markov span is kept where it overlaps none of them. The models are trained on
     about sample_rows documents (a documented bound) unless a model is given. A null text is empty and has no span.
     Repeated rows are scanned each; an empty table gives an empty one. Columns of docs other than out_col stay.
+    The work grows with a text's length and with the number of its matches, however long either is.
     """
     model = model or train(labelled_samples(docs, text_col, sample_rows))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.withColumn("_base", F.concat(found(text, ASSIGN, 0, 2, 8), found(text, ACCESS, 1), found(text, HEX, 2)))
-    runs = base.withColumn("_runs", found(text, RUN, 3))
+    named = let(F.lower(text), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in ("passw", "secret", "token", "api"))))
+    runs = docs.withColumn("_runs", found(text, RUN, 3))
+    base = runs.withColumn("_base", F.concat(bare(found(text, ASSIGN, 0, 2, 8, named)), bare(found(text, ACCESS, 1, likely=F.contains(text, F.lit("AKIA")))), bare(found(text, HEX, 2, likely=F.size("_runs") > 0))))
 
     def secret(s):
-        value = F.substr(text, s["start"] + 1, s["end"] - s["start"])
-        score = ratio(value, model)
-        apart = ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-        return apart & (score >= F.greatest(F.lit(least), F.lit(per_letter) * F.length(value)))
+        return ratio(s["match"], model) >= F.greatest(F.lit(least), F.lit(per_letter) * F.char_length(s["match"]))
+
+    # Only strings that the models take for random are held against the pattern matches.
+    random = base.withColumn("_random", F.when(F.size("_runs") > 0, bare(F.filter("_runs", secret))).otherwise(F.expr(NONE)))
+    return random.withColumn(out_col, F.array_sort(F.concat("_base", apart(F.col("_random"), F.col("_base"))))).drop("_base", "_runs", "_random")
+
 
-    more = F.when(F.size("_runs") > 0, F.filter("_runs", secret)).otherwise(F.col("_runs"))
-    return runs.withColumn(out_col, F.array_sort(F.concat("_base", more))).drop("_base", "_runs")
+def apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others: one pass up and one down over both, sorted by their places."""
+    mark = lambda xs, own: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["kind"].alias("kind"), s["end"].alias("end")))
+    kind = "struct<start: int, own: int, kind: int, end: int, free: boolean>"
+    both = F.array_sort(F.concat(mark(others, 0), mark(spans, 1)))
+    told = lambda x, free: F.struct(x["start"].alias("start"), x["own"].alias("own"), x["kind"].alias("kind"), x["end"].alias("end"), free.alias("free"))
+    # Up: no pattern match that begins at or before the span ends after its start. Places count down in the second pass.
+    up = running(both, lambda at, x: F.when(x["own"] == 0, F.greatest(at, x["end"])).otherwise(at), lambda at, x: told(x, at <= x["start"]), kind)
+    far = (1 << 31) - 1
+    down = running(F.reverse(up), lambda at, x: F.when(x["own"] == 0, far - x["start"]).otherwise(at), lambda at, x: told(x, x["free"] & ((at == 0) | (far - at >= x["end"]))), kind)
+    kept = bare(F.filter(F.reverse(down), lambda x: (x["own"] == 1) & x["free"]))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), kept).otherwise(spans)
 
 
 def written(spans: Column) -> Column:
@@ -119,13 +178,18 @@ def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", *
     """docs with every secret of text_col replaced by mark (touching or overlapping spans by one). Null texts stay null."""
     scanned = scan(docs, text_col=text_col, out_col="_spans", **options)
     t = F.col(text_col)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        new = s["start"] > acc["at"]
-        begins = new | ((acc["at"] == 0) & (s["start"] == 0))
-        gap = F.substr(t, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(begins, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def cut(at, s):
+        return F.struct(at.alias("prev"), F.greatest(at, s["start"]).alias("stop"), ((s["start"] > at) | ((at == 0) & (s["start"] == 0))).alias("new"))
+
+    cuts = running(F.col("_spans"), lambda at, s: F.greatest(at, s["end"]), cut, "struct<prev: int, stop: int, new: boolean>")
+
+    def pieces(block):
+        """What stays before each of a block's secrets, cut out of the block's own part of the text."""
+        low = F.get(block, F.lit(0))["prev"]
+        part = F.substr(t, low + 1, F.element_at(block, -1)["stop"] - low)
+        return let(part, lambda own: F.transform(block, lambda c: F.concat(F.substr(own, c["prev"] - low + 1, c["stop"] - c["prev"]), F.when(c["new"], F.lit(mark)).otherwise(F.lit("")))))
 
-    rest = lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1, F.length(t)))
-    return scanned.withColumn(text_col, F.when(F.size("_spans") > 0, F.aggregate("_spans", first, step, rest)).otherwise(t)).drop("_spans")
+    rest = F.substr(t, F.array_max(F.transform("_spans", lambda s: s["end"])) + 1, F.char_length(t))
+    joined = F.array_join(F.flatten(let(cuts, lambda v: F.transform(blocks_of(v, 64), pieces))), "")
+    return scanned.withColumn(text_col, F.when(F.size("_spans") > 0, F.concat(joined, rest)).otherwise(t)).drop("_spans")
