@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -62,8 +63,12 @@ def read_varint(data, at: int) -> tuple[int, int]:
             return n, at
 
 
+def hashes(key: bytes) -> tuple[int, int]:
+    return zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1
+
+
 def probes(key: bytes, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1
+    a, b = hashes(key)
     return [(a + i * b) % bits for i in range(PROBES)]
 
 
@@ -72,7 +77,8 @@ class Writer:
 
     def __init__(self, out, id_bytes: int):
         self.out, self.id_bytes = out, id_bytes
-        self.block, self.index, self.keys = bytearray(), [], []
+        self.block, self.index = bytearray(), []
+        self.hashes = array("I")  # two for each distinct key: 8 bytes a key, whatever its length
         self.at = self.n = self.ids = self.in_block = 0
         self.last = b""
 
@@ -84,9 +90,9 @@ class Writer:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
+        if not self.n or key != self.last:
+            self.hashes.extend(hashes(key))
         self.last, self.n, self.in_block, self.ids = key, self.n + 1, self.in_block + 1, self.ids + len(value) // self.id_bytes
-        if not self.keys or self.keys[-1] != key:
-            self.keys.append(key)
         if len(self.block) >= BLOCK:
             self.flush()
 
@@ -100,13 +106,14 @@ class Writer:
 
     def close(self) -> None:
         self.flush()
-        bits = max(64, BITS * len(self.keys) + 7 & ~7)
-        bloom = bytearray(bits // 8)
-        for key in self.keys:
-            for p in probes(key, bits):
-                bloom[p >> 3] |= 1 << (p & 7)
+        bits = max(64, BITS * (len(self.hashes) // 2) + 7 & ~7)
+        bloom = np.zeros(bits // 8, np.uint8)
+        a, b = np.frombuffer(self.hashes, np.uint32).astype(np.int64).reshape(-1, 2).T if self.hashes else (np.empty(0, np.int64),) * 2
+        for i in range(PROBES):
+            at = (a + i * b) % bits
+            np.bitwise_or.at(bloom, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         index = b"".join(self.index)
-        self.out.write(bytes(bloom) + index + FOOTER.pack(self.at, len(bloom), self.at + len(bloom), len(index), self.n, self.ids, self.id_bytes, MAGIC))
+        self.out.write(bloom.tobytes() + index + FOOTER.pack(self.at, len(bloom), self.at + len(bloom), len(index), self.n, self.ids, self.id_bytes, MAGIC))
 
 
 class Table:
@@ -176,32 +183,30 @@ WRITTEN = pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("ids", pa.int
 
 
 def write_shards(batches, uri: str, path: str, end_id: int):
-    """(shard, doc_id, text) sorted by (shard, doc_id) to a file per shard and WRITTEN. A file appears under its name only when whole."""
+    """(doc_id, text) sorted by doc_id to a file for this partition, if it has rows, and WRITTEN. A file appears under its name only when whole."""
     import uuid
 
+    from pyspark import TaskContext
+
+    shard = TaskContext.get().partitionId()
     files, top = opened(uri)
     files.create_dir(top, recursive=True)
     words = word_ids(path)
     end = np.array([end_id], words.dtype).tobytes()
-    shard = writer = out = None
-    done: list[tuple] = []
-
-    def close():
-        if writer is not None:
-            writer.close()
-            out.close()
-            files.move(part, f"{top}/{shard:06d}.sst")
-            done.append((shard, writer.n, writer.ids))
-
+    part = writer = out = None
     for batch in batches:
-        for s, doc_id, ids in encoded(batch, words):
-            if s != shard:
-                close()
-                shard, part = s, f"{top}/.{s:06d}-{uuid.uuid4().hex}"
+        for doc_id, ids in encoded(batch, words):
+            if writer is None:
+                part = f"{top}/.{shard:06d}-{uuid.uuid4().hex}"
                 out = files.open_output_stream(part)
                 writer = Writer(out, words.dtype.itemsize)
             writer.add(key_of(doc_id), ids.tobytes() + end)
-    close()
+    done: list[tuple] = []
+    if writer is not None:
+        writer.close()
+        out.close()
+        files.move(part, f"{top}/{shard:06d}.sst")
+        done.append((shard, writer.n, writer.ids))
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True) if done else [[]] * 3, WRITTEN, strict=True)], schema=WRITTEN)
 
 
@@ -230,22 +235,25 @@ def read_shards(batches, uri: str, starts: list[tuple[int, int]], dtype: str = "
                 yield made(rows)
 
 
-def write_tokens(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tokenizer: str | None = None, shards: int | None = None) -> list[tuple[int, int, int]]:
+def write_tokens(docs: DataFrame, uri: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tokenizer: str | None = None, shards: int | None = None, shard_bytes: int = 256 << 20) -> list[tuple[int, int, int]]:
     """Encode every text and write it to table shards under uri; the shards' (number, documents, ids), in order.
 
-    Shards are ranges of the identifier: all of shard i sorts before all of shard i + 1. The bounds are quantiles
-    of the identifiers; `shards` is the session's number of shuffle partitions by default. A null or empty text is
-    the end id alone. Null identifiers sort first; repeated ones are kept, in the order of their texts. An empty
-    table writes no file. Other columns are ignored, whatever their names.
+    Shards are ranges of the identifier: all of shard i sorts before all of shard i + 1. There are as many as the counted
+    bytes of the texts need at `shard_bytes` each, and at least the session's number of shuffle partitions (so that a
+    small table is spread too), unless `shards` is given. A null or empty text is the end id alone. Null identifiers sort
+    first; repeated ones are kept, in the order of their texts, and one that holds very many rows is spread over shards
+    (equal ones by the row's number, where longer starts of 32 characters are equal too). An empty table writes no file.
+    Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(source.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    # Bounds are doubles: they may lie a little beside the identifiers, which moves rows between shards and keeps the order.
-    shard = F.lit(0) if not bounds else F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id").cast("double"))), F.lit(0))
-    dealt = source.select(F.when(F.col("doc_id").isNull(), 0).otherwise(shard).cast("int").alias("shard"), "doc_id", "text").repartitionById(len(bounds) + 1, "shard")
-    rows = dealt.sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "text")
+    if shards is None:
+        held = source.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // shard_bytes))
+    # Spark's range partitioner samples the keys (a bounded number) and cuts at their quantiles.
+    keyed = source.withColumn("_row", F.monotonically_increasing_id())
+    dealt = keyed.repartitionByRange(shards, F.asc_nulls_first("doc_id"), F.asc_nulls_first(F.substring("text", 1, 32)), F.asc("_row"))
+    rows = dealt.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).select("doc_id", "text")
     return sorted(tuple(r) for r in rows.mapInArrow(task("token_store:write_shards", uri, tokenizer or default_tokenizer(), end_id), "shard int, docs long, ids long").collect())
 
 
