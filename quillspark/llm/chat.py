@@ -35,8 +35,8 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Data
 
 
 def quoted(text: Column) -> Column:
-    """A string as a JSON string."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    """A string as a JSON string; null for null."""
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
 
 
 def canonical(json: Column) -> Column:
@@ -45,19 +45,25 @@ def canonical(json: Column) -> Column:
 
 
 def calls_of(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, place, call_id, name, arguments, refers): one row per well- or ill-formed call."""
-    asked = messages.where((F.col("role") == "assistant") & F.contains("text", F.lit("<tool_call>")))
-    each = asked.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("place", "body"))
+    """(conv_id, turn, message, place, call_id, name, arguments, refers, raw): one row per well- or ill-formed call.
+
+    message is the sha-256 of the text; rows that repeat a message are one message. raw is the body where the call
+    isn't an object of id, name and arguments only, so nothing of it is lost.
+    """
+    asked = messages.where((F.col("role") == "assistant") & F.contains("text", F.lit("<tool_call>"))).distinct()
+    each = asked.select("conv_id", "turn", F.sha2("text", 256).alias("message"), F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("place", "body"))
     body = F.try_parse_json("body")
     get = lambda path, kind: F.try_variant_get(body, path, kind)
     arguments = F.to_json(get("$.arguments", "variant"))
     refers = F.array_distinct(F.regexp_extract_all(arguments, F.lit(REFERENCE), F.lit(1)))
-    return each.select("conv_id", "turn", "place", get("$.id", "string").alias("call_id"), get("$.name", "string").alias("name"), arguments.alias("arguments"), F.coalesce(refers, F.array().cast("array<string>")).alias("refers"))
+    known = F.array(*map(F.lit, ("id", "name", "arguments")))
+    whole = F.coalesce(F.size(F.array_except(F.json_object_keys(F.to_json(body)), known)) == 0, F.lit(False))
+    return each.select("conv_id", "turn", "message", "place", get("$.id", "string").alias("call_id"), get("$.name", "string").alias("name"), arguments.alias("arguments"), F.coalesce(refers, F.array().cast("array<string>")).alias("refers"), F.when(~whole, F.col("body")).alias("raw"))
 
 
 def results_of(messages: DataFrame) -> DataFrame:
     """(conv_id, call_id, result, result_turn, results): the first result of each identifier, by turn, and how many there are."""
-    told = messages.where(F.contains("text", F.lit("<tool_result>")))
+    told = messages.where(F.contains("text", F.lit("<tool_result>"))).distinct()
     each = told.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(RESULT), F.lit(1))).alias("place", "body"))
     body = F.try_parse_json("body")
     named = each.select("conv_id", "turn", "place", F.try_variant_get(body, "$.id", "string").alias("call_id"), F.to_json(F.try_variant_get(body, "$.content", "variant")).alias("content"))
@@ -86,34 +92,67 @@ def faults(name: Column, arguments: Column, tools: dict) -> Column:
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """calls with depth: 0 without references to calls of the conversation, else one more than the deepest of them; -1 in a cycle.
+    """calls with depth: 0 without references to calls of the conversation, else one more than the deepest of them; -1 in or above a cycle.
 
-    Kahn's layers: each round settles the calls all of whose references are settled. Only calls with references
-    enter the rounds, and there are as many rounds as the longest chain has calls.
+    Only calls with references enter. Chains of calls with one reference each are shortened by pointer doubling (a chain
+    of n calls takes log2 n rounds); what is left are calls with several references, settled layer by layer (Kahn).
     """
-    keyed = calls.where("call_id is not null").select("conv_id", "call_id").distinct()
-    needs = calls.where("call_id is not null and size(refers) > 0").select("conv_id", "call_id", F.explode("refers").alias("needs")).distinct()
+    key = ["conv_id", "call_id"]
+    keyed = calls.where("call_id is not null").select(*key).distinct()
+    needs = calls.where("call_id is not null and size(refers) > 0").select(*key, F.explode("refers").alias("needs")).distinct()
     open_ = materialize(joined(needs, keyed.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "inner"), "needs")
     if open_.isEmpty():
         return calls.withColumn("depth", F.lit(0))
-    layers, depth = [], 1
-    settled_names = open_.select("conv_id", "call_id").distinct()
+    degree = open_.groupBy(*key).agg(F.count("*").alias("n"), F.min("needs").alias("up"))
+    chain = materialize(degree.where("n = 1").select(*key, "up", F.lit(1).cast("long").alias("steps")), "chain")
+    most, reach = chain.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0, 1
+    while reach <= most:
+        ahead = chain.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+        moved = materialize(joined(chain, ahead, ["conv_id", "up"], "left"), "chain")
+        if moved.where("next is not null").isEmpty():
+            break
+        chain, reach = moved.select(*key, F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), 2 * reach
+    # Pointers that, after more steps than there are calls, still end at a call of a chain go round.
+    on = chain.select("conv_id", F.col("call_id").alias("up"))
+    loops = joined(chain, on, ["conv_id", "up"], "left_semi").select(*key)
+    straight = joined(chain, on, ["conv_id", "up"], "left_anti")
+    several = degree.where("n > 1").select(*key)
+    if several.isEmpty():
+        settled = straight.select(*key, F.col("steps").alias("d")).unionByName(loops.withColumn("d", F.lit(-1).cast("long")))
+    else:
+        tops = layered(joined(open_, several, key, "left_semi"), straight, loops, several)
+        ends = joined(straight, tops.withColumnsRenamed({"call_id": "up", "d": "top"}), ["conv_id", "up"], "left")
+        below = ends.select(*key, F.when(F.col("top") < 0, F.col("top")).otherwise(F.coalesce("top", F.lit(0)) + F.col("steps")).alias("d"))
+        settled = below.unionByName(loops.withColumn("d", F.lit(-1).cast("long"))).unionByName(tops)
+    return joined(calls, settled, key, "left").withColumn("depth", F.coalesce("d", F.lit(0)).cast("int")).drop("d")
+
+
+def layered(edges: DataFrame, chains: DataFrame, loops: DataFrame, several: DataFrame) -> DataFrame:
+    """(conv_id, call_id, d) of the calls with several references. edges: conv_id, call_id, needs; chains lead from needs to their ends."""
+    key = ["conv_id", "call_id"]
+    through = chains.select("conv_id", F.col("call_id").alias("needs"), F.col("up").alias("end"), "steps")
+    ends = joined(edges, through, ["conv_id", "needs"], "left").select(*key, "needs", F.coalesce("end", "needs").alias("top"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    late = several.select("conv_id", F.col("call_id").alias("top"), F.lit(True).alias("late"))
+    round_ = loops.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("loop"))
+    marked = joined(joined(ends, late, ["conv_id", "top"], "left"), round_, ["conv_id", "needs"], "left")
+    # An edge's value is null until the call at its top is settled: at once for calls without references, never for a loop.
+    left = materialize(marked.select(*key, F.when(F.col("loop").isNull(), F.col("top")).alias("top"), "steps", F.when(F.col("late").isNull() & F.col("loop").isNull(), F.col("steps")).alias("value")), "layer")
+    layers = []
     while True:
-        waiting = open_.select("conv_id", F.col("call_id").alias("needs")).distinct()
-        blocked = joined(open_, waiting, ["conv_id", "needs"], "left_semi").select("conv_id", "call_id").distinct()
-        ready = materialize(joined(open_.select("conv_id", "call_id").distinct(), blocked, ["conv_id", "call_id"], "left_anti"), "ready")
+        state = left.groupBy(*key).agg(F.max("value").alias("d"), F.count_if(F.col("value").isNull()).alias("waits"))
+        ready = materialize(state.where("waits = 0").select(*key, "d"), "ready")
         if ready.isEmpty():
             break
-        layers.append(ready.withColumn("depth", F.lit(depth)))
-        open_ = materialize(joined(open_, ready, ["conv_id", "call_id"], "left_anti"), "needs")
-        depth += 1
-    settled = reduce(DataFrame.unionByName, layers).withColumn("d", F.col("depth")).drop("depth") if layers else settled_names.limit(0).withColumn("d", F.lit(0))
-    cyclic = open_.select("conv_id", "call_id").distinct().withColumn("d", F.lit(-1))
-    return joined(calls, settled.unionByName(cyclic), ["conv_id", "call_id"], "left").withColumn("depth", F.coalesce("d", F.lit(0))).drop("d")
+        layers.append(ready)
+        rest = joined(left, ready, key, "left_anti")
+        met = joined(rest, ready.withColumnRenamed("call_id", "top"), ["conv_id", "top"], "left")
+        left = materialize(met.select(*key, "top", "steps", F.coalesce("value", F.when(F.col("top").isNotNull(), F.col("d") + F.col("steps"))).alias("value")), "layer")
+    cyclic = left.select(*key).distinct().withColumn("d", F.lit(-1).cast("long"))
+    return reduce(DataFrame.unionByName, layers, cyclic)
 
 
 def link_calls(messages: DataFrame, tools: dict | None = None) -> DataFrame:
-    """One row per call: conv_id, turn, place, call_id, name, depth, arguments, result, result_turn, faults, call_json.
+    """One row per call: conv_id, turn, message, place, call_id, name, depth, arguments, result, result_turn, faults, call_json.
 
     Faults also name a missing or repeated identifier, a missing, repeated or earlier result, and a cycle. In a conversation,
     (depth, turn, place) is a topological order of the calls. Calls without a result keep null ones.
@@ -131,23 +170,26 @@ def link_calls(messages: DataFrame, tools: dict | None = None) -> DataFrame:
     )
     checked = linked.withColumn("faults", F.concat(F.array_compact(wrong), faults(F.col("name"), F.col("arguments"), TOOLS if tools is None else tools)))
     null = F.lit("null")
-    json = F.concat(F.lit('{"arguments":'), F.coalesce("arguments", null), F.lit(',"id":'), F.coalesce(quoted(F.col("call_id")), null), F.lit(',"name":'), F.coalesce(quoted(F.col("name")), null), F.lit(',"result":'), F.coalesce("result", null), F.lit("}"))
-    return checked.select("conv_id", "turn", "place", "call_id", "name", "depth", "arguments", "result", "result_turn", "faults", json.alias("call_json"))
+    json = F.concat(F.lit('{"arguments":'), F.coalesce("arguments", null), F.lit(',"id":'), F.coalesce(quoted(F.col("call_id")), null), F.lit(',"name":'), F.coalesce(quoted(F.col("name")), null), F.coalesce(F.concat(F.lit(',"raw":'), quoted(F.col("raw"))), F.lit("")), F.lit(',"result":'), F.coalesce("result", null), F.lit("}"))
+    return checked.select("conv_id", "turn", "message", "place", "call_id", "name", "depth", "arguments", "result", "result_turn", "faults", json.alias("call_json"))
 
 
 def format_messages(conversations: DataFrame, tools: dict | None = None) -> DataFrame:
     """One row per message: conv_id, turn, role, n_calls, n_faults, message_json.
 
     message_json is ``{"content":text,"role":role}``; an assistant's calls stand in ``"tool_calls"``, in topological order,
-    and are taken out of its content. Null roles and texts are JSON nulls. Messages may repeat: calls of repeated
-    (conversation, turn) pairs are listed in each. A null conversation or turn is a key like any other. Other columns are ignored; an empty table gives no row.
+    and are taken out of its content. Null roles and texts are JSON nulls. Rows that repeat a message count as one for
+    its calls and results, and each comes out; messages that differ in their text are apart even where they share
+    conversation and turn. A null conversation or turn is a key like any other. A call that isn't an object of id, name
+    and arguments only keeps its body as ``"raw"``. Other columns are ignored; an empty table gives no row.
     """
     messages = conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     calls = link_calls(messages, tools)
     listed = F.array_sort(F.collect_list(F.struct("depth", "place", "call_json")))
-    per_message = calls.groupBy("conv_id", "turn").agg(listed.alias("calls"), F.count("*").alias("n_calls"), F.sum(F.size("faults")).alias("n_faults"))
+    per_message = calls.groupBy("conv_id", "turn", "message").agg(listed.alias("calls"), F.count("*").alias("n_calls"), F.sum(F.size("faults")).alias("n_faults"))
     has = F.contains("text", F.lit("<tool_call>")) & (F.col("role") == "assistant")
-    with_calls = joined(messages.where(F.coalesce(has, F.lit(False))), per_message, ["conv_id", "turn"], "left")
+    asking = messages.where(F.coalesce(has, F.lit(False))).withColumn("message", F.sha2("text", 256))
+    with_calls = joined(asking, per_message, ["conv_id", "turn", "message"], "left")
     plain = messages.where(~F.coalesce(has, F.lit(False)))
     null, zero = F.lit("null"), F.lit(0).cast("long")
     content = F.trim(F.regexp_replace("text", CALL, ""))
