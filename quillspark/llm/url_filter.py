@@ -3,24 +3,30 @@
 Level 0 encodes the listed keys, level 1 the corpus keys that level 0 takes for listed, level 2 the listed keys
 that level 1 takes for those, and so on until no error is left. Over the corpus's complete key universe membership
 is then exact: a key is listed if and only if the first level without it is an odd one (or, where no level is
-without it, if the last level is an even one). Filters are constants in the plan: nothing is joined to the corpus.
+without it, if the last level is an even one). A level's words are one row of a small table, which the plan holds
+once as a scalar subquery: nothing is joined to the corpus. A list too large for one cascade is dealt by a hash of
+the key to several, and the corpus passes them one after the other.
 
 A key is a tag and a host suffix with a path prefix. Only suffixes with as many labels and prefixes of as many
-characters as some listed key has are formed, so their number per URL is bounded by the list.
+characters as some listed key has are formed; the corpus passes lists of very many such shapes in groups of them.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm._spark import materialize
+
 # The rules in force, and hosts that are refused where no rule fits.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 REFUSED = ("ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
 
-MOST_BITS = 1 << 25
+#: Bits of one level at most (16 MB): what a cascade broadcasts is bounded, whatever the list.
+MOST_BITS = 1 << 27
 
 
 def values(spark: SparkSession, keys: list[str]) -> DataFrame:
@@ -43,13 +49,13 @@ class Level:
         return [F.pmod(a + F.lit(i) * b, F.lit(self.bits)) for i in range(self.probes)]
 
     def fill(self, keys: DataFrame) -> None:
-        """The words are built by partial bitwise ORs; MOST_BITS bounds what reaches the driver (4 MB)."""
+        """The words are built by partial bitwise ORs and kept as one row; no key and no word passes through the driver's code."""
         at = keys.select(F.explode(F.array(*self.places(F.col("key")))).alias("at"))
-        word = at.groupBy((F.shiftright("at", 6)).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-        words = [0] * (self.bits // 64)
-        for r in word.collect():
-            words[r["word"]] = r["bits"]
-        self.words = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+        word = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bits"))
+        every = keys.sparkSession.range(self.bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+        whole = word.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+        row = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
+        self.words = materialize(row, "level").scalar()
 
     def has(self, key: Column) -> Column:
         hit = F.lit(True)
@@ -66,19 +72,18 @@ class Cascade:
     ones; later levels err on one key in two. An empty list gives a cascade that holds nothing.
     """
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, most: int = 30):
-        listed = listed.where("key is not null").distinct()
+    def __init__(self, listed: DataFrame, universe: DataFrame, most: int = 60):
+        listed = materialize(listed.where("key is not null").distinct(), "listed")
         r = listed.count()
         self.levels: list[Level] = []
         if not r:
             return
         foreign = max(1, universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"] - r)
-        inside, error = listed, min(0.5, math.sqrt(0.5) * r / foreign)
-        outside = universe
+        inside, outside, error = listed, universe, first_error(r, foreign)
         for number in range(most):
-            bits = max(64, math.ceil(-max(1, r) * math.log(error) / math.log(2) ** 2 / 64) * 64)
+            bits = bits_for(r, error)
             if bits > MOST_BITS:
-                raise ValueError(f"{r} keys need {bits} bits; split the list by a hash of the key into cascades of {MOST_BITS} bits at most")
+                raise ValueError(f"{r} keys need {bits} bits: deal them to several cascades (see pieces_for)")
             level = Level(number, bits, max(1, round(-math.log2(error))))
             level.fill(inside)
             self.levels.append(level)
@@ -86,11 +91,10 @@ class Cascade:
             wrong = outside.where(level.has(F.col("key"))).distinct()
             if number == 0:
                 wrong = wrong.join(listed, "key", "left_anti")
-            wrong = values(universe.sparkSession, kept) if len(kept := [x["key"] for x in wrong.limit(10_001).collect()]) <= 10_000 else wrong
-            inside, outside, error = wrong, inside, 0.5
-            if isinstance(kept, list) and not kept:
+            wrong = materialize(wrong, "wrong")
+            inside, outside, error, r = wrong, inside, 0.5, wrong.count()
+            if not r:
                 break
-            r = len(kept) if len(kept) <= 10_000 else wrong.count()
         else:
             raise ValueError("the cascade did not close")
 
@@ -102,6 +106,19 @@ class Cascade:
         return out
 
 
+def first_error(listed: int, foreign: int) -> float:
+    return min(0.5, math.sqrt(0.5) * listed / foreign)
+
+
+def bits_for(keys: int, error: float) -> int:
+    return max(64, math.ceil(-max(1, keys) * math.log(error) / math.log(2) ** 2 / 64) * 64)
+
+
+def pieces_for(keys: int, foreign: int, most_bits: int) -> int:
+    """How many cascades a list needs, with room for uneven hashes and for a second level as large as the first."""
+    return max(1, math.ceil(1.25 * bits_for(keys, first_error(keys, max(1, foreign))) / most_bits))
+
+
 def parts(url: Column) -> tuple[Column, Column]:
     """(host, path): both empty for a null or one without ``://``."""
     rest = F.substr(url, F.instr(url, "://") + 3, F.char_length(url))
@@ -111,46 +128,84 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.when(full, host).otherwise(F.lit("")), F.when(full, path).otherwise(F.lit(""))
 
 
-def labels_in(host: str) -> int:
-    return host.count(".") + 1
+def as_table(spark: SparkSession, rows, *names: str) -> DataFrame:
+    """A list of tuples (or of strings) as string columns; a DataFrame as it is, by its own columns in order."""
+    if isinstance(rows, DataFrame):
+        return rows.select(*(F.col(c).cast("string").alias(n) for c, n in zip(rows.columns, names, strict=False)))
+    made = [r if isinstance(r, tuple) else (r,) for r in rows]
+    return spark.createDataFrame(made, ", ".join(f"{n} string" for n in names))
 
 
-def judge(pages: DataFrame, *, url_col: str = "url", rules=RULES, refused=REFUSED) -> DataFrame:
+def judge(pages: DataFrame, *, url_col: str = "url", rules=RULES, refused=REFUSED, most_bits: int = MOST_BITS, group: int = 64) -> DataFrame:
     """pages with host, path, rule, verdict.
 
     A rule (host and path prefix, "allow" or "block") fits its host and all subdomains where the path starts with
     the rule's; the longest wins (equal lengths: the longer host; block before allow). Where none fits, `rule` is null
-    and the verdict is block for a refused host or its subdomains, else allow. Null URLs have empty parts and are
-    allowed. Repeated rows are judged each, an empty table gives an empty one. Input columns named as an output are replaced.
+    and the verdict is block for a refused host or its subdomains, else allow. rules (rule, verdict) and refused (host)
+    are lists or tables of any length; null entries are none. Null URLs have empty parts and are allowed. Repeated rows
+    are judged each, an empty table gives an empty one. Input columns named as an output are replaced.
     """
     spark = pages.sparkSession
-    split_rules = [(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for r, v in rules]
+    rule = as_table(spark, rules, "rule", "verdict").where("rule is not null")
+    # A rule without a path fits every path: its prefix is "/", as if it ended there.
+    rule = rule.withColumn("rule", F.when(F.contains("rule", F.lit("/")), F.col("rule")).otherwise(F.concat("rule", F.lit("/"))))
+    at = F.substring_index("rule", "/", 1)
+    label_count = lambda h: F.size(F.split(h, r"\.", -1))
+    of_rules = rule.select(F.concat(F.lit("r:"), "rule").alias("key"), label_count(at).alias("n"), (F.char_length("rule") - F.char_length(at)).alias("m"), (F.col("verdict") == "block").alias("blocks"))
+    of_hosts = as_table(spark, refused, "host").where("host is not null").select(F.concat(F.lit("h:"), "host").alias("key"), label_count(F.col("host")).alias("n"), F.lit(-1).alias("m"), F.lit(True).alias("blocks"))
+    every = materialize(of_rules.unionByName(of_hosts), "rules")
+    shapes = sorted(tuple(r) for r in every.select("n", "m").distinct().collect())
     host, path = parts(F.col(url_col).cast("string"))
     named = pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
     labels = F.split("host", r"\.", -1)
 
-    def suffix(n: int) -> Column:
-        return F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), "."))
-
-    shapes = sorted({(labels_in(h), len(p)) for h, p, _, _ in split_rules})
-    candidates = [(F.concat(suffix(n), F.when(F.char_length("path") >= m, F.substring("path", 1, m))), n, m) for n, m in shapes]
-    hosts = sorted({labels_in(h) for h in refused})
-    tagged = [F.concat(F.lit(tag), key) for key, _, _ in candidates for tag in ("a:", "b:")] + [F.concat(F.lit("h:"), suffix(n)) for n in hosts]
-    listed = [("a:" if v == "allow" else "b:") + r for _, _, r, v in split_rules] + [f"h:{h}" for h in refused]
-    universe = named.select(F.explode(F.array_compact(F.array(*tagged))).alias("key")) if tagged else values(spark, [])
-    cascade = Cascade(values(spark, listed), universe)
-    if not cascade.levels:
-        return named.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
-
-    fits = [
-        F.when(cascade.has(F.concat(F.lit(tag), key)), F.struct(F.char_length(key).alias("size"), (F.char_length(key) - m).alias("host"), F.lit(int(tag == "b:")).alias("blocks"), key.alias("rule")))
-        for key, _, m in candidates
-        for tag in ("a:", "b:")
-    ]
-    best = F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<size: int, host: int, blocks: int, rule: string>")
-    bad = F.lit(False)
-    for n in hosts:
-        bad = bad | F.coalesce(cascade.has(F.concat(F.lit("h:"), suffix(n))) & suffix(n).isNotNull(), F.lit(False))
-    judged = named.withColumns({"_best": best, "_bad": bad})
-    blocks = F.when(F.col("_best").isNotNull(), F.col("_best.blocks") == 1).otherwise(F.col("_bad"))
-    return judged.withColumns({"rule": F.col("_best.rule"), "verdict": F.when(blocks, "block").otherwise("allow")}).drop("_best", "_bad")
+    def key_of(n: int, m: int) -> Column:
+        """A URL's key of a shape, or null."""
+        suffix = F.array_join(F.slice(labels, -n, n), ".")
+        key = F.concat(F.lit("h:"), suffix) if m < 0 else F.when(F.char_length("path") >= m, F.concat(F.lit("r:"), suffix, F.substring("path", 1, m)))
+        return F.when(F.size(labels) >= n, key)
+
+    told = named.withColumns({"_best": F.lit(None).cast("struct<size: int, host: int, rule: string>"), "_bad": F.lit(False)})
+    groups = [shapes[i : i + group] for i in range(0, len(shapes), group)]
+    for own in groups:
+        listed = every if len(groups) == 1 else every.join(F.broadcast(spark.createDataFrame(own, "n int, m int")), ["n", "m"], "left_semi")
+        universe = named.select(F.explode(F.array_compact(F.array(*(key_of(*shape) for shape in own)))).alias("key"))
+        for inside in cascades(listed, universe, most_bits):
+            hit = {shape: inside(key_of(*shape)) for shape in own}
+            fits = [F.when(hit[n, m], F.struct((F.char_length(key_of(n, m)) - 2).alias("size"), (F.char_length(key_of(n, m)) - 2 - m).alias("host"), F.substr(key_of(n, m), F.lit(3)).alias("rule"))) for n, m in own if m >= 0]
+            bad = [F.coalesce(hit[n, m], F.lit(False)) for n, m in own if m < 0]
+            told = told.withColumns({"_best": F.greatest("_best", *fits) if fits else F.col("_best"), "_bad": reduce(Column.__or__, bad, F.col("_bad"))})
+            if len(groups) > 1 or inside.pieces > 1:
+                told = materialize(told, "judged")
+    # Among the rules, those that block: one more cascade, whose universe is the list.
+    told = told.withColumn("_blocks", F.lit(False))
+    for inside in cascades(every.where("blocks and m >= 0"), every.where("m >= 0"), most_bits):
+        told = told.withColumn("_blocks", F.col("_blocks") | F.coalesce(inside(F.concat(F.lit("r:"), "_best.rule")), F.lit(False)))
+        told = materialize(told, "judged") if inside.pieces > 1 else told
+    blocks = F.when(F.col("_best").isNotNull(), F.col("_blocks")).otherwise(F.col("_bad"))
+    return told.withColumns({"rule": F.col("_best.rule"), "verdict": F.when(blocks, "block").otherwise("allow")}).drop("_best", "_bad", "_blocks")
+
+
+class Piece:
+    """Membership in one cascade of several: false for keys that another one is for, null for null keys."""
+
+    def __init__(self, cascade: Cascade, piece: int, pieces: int):
+        self.cascade, self.piece, self.pieces = cascade, piece, pieces
+
+    def mine(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit("piece")), F.lit(self.pieces)) == self.piece
+
+    def __call__(self, key: Column) -> Column:
+        found = self.cascade.has(key) if self.pieces == 1 else self.mine(key) & self.cascade.has(key)
+        return F.when(key.isNotNull(), found)
+
+
+def cascades(listed: DataFrame, universe: DataFrame, most_bits: int):
+    """The cascades that a list needs, one after the other."""
+    n = listed.count()
+    pieces = pieces_for(n, universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"], most_bits) if 64 * n > most_bits else 1
+    for i in range(pieces):
+        mine = Piece(None, i, pieces).mine(F.col("key")) if pieces > 1 else F.lit(True)
+        cascade = Cascade(listed.where(mine).select("key"), universe.where(mine).select("key"))
+        if cascade.levels:
+            yield Piece(cascade, i, pieces)
