@@ -8,8 +8,9 @@ Method: set-relation skipping (index level and answer level).
   sets that agree on a whole position, about eight tokens at a similarity of 0.9, never all sets with one
   frequent token. Below 0.88 positions are small, so tokens of very many sets are left to a second index.
 * Answer level. Lists give candidate clusters. In a cluster one set leads; every other set is kept as its
-  small difference from the leader, and the answers of each set are derived from those differences
-  (`shingles._answer`). Clusters are cut into blocks of 1,024 sets; each pair of blocks is a task.
+  small difference from the leader, sets are put in an order of similarity, and the answers of each set are
+  derived from the computed answers of the one before it by the lists in which the two differ (`shingles._answer`).
+  Clusters are cut into blocks of 1,024 sets; each pair of blocks is a unit of work.
 
 Equal sets are one class from the start, so copies are never compared; the result carries their number.
 """
@@ -56,9 +57,14 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     common = common_tokens(source, k) if num < 0.88 * den else None
     index = materialize(source.mapInArrow(task("shingles:index_rows", k, num, den, spare, common), INDEX), "index")
 
-    held = index.where("keys is not null").select(F.explode("keys").alias("key"), "doc_id")
-    first = F.min("doc_id").over(Window.partitionBy("key"))
-    edges = held.withColumn("first", first).where("first < doc_id").select("first", "doc_id")
+    # Lists are combined in their tasks first: inside a task each set of a list meets the list's first one there, and only
+    # those first ones are shuffled by the key, so that a list with very many sets isn't gathered in one task.
+    held = index.where("keys is not null").select("keys", "doc_id")
+    firsts = held.mapInArrow(task("shingles:first_of_key", False), "key long, first long, doc_id long").select("key", "doc_id")
+    inside = held.mapInArrow(task("shingles:first_of_key", True), "key long, first long, doc_id long").select("first", "doc_id")
+    least = F.min("doc_id").over(Window.partitionBy("key"))
+    edges = firsts.withColumn("first", least).where("first < doc_id").select("first", "doc_id").unionByName(inside.distinct())
+    edges = edges.select("first", "doc_id")
     clusters = connected_components(edges, "first", "doc_id")
 
     rep = F.min(F.when(F.col("keys").isNotNull(), F.col("doc_id")))

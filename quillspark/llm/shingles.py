@@ -187,13 +187,26 @@ def member_tokens(batches, k):
 ANSWERS = pa.schema([("fp1", pa.int64()), ("fp2", pa.int64()), ("low", pa.int64()), ("min_id", pa.int64()), ("links", pa.int64())])
 
 
+def similar_order(apart: list[list[int]]) -> list[int]:
+    """The sets, each after one that it has much in common with: sorted by their differences from the leader, rarest token first."""
+    n: dict[int, int] = {}
+    for tokens in apart:
+        for t in tokens:
+            n[t] = n.get(t, 0) + 1
+    return sorted(range(len(apart)), key=lambda i: sorted((-n[t], t) for t in apart[i]))
+
+
 def _answer(rows: list[tuple], num: int, den: int, cross: bool) -> list[tuple]:
     """Answers of one pair of blocks. rows: (side, fp1, fp2, min_id, copies, size, difference from the leader).
 
-    With D(Y) = Y xor leader, Y xor Z = D(Y) xor D(Z): the overlap of Y with every Z comes from the two
-    small differences, not from the sets. A list per differing token holds the sets that have it.
+    With D(Y) = Y xor leader, Y xor Z = D(Y) xor D(Z), so sets are compared by their small differences. A list per
+    differing token holds the sets that have it. The answers of the first set (its overlap with every other one) are
+    read from its lists; those of each further set are derived from the answers of the set before it, which is chosen to
+    be highly similar: the lists of the tokens that only the one has are subtracted, those of the other's are added.
     """
     once = list({(r[1], r[2]): r for r in rows}.values())
+    order = similar_order([r[6] for r in once])
+    once = [once[i] for i in order]
     m = len(once)
     side = np.array([r[0] for r in once])
     copies = np.array([r[4] for r in once], np.int64)
@@ -212,12 +225,17 @@ def _answer(rows: list[tuple], num: int, den: int, cross: bool) -> list[tuple]:
             i = parent[i]
         return i
 
+    common, last = np.zeros(m, np.int64), frozenset()
     for i in range(m):
-        shared = [held[t] for t in once[i][6] if t in held]
-        common = np.bincount(np.concatenate(shared), minlength=m) if shared else 0
-        union2 = size + size[i] + (apart + apart[i] - 2 * common)  # twice the union: |Y| + |Z| + |Y xor Z|
-        overlap2 = size + size[i] - (apart + apart[i] - 2 * common)
-        near = den * overlap2 >= num * union2
+        own = frozenset(held.keys() & once[i][6])
+        for t in last - own:
+            common[held[t]] -= 1
+        for t in own - last:
+            common[held[t]] += 1
+        last = own
+        differ = apart + apart[i] - 2 * common  # |Y xor Z|
+        union2 = size + size[i] + differ  # twice the union
+        near = den * (union2 - 2 * differ) >= num * union2
         near[i] = False
         if cross:
             near &= side != side[i]
@@ -257,3 +275,34 @@ def block_answers(batches, num, den):
             yield made()
     flush()
     yield made()
+
+
+FIRSTS = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("doc_id", pa.int64())])
+
+
+def first_of_key(batches, others: bool, window: int = 2_000_000):
+    """(keys, doc_id) to FIRSTS: of each key its smallest doc_id (others false), or the other sets of the list with that one (others true).
+
+    Keys are combined in windows before they are shuffled, so that a list that very many sets enter sends one row a window.
+    """
+
+    def combined(keys, ids):
+        key, doc = np.concatenate(keys), np.concatenate(ids)
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        take = first != doc if others else new
+        return pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(first[take]), pa.array(doc[take])], schema=FIRSTS)
+
+    keys, ids, held = [], [], 0
+    for batch in batches:
+        column = batch.column(0)
+        keys.append(column.flatten().to_numpy(zero_copy_only=False))
+        ids.append(np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())))
+        held += len(keys[-1])
+        if held > window:
+            yield combined(keys, ids)
+            keys, ids, held = [], [], 0
+    if held:
+        yield combined(keys, ids)
