@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-# The obligation words and noise headings of the reference's filters.
+# Defaults of the two general filters below. (The source's own word rules are in obligations.py.)
 OBLIGATION_WORDS = ["must", "shall", "should", "required", "mandatory", "obligation"]
 NOISE_HEADINGS = ["purpose", "scope", "definitions", "references", "introduction", "overview", "table of contents"]
 
@@ -104,7 +104,7 @@ def obligation_text(text: Column, pattern: str) -> Column:
 
 
 def typed_obligations(text: Column, patterns: dict[str, str], least: int = 15) -> Column:
-    """Every sentence under every type whose pattern it matches (so "shall not" comes under two)."""
+    """Every sentence under every type whose pattern it matches (obligations.typed has P19's patterns)."""
     parts = F.filter(F.transform(sentences(text), lambda x: F.trim(x)), lambda s: F.char_length(s) >= least)
     # A second parameter of a lambda would be the index, so the pattern is bound by a function.
     of_type = lambda k, p: F.transform(F.filter(parts, lambda s: F.lower(s).rlike(p)), lambda s: F.struct(s.alias("text"), F.lit(k).alias("type")))
@@ -189,18 +189,18 @@ def labelled_text(parts: dict[str, Column], glue: str = "\n") -> Column:
 
 
 def has_obligation(text: Column, words: list[str] | None = None) -> Column:
-    """any of the words, as a substring."""
+    """Any of the words, as a substring (obligations.holds_any has F1's and F3's words)."""
     return F.lower(text).rlike("|".join(words or OBLIGATION_WORDS))
 
 
 def is_obligation(text: Column, words: list[str] | None = None, noise: list[str] | None = None, least: int = 20) -> Column:
-    """a whole word of the list, no noise heading at the start, and long enough."""
+    """A whole word of the list, no noise heading at the start, and long enough (obligations.by_rule is F2)."""
     low = F.lower(F.trim(text))
     return (F.char_length(F.trim(text)) >= least) & ~low.rlike("^(?:" + "|".join(noise or NOISE_HEADINGS) + r")\b") & low.rlike(r"\b(?:" + "|".join(words or OBLIGATION_WORDS) + r")\b")
 
 
 def is_heading(line: Column, longest_: int = 100, most_words: int = 12) -> Column:
-    """F16: numbered, upper-case or title-case, short, without a final full stop."""
+    """F16: numbered, in upper case or a markdown heading; short, without a final full stop."""
     t = F.trim(line)
     short = (F.char_length(t) > 0) & (F.char_length(t) <= longest_) & (F.size(tokens(t)) <= most_words) & ~F.endswith(t, F.lit("."))
     return short & (t.rlike(r"^\d+(\.\d+)*[.)]?\s+\S") | ((F.upper(t) == t) & t.rlike("[A-Z]")) | t.rlike(r"^#{1,6}\s"))
@@ -215,3 +215,101 @@ def min_max(score: Column, over: WindowSpec) -> Column:
 def of_greatest(score: Column, over: WindowSpec) -> Column:
     """Scores over the group's greatest; 0 where that is 0."""
     return ratio(score, F.max(score).over(over))
+
+
+def first_of_enum(values: Column, order: list[str]) -> Column:
+    """Of a group's values the first listed one that occurs, else the first value."""
+    return F.coalesce(*(F.when(F.array_contains(values, v), F.lit(v)) for v in order), F.get(values, F.lit(0)))
+
+
+def by_status(status: Column, values: dict[str, object], default: object = None) -> Column:
+    """A status to its score, label or code, whatever its case; the default for any other."""
+    known = F.create_map(*(x for k, v in values.items() for x in (F.lit(k.lower()), F.lit(v))))
+    found = F.element_at(known, F.lower(F.trim(status)))
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def status_of_score(score: Column, full: float = 0.9, partial: float = 0.05) -> Column:
+    """P31 backwards: at least `full`, more than `partial`, else not addressed."""
+    return F.when(score >= full, "Fully Addressed").when(score > partial, "Partially Addressed").otherwise("Not Addressed")
+
+
+def applicability_list(text: Column) -> Column:
+    """Items between commas and semicolons, without blank ones; null gives none."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def applicability_found(text: Column, default: str = "P1") -> Column:
+    """The first priority in free text, and "always" if it says so; the default where it says neither."""
+    priority = F.nullif(F.regexp_extract(text, r"(?i)Priority\s+(P\d+)", 1), F.lit(""))
+    found = F.array_compact(F.array(priority, F.when(text.rlike(r"(?i)\balways\s+(?:applicable)?"), "always")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
+
+
+def last_updated(*dates: Column, default: str = "") -> Column:
+    """The first date that isn't blank, as text; the default (such as a run's own date) is a parameter, so results repeat."""
+    return F.coalesce(first_filled(*(d.cast("string") for d in dates)), F.lit(default))
+
+
+def short_id(*parts: Column, prefix: str = "", length: int = 8) -> Column:
+    """A short id from the content, the same in every run."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\x1f", *(p.cast("string") for p in parts)), 256), 1, length))
+
+
+def head_joined(items: Column, n: int, glue: str = "\n") -> Column:
+    """The first n items as one text."""
+    return F.array_join(F.slice(items, 1, n), glue)
+
+
+def sub_items(criteria: Column) -> Column:
+    """The lettered items of all numbered ones (nested_list's result), in order."""
+    return F.flatten(F.transform(criteria, lambda c: c["sub"]))
+
+
+def as_text(items: Column) -> Column:
+    """A list's items that aren't empty, a line each."""
+    return F.trim(F.array_join(F.filter(items, lambda x: x != ""), "\n"))
+
+
+def as_list(text: Column) -> Column:
+    """The lines that aren't blank, trimmed."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def roles_text(roles: Column) -> Column:
+    """P50: array<struct<role, responsibility>> as lines ``role: responsibility``."""
+    return F.array_join(F.transform(roles, lambda r: F.concat(F.coalesce(r["role"], F.lit("")), F.lit(": "), F.coalesce(r["responsibility"], F.lit("")))), "\n")
+
+
+def roles_of(text: Column) -> Column:
+    """P50 backwards: a line's part before its first colon or dash is the role; a line without one has none."""
+    def role(line):
+        parts = F.split(line, r"\s*[:–\-]\s*", 2)
+        two = F.size(parts) == 2
+        return F.struct(F.when(two, F.trim(F.get(parts, F.lit(0)))).otherwise("").alias("role"), F.when(two, F.trim(F.get(parts, F.lit(1)))).otherwise(line).alias("responsibility"))
+
+    return F.transform(as_list(text), role)
+
+
+def xml_escape(text: Column) -> Column:
+    """P24."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
+
+def id_depth(dotted: Column, dots: int = 2) -> Column:
+    """whether an id has exactly so many dots (2: a leaf)."""
+    return dotted.rlike(rf"^[^.]+(?:\.[^.]+){{{dots}}}$")
+
+
+def has_words(text: Column, least: int) -> Column:
+    """F13."""
+    return F.size(tokens(F.coalesce(text, F.lit("")))) >= least
+
+
+def like_glob(name: Column, pattern: str) -> Column:
+    """a file name against a glob of *, ? and [...]."""
+    import fnmatch
+
+    return name.rlike("^" + fnmatch.translate(pattern).replace("\\z", "$").replace("\\Z", "$"))

@@ -163,3 +163,81 @@ def before_and_after(before: DataFrame, after: DataFrame, by: list[str]) -> Data
     """How many rows each group had and has; a group that one side lacks counts 0 there."""
     a, b = (x.groupBy(*by).agg(F.count("*").alias(n)) for x, n in ((before, "before"), (after, "after")))
     return a.join(b, by, "full_outer").na.fill(0, ["before", "after"])
+
+
+def scores_of_labels(mappings: DataFrame, labels: DataFrame, keys: tuple[str, str], ordinal: str, columns: list[str]) -> DataFrame:
+    """Mappings (control_id, passage_id, ...) with the label of the original id, else of the corrected one; others go.
+
+    keys: labels' original and corrected id. Of several labels with one original id the last counts, with one corrected
+    id the first.
+    """
+    packed = F.struct(*columns)
+    side = lambda key, best, name: labels.where(F.trim(key) != "").groupBy(F.trim(key).alias("control_id"), "passage_id").agg(best(packed, F.col(ordinal)).alias(name))
+    both = mappings.join(side(keys[0], F.max_by, "_o"), ["control_id", "passage_id"], "left").join(side(keys[1], F.min_by, "_c"), ["control_id", "passage_id"], "left")
+    return both.withColumn("_l", F.coalesce("_o", "_c")).where("_l is not null").select(*mappings.columns, *(F.col(f"_l.{c}").alias(c) for c in columns))
+
+
+def by_prefix(labels: DataFrame, documents: DataFrame, key: str, doc: str, lengths: list[int] | None = None) -> DataFrame:
+    """Labels with the document whose id begins theirs, by equality of prefixes of the lengths that document ids have."""
+    sizes = lengths or sorted(r[0] for r in documents.select(F.char_length(doc)).distinct().collect())
+    cut = labels.withColumn("_p", F.explode(F.array(*(F.when(F.char_length(key) >= n, F.substring(key, 1, n)) for n in sizes)))).where("_p is not null")
+    return cut.join(documents.select(F.col(doc).alias("_p"), doc), "_p").drop("_p")
+
+
+def merged_catalogue(rows: DataFrame, others: list[DataFrame], key: str, texts: list[str], status: str, ordinal: str) -> DataFrame:
+    """One record of each id: the longest text of every field over its own rows and the other sources (the first of
+    equals), the preferred status, how many rows it had. rows: key, texts, status, ordinal; others: key, texts."""
+    def longest(c, order):
+        return F.max_by(F.col(c), F.struct(F.coalesce(F.char_length(c), F.lit(-1)), -order)).alias(c)
+
+    statuses = F.transform(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(status).alias("s")))), lambda x: x["s"])
+    own = rows.groupBy(key).agg(*(longest(c, F.col(ordinal)) for c in texts), statuses.alias("_s"), F.count("*").alias("source_rows"))
+    out = own
+    for i, other in enumerate(others):
+        once = other.groupBy(key).agg(*(F.max_by(c, F.struct(F.coalesce(F.char_length(c), F.lit(-1)), c)).alias(f"_{i}_{c}") for c in texts))
+        out = out.join(once, key, "left")
+    best = lambda c: reduce(lambda a, b: F.when(F.coalesce(F.char_length(b), F.lit(0)) > F.coalesce(F.char_length(a), F.lit(0)), b).otherwise(a), (F.col(f"_{i}_{c}") for i in range(len(others))), F.col(c))
+    kept = F.coalesce(F.when(F.array_contains("_s", "Complete"), "Complete"), F.when(F.array_contains("_s", "Incomplete"), "Incomplete"), F.get("_s", F.lit(0)))
+    return out.select(key, *(best(c).alias(c) for c in texts), kept.alias(status), "source_rows")
+
+
+def breakdown_matrix(results: DataFrame, policy: str, breakdown: str, tp: str) -> DataFrame:
+    """A4: (policy, family, n) from a stored map of family to count; results without one count their true positives under ``??``."""
+    stored = F.when(F.size(F.coalesce(breakdown, F.create_map().cast("map<string,bigint>"))) > 0, F.col(breakdown)).otherwise(F.create_map(F.lit("??"), F.coalesce(tp, F.lit(0)).cast("long")))
+    return results.select(policy, F.explode(stored).alias("family", "n")).groupBy(policy, "family").agg(F.sum("n").alias("n"))
+
+
+def passage_groups(rows: DataFrame, passage: str, control: str, positive: Column, fields: list[str], ordinal: str) -> DataFrame:
+    """Of each passage the fields of its first row whose first field isn't empty, its positive controls as a sorted set, and their number."""
+    known = F.coalesce(F.col(fields[0]) != "", F.lit(False))
+    first = F.min_by(F.struct(*fields), F.struct(~known, F.col(ordinal)))
+    hits = F.array_sort(F.collect_set(F.when(positive, F.col(control))))
+    grouped = rows.where(F.col(passage).isNotNull()).groupBy(passage).agg(first.alias("f"), hits.alias("positives"))
+    return grouped.select(passage, *(F.col(f"f.{c}").alias(c) for c in fields), "positives", F.size("positives").cast("long").alias("n_positives"))
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], prefix: str, out: str = "number") -> DataFrame:
+    """Sequential ids ``prefix<n>`` by position inside each group (a document: groups are ranked apart)."""
+    return rows.withColumn(out, F.concat(F.lit(prefix), F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("string")))
+
+
+# How often a training row of each kind is repeated, and the lower scores of synthetic rows.
+STATUS_WEIGHTS = {"real_fa": 3, "real_pa": 3, "real_na": 2, "confusable_na": 3, "synthetic": 1}
+SYNTHETIC_SCORES = {"Fully Addressed": 0.85, "Partially Addressed": 0.55, "Not Addressed": 0.0}
+
+
+def synthetic_rows(rows: DataFrame, query: str, passage: str, status: str, least_words: int = 10, cut_query: int = 512, cut_passage: int = 2000) -> DataFrame:
+    """Synthetic pairs as training rows with the lower scores; blank or short ones go, texts take the starts that the source takes."""
+    score = F.element_at(F.create_map(*[x for k, v in SYNTHETIC_SCORES.items() for x in (F.lit(k), F.lit(v))]), F.initcap(F.trim(status)))
+    words = F.size(F.filter(F.split(F.trim(passage), r"\s+"), lambda w: w != ""))
+    kept = rows.withColumn("score", score).where((F.trim(query) != "") & (words >= least_words) & F.col("score").isNotNull())
+    return kept.withColumns({query: F.substring(F.trim(query), 1, cut_query), passage: F.substring(F.trim(passage), 1, cut_passage), "is_synthetic": F.lit(True)})
+
+
+def training_split(real: DataFrame, synthetic: DataFrame, key: list[str], kind: str, seed: int = 42, dev: int = 150) -> tuple[DataFrame, DataFrame]:
+    """(train, dev): dev takes `dev` per mille of the real rows by a keyed hash, once each and never a synthetic one; the
+    other rows, real and synthetic, stand in train as often as their kind weighs (other kinds once)."""
+    split = split_by_hash(real, key, seed, {"dev": dev, "train": 1000 - dev})
+    both = split.where("split = 'train'").unionByName(synthetic.withColumn("split", F.lit("train")), allowMissingColumns=True)
+    weight = F.coalesce(F.element_at(F.create_map(*[x for k, v in STATUS_WEIGHTS.items() for x in (F.lit(k), F.lit(v))]), F.col(kind)), F.lit(1))
+    return replicate(both, weight), split.where("split = 'dev'")

@@ -97,3 +97,14 @@ def neighbours(found: DataFrame, corpus: DataFrame, query: str, doc: str, group:
     hit = found.select(query, doc).join(corpus.select(doc, group), doc).select(query, group).distinct()
     near = hit.join(corpus.select(group, doc), group).join(found.select(query, doc), [query, doc], "left_anti")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(doc))).where(F.col("rank") <= most).select(query, doc, "rank")
+
+
+def search_text(key: Column, name: Column, text: Column, cut: int = 400) -> Column:
+    """What a control is found by: ``id: name``, and the first `cut` characters of its text where it has one."""
+    head = F.concat(key.cast("string"), F.lit(": "), F.coalesce(name, F.lit("")))
+    return F.concat_ws(" ", head, F.nullif(F.substring(F.coalesce(text, F.lit("")), 1, cut), F.lit("")))
+
+
+def query_text(obligation: Column, text: Column) -> Column:
+    """The obligation text, else the full text."""
+    return F.coalesce(F.when(F.trim(obligation) != "", obligation), text)

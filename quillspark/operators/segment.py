@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import is_heading
@@ -147,3 +147,66 @@ def control_passages(controls: DataFrame) -> DataFrame:
     subs = F.transform(F.coalesce("sub_controls", F.array().cast("array<string>")), lambda s: F.struct(F.lit("sub").alias("kind"), s.alias("text")))
     guide = F.array(F.struct(F.lit("guidelines").alias("kind"), F.col("guidelines").alias("text")))
     return controls.select("control_id", F.posexplode(F.filter(F.concat(main, subs, guide), lambda p: F.trim(p["text"]) != "")).alias("n", "p")).select("control_id", "n", "p.kind", "p.text")
+
+
+def paragraph_chunks(docs: DataFrame, doc: str, text: Column, most: int = 2000, least: int = 50, shortest: int = 20) -> DataFrame:
+    """X4 as the source has it: paragraphs between blank lines, those under `shortest` characters skipped, packed in order while
+    their characters stay within `most`, joined by a space; chunks under `least` are dropped. (doc, n, text); a longer
+    paragraph is a chunk of its own, whole."""
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), strip), lambda p: F.char_length(p) >= shortest)
+    state = F.struct(F.array().cast("array<array<string>>").alias("out"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("size"))
+
+    def step(acc, p):
+        full = (acc["size"] + F.char_length(p) > most) & (F.size(acc["now"]) > 0)
+        return F.struct(F.when(full, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]).alias("out"), F.when(full, F.array(p)).otherwise(F.concat(acc["now"], F.array(p))).alias("now"), F.when(full, F.char_length(p)).otherwise(acc["size"] + F.char_length(p)).alias("size"))
+
+    groups = F.aggregate(parts, state, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]))
+    kept = F.filter(F.transform(groups, lambda g: F.array_join(g, " ")), lambda t: F.char_length(t) >= least)
+    return docs.select(doc, F.posexplode(kept).alias("n", "text")).select(doc, (F.col("n") + 1).cast("long").alias("n"), "text")
+
+
+def element_passages(elements: DataFrame, doc: str, ordinal: str, least: int = 50) -> DataFrame:
+    """(doc, section, text): typed elements (category, text) in order; a Title, or a Header under 150 characters, begins a passage.
+
+    Blank elements are skipped, passages under `least` characters dropped; parts are joined by a blank line.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
+    rows = elements.withColumn("_t", text).where("_t <> ''")
+    head = (F.col("category") == "Title") | ((F.col("category") == "Header") & (F.char_length("_t") < 150))
+    marked = rows.withColumn("_h", F.coalesce(head, F.lit(False)))
+    placed = marked.withColumn("_n", F.sum(F.col("_h").cast("int")).over(Window.partitionBy(doc).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.when(~F.col("_h"), F.struct(F.col(ordinal).alias("o"), F.col("_t").alias("t")))))
+    grouped = placed.groupBy(doc, "_n").agg(F.max(F.when(F.col("_h"), F.col("_t"))).alias("section"), F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("text"))
+    return grouped.where(F.char_length("text") >= least).select(doc, "section", "text")
+
+
+def hierarchical_passages(docs: DataFrame, doc: str, text: Column, obligations) -> DataFrame:
+    """(doc, n, section_id, section_title, content, obligations, role, scope, exception) of numbered sections, in order.
+
+    A line ``5.1 Title`` (or a short one ``5) ...``) begins a section, others are joined by a space; a line before the first
+    has no section, a heading without a number keeps the id before it. obligations(content) is an array (P19). A section's
+    role, scope and exception flags come from its title. Sections without text are left out.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: x != "")
+    kind = "struct<id: string, title: string, body: array<string>>"
+
+    def step(acc, line):
+        number = F.regexp_extract(line, r"^(\d+(?:\.\d+)*)\s+(.+)$", 1)
+        loose = (F.char_length(line) < 100) & line.rlike(r"^\d+[.)]")
+        last = F.element_at(acc, -1)
+        new = F.struct(F.when(number != "", number).otherwise(last["id"]).alias("id"), F.when(number != "", F.regexp_extract(line, r"^(\d+(?:\.\d+)*)\s+(.+)$", 2)).otherwise(line).alias("title"), F.array().cast("array<string>").alias("body"))
+        longer = F.struct(last["id"].alias("id"), last["title"].alias("title"), F.concat(last["body"], F.array(line)).alias("body"))
+        return F.when((number != "") | loose, F.concat(acc, F.array(new))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer)))
+
+    start = F.array(F.struct(F.lit("").alias("id"), F.lit("").alias("title"), F.array().cast("array<string>").alias("body")).cast(kind))
+    some = F.filter(F.aggregate(lines, start, step), lambda s: F.size(s["body"]) > 0)
+    each = docs.select(doc, F.posexplode(some).alias("n", "s")).select(doc, (F.col("n") + 1).cast("long").alias("n"), F.col("s.id").alias("section_id"), F.coalesce(F.nullif("s.title", F.lit("")), F.lit("Section")).alias("section_title"), F.array_join("s.body", " ").alias("content"))
+    title = F.lower("section_title")
+    return each.select("*", obligations(F.col("content")).alias("obligations"), title.rlike("role|responsib").alias("role"), title.rlike("scope|applicab").alias("scope"), title.rlike("exception|exemption|waiver").alias("exception"))
+
+
+def structured_text(passages: DataFrame, doc: str, section: str, ordinal: str, text: str) -> DataFrame:
+    """(doc, section, section_id, n, text): a document's passages by section, joined in order, with the id its heading begins with."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(text).alias("t"))))
+    grouped = passages.groupBy(doc, F.coalesce(section, F.lit("")).alias("section")).agg(F.count("*").alias("n"), F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"))
+    return grouped.select(doc, "section", F.regexp_extract("section", r"^(\d+(?:\.\d+)*)", 1).alias("section_id"), "n", "text")

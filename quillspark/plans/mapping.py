@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,13 @@ class Options:
     partial: float = 0.35
     block_before: bool = False
 
+    @classmethod
+    def read(cls, settings: dict[str, str]) -> "Options":
+        """Options from text (an environment, arguments): each cast to its default's type, unknown names passed over."""
+        known = {f.name: f.default for f in fields(cls)}
+        cast = lambda d, v: v.strip().lower() in ("1", "true", "yes") if isinstance(d, bool) else type(d)(v)
+        return cls(**{k: cast(known[k], v) for k, v in settings.items() if k in known})
+
 
 def control_centric(queries: DataFrame, passages: DataFrame, options: Options, *, routing: DataFrame | None = None, blocked_passages: DataFrame | None = None, blocked_pairs: DataFrame | None = None, scorer: Scorer | None = None) -> tuple[DataFrame, DataFrame]:
     """(mappings, retrieval log). queries: query_id, text (and family); passages: doc_id, passage_id, text, ordinal.

@@ -79,3 +79,15 @@ def archive(spark: SparkSession, files: list[str], folder: str) -> list[str]:
         if store.exists(file) and not store.exists(to) and store.rename(file, to):
             moved.append(name)
     return moved
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; in local mode without that setting, under /tmp/checkpoints."""
+    import uuid
+
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        there = "file:///tmp/checkpoints"
+    return f"{there.rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
