@@ -180,7 +180,13 @@ def f1(p: Column, r: Column) -> Column:
 
 def bucket_id(text: Column, prefix: str, n: int = 10_000) -> Column:
     """A reproducible id."""
-    return F.concat(F.lit(prefix), F.pmod(F.crc32(F.encode(text, "utf-8")), F.lit(n)).cast("string"))
+    return F.concat(F.lit(prefix), F.pmod(keyed_hash(text), F.lit(n)).cast("string"))
+
+
+def keyed_hash(*parts: Column, seed: int | None = None) -> Column:
+    """32 bits of the md5 of the parts, after the seed, joined by colons: the same number in every run, engine and partitioning."""
+    key = F.concat_ws(":", *([] if seed is None else [F.lit(str(seed))]), *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
 def labelled_text(parts: dict[str, Column], glue: str = "\n") -> Column:

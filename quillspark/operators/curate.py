@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import keyed_hash
+
 
 def vote(rows: DataFrame, key: list[str], label: str, ranks: dict[str, int], ordinal: str) -> DataFrame:
     """Each key's commonest label (a higher rank wins a tie), on the first row that has it."""
@@ -45,7 +47,7 @@ def concatenate(rows: DataFrame, by: list[str], ordinal: str, text: str, glue: s
 
 def split_by_hash(rows: DataFrame, key: list[str], seed: int, shares: dict[str, int]) -> DataFrame:
     """A split by a keyed hash: per mille shares, the same for a key wherever it comes; no sort, no shuffle."""
-    place = F.pmod(F.crc32(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in key))), F.lit(1000))
+    place = F.pmod(keyed_hash(*map(F.col, key), seed=seed), F.lit(1000))
     names, upto, case = list(shares), 0, None
     for name in names[:-1]:
         upto += shares[name]
@@ -55,7 +57,7 @@ def split_by_hash(rows: DataFrame, key: list[str], seed: int, shares: dict[str,
 
 def sample_per_group(rows: DataFrame, by: list[str], key: str, seed: int, n: int) -> DataFrame:
     """N rows of each group in the order of a keyed hash."""
-    order = F.crc32(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    order = keyed_hash(F.col(key), seed=seed)
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order, key))).where(F.col("_n") <= n).drop("_n")
 
 
@@ -102,7 +104,7 @@ def training_pairs(labels: DataFrame, queries: DataFrame, passages: DataFrame, s
 
 def triplets(pairs: DataFrame, query: str, item: str, positive: Column, hard: Column, n: int = 3, seed: int = 0) -> DataFrame:
     """C11: up to n negatives for each positive of a query, hard ones first, the rest in the order of a keyed hash."""
-    order = F.crc32(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")))
+    order = keyed_hash(F.col(item), seed=seed)
     negatives = pairs.where(~positive).select(query, F.col(item).alias("negative"), F.row_number().over(Window.partitionBy(query).orderBy(hard.desc(), order, item)).alias("place")).where(F.col("place") <= n)
     return pairs.where(positive).select(query, F.col(item).alias("positive")).join(negatives, query).select(query, "positive", "negative", "place")
 

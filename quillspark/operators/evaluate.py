@@ -14,7 +14,28 @@ POSITIVE = ["Fully Addressed", "Partially Addressed"]
 
 def with_total(counts: DataFrame, n: str = "n") -> DataFrame:
     """A2: percent of the whole, to 4 places."""
-    return counts.withColumn("percent", F.round(100 * F.col(n) / F.sum(n).over(Window.partitionBy(F.lit(1))), 4))
+    return counts.withColumn("percent", F.round(100 * F.col(n) / counts.agg(F.sum(n)).scalar(), 4))
+
+
+def running_sums(counts: DataFrame, order: str, values: list[str], by: list[str], falling: bool = False, buckets: int = 64) -> DataFrame:
+    """counts with ``<value>_upto``: sums over the rows up to and with this one, by `order` (distinct in each group of `by`).
+
+    Without groups no task takes all rows: they are cut at quantiles into buckets, summed inside each, and the sums of the
+    buckets before (at most `buckets` numbers) are added.
+    """
+    sort = F.desc(order) if falling else F.asc(order)
+    if by:
+        return counts.withColumns({f"{v}_upto": F.sum(v).over(Window.partitionBy(*by).orderBy(sort)) for v in values})
+    bounds = sorted(set(counts.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    at = F.col(order).cast("double")
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), (lambda b: b < at))) if bounds else F.lit(0)
+    dealt = counts.withColumn("_bucket", -bucket if falling else bucket)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_bucket").agg(*(F.sum(v).alias(f"_{v}") for v in values))
+    base = sums.select("_bucket", *(F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}_before") for v in values))
+    own = dealt.join(F.broadcast(base), "_bucket")
+    inside = Window.partitionBy("_bucket").orderBy(sort)
+    return own.withColumns({f"{v}_upto": F.col(f"_{v}_before") + F.sum(v).over(inside) for v in values}).select(*counts.columns, *(f"{v}_upto" for v in values))
 
 
 def matrix(rows: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
@@ -74,14 +95,16 @@ def distribution(rows: DataFrame, by: str, value: str) -> DataFrame:
 def threshold_sweep(rows: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
     """For every distinct score as threshold: tp, fp, fn, precision, recall, F1.
 
-    One pass: counts per distinct score, then running sums over falling scores. (A global sweep sums distinct scores
-    in one ordered window; scores are rounded before, so their number is bounded.)
+    One pass: counts per distinct score, then running sums over falling scores.
     """
     by = by or []
     counts = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    falling = Window.partitionBy(*by or [F.lit(1)]).orderBy(F.desc("threshold"))
-    whole = Window.partitionBy(*by or [F.lit(1)])
-    swept = counts.withColumns({"tp": F.sum("p").over(falling), "fp": F.sum("n").over(falling), "all": F.sum("p").over(whole)}).withColumn("fn", F.col("all") - F.col("tp"))
+    sums = running_sums(counts, "threshold", ["p", "n"], by, falling=True).withColumnsRenamed({"p_upto": "tp", "n_upto": "fp"})
+    if by:
+        sums = sums.join(counts.groupBy(*by).agg(F.sum("p").alias("all")), by)
+    else:
+        sums = sums.withColumn("all", counts.agg(F.sum("p")).scalar())
+    swept = sums.withColumn("fn", F.col("all") - F.col("tp"))
     swept = swept.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("all"))})
     return swept.select(*by, "threshold", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall")), F.round(f1(F.col("precision"), F.col("recall")), 6).alias("f1"))
 
@@ -106,9 +129,8 @@ def best_threshold(swept: DataFrame, by: list[str], default: float = 3.0) -> Dat
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Mean absolute error and rank correlation (average ranks)."""
     def average_rank(c):
-        counts = rows.groupBy(c).agg(F.count("*").alias("_n"))
-        before = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy(c)) - F.col("_n")
-        return counts.select(c, (before + (F.col("_n") + 1) / 2).alias(f"_rank_{c}"))
+        counts = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
+        return running_sums(counts, c, ["_n"], []).select(c, (F.col("_n_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(f"_rank_{c}"))
 
     both = rows.join(average_rank(a), a).join(average_rank(b), b)
     return both.agg(F.round(F.avg(F.abs(F.col(a) - F.col(b))), 4).alias("mae"), F.round(F.corr(f"_rank_{a}", f"_rank_{b}"), 6).alias("spearman"), F.count("*").alias("n"))

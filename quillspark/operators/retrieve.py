@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import tokens
+from quillspark.sources.readers import spread
 
 
 def ranked(rows: DataFrame, by: list[str], score: str, tie: str, k: int | None = None, name: str = "rank") -> DataFrame:
@@ -24,7 +27,7 @@ def bm25_index(corpus: DataFrame, doc: str, text: Column, group: list[str] | Non
     document, and of those just the terms of `only` where it is given.
     """
     by = group or []
-    rows = corpus.where(F.col(doc).isNotNull()).select(*by, doc, tokens(F.coalesce(text, F.lit(""))).alias("_w"))
+    rows = spread(corpus.where(F.col(doc).isNotNull()).select(*by, doc, text.alias("_text"))).select(*by, doc, tokens(F.coalesce("_text", F.lit(""))).alias("_w"))
     words = rows.select(*by, doc, F.size("_w").alias("dl"), F.explode("_w").alias("term"))
     if only is not None:
         words = words.join(only.select("term").distinct(), "term", "left_semi")
@@ -42,22 +45,58 @@ def bm25(corpus: DataFrame, queries: DataFrame, *, doc: str, text: Column, query
     asked = queries.select(query, F.explode(tokens(query_text)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qf"))
     postings, terms, stats = bm25_index(corpus, doc, text, group, asked)
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = (terms.join(F.broadcast(stats), by) if by else terms.crossJoin(F.broadcast(stats))).withColumn("raw", raw)
+    # Statistics are one row, or one a group: a group's come by its key, by whichever join their size allows.
+    idf = (terms.join(stats, by) if by else terms.crossJoin(F.broadcast(stats))).withColumn("raw", raw)
     floor = idf.groupBy(*by).agg((0.25 * F.avg("raw")).alias("floor"))
-    idf = (idf.join(F.broadcast(floor), by) if by else idf.crossJoin(F.broadcast(floor))).select(*by, "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    idf = (idf.join(floor, by) if by else idf.crossJoin(F.broadcast(floor))).select(*by, "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     weight = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = postings.join(asked.join(idf, "term"), [*by, "term"]).groupBy(query, *by, doc).agg(F.round(F.sum(weight), 6).alias("score"))
     return ranked(scored.where("score > 0"), [query, *by], "score", doc, k)
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, *, doc: str, query: str, vector: str = "embedding", k: int = 5, epsilon: float = 1e-9) -> DataFrame:
-    """(query, doc, score, rank): the first k positive cosines; a query isn't its own result. The query side is the stated set."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda a, v: a + v)
-    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
-    left = queries.select(F.col(query), F.col(vector).alias("_q"), norm(F.col(vector)).alias("_qn"))
-    right = vectors.select(F.col(doc), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_vn"))
-    scored = right.join(left, F.col(doc) != F.col(query)).select(query, doc, F.round(dot(F.col("_q"), F.col("_v")) / (F.col("_qn") * F.col("_vn") + epsilon), 6).alias("score"))
-    return ranked(scored.where("score > 0"), [query], "score", doc, k)
+def cosine(vectors: DataFrame, queries: DataFrame, *, doc: str, query: str, vector: str = "embedding", k: int | None = 5, by: str | None = None, epsilon: float = 1e-9, shard_rows: int = 16_384, block: int = 8_192) -> DataFrame:
+    """(query, doc, score, rank): the first k positive cosines; a query isn't its own result. The query side is the stated set.
+
+    With `by` (a column of vectors) the greatest positive score of each query and value instead: (query, by, score). With
+    k None every positive pair. Rows are dealt to shards, queries to blocks; a task multiplies one of each and keeps only
+    what may be among the k. Null vectors, and pairs of different length, have no score.
+    """
+    n, m = vectors.count(), queries.count()
+    shards, parts = max(1, -(-n // shard_rows)), max(1, -(-m // block))
+    deal = lambda c, over: F.pmod(F.xxhash64(c), F.lit(over)).cast("int")
+    extra = [F.col(by).alias("_by")] if by else []
+    v = F.col(vector).cast("array<double>")
+    base = vectors.where(v.isNotNull()).select(F.col(doc).alias("_id"), *extra, v.alias("_v"), F.size(vector).alias("_dims"), deal(doc, shards).alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    asks = queries.where(v.isNotNull()).select(F.col(query).alias("_id"), v.alias("_v"), F.size(vector).alias("_dims"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"), deal(query, parts).alias("_part"))
+    out, kind = (by, vectors.schema[by].dataType.simpleString()) if by else (doc, vectors.schema[doc].dataType.simpleString())
+
+    def multiply(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = {query: [], out: [], "score": []}
+        if len(rows) and len(asked):
+            rows = rows.sort_values("_by", kind="stable") if by else rows
+            x, ids = np.stack(rows["_v"].to_numpy()), rows["_id"].to_numpy()
+            size = np.sqrt((x * x).sum(axis=1))
+            values, starts = np.unique(rows["_by"].to_numpy(), return_index=True) if by else (ids, None)
+            for first in range(0, len(asked), 256):
+                part = asked.iloc[first : first + 256]
+                y, names = np.stack(part["_v"].to_numpy()), part["_id"].to_numpy()
+                score = (y @ x.T) / (np.sqrt((y * y).sum(axis=1))[:, None] * size[None, :] + epsilon)
+                score[names[:, None] == ids[None, :]] = -np.inf
+                if by:
+                    score = np.maximum.reduceat(score, starts, axis=1)
+                elif k is not None and k < score.shape[1]:  # scores are rounded later: what may tie stays
+                    score[score < np.partition(score, -k, axis=1)[:, -k][:, None] - 2e-6] = -np.inf
+                i, j = np.nonzero(score > 0)
+                found[query].append(names[i])
+                found[out].append(values[j])
+                found["score"].append(score[i, j])
+        return pd.DataFrame({c: pd.Series(np.concatenate(p) if p else [], dtype="float64" if c == "score" else object) for c, p in found.items()})
+
+    keys = ("_shard", "_part", "_dims")
+    pairs = base.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(multiply, f"`{query}` {queries.schema[query].dataType.simpleString()}, `{out}` {kind}, score double")
+    if by:
+        return pairs.groupBy(query, by).agg(F.round(F.max("score"), 6).alias("score")).where("score > 0")
+    return ranked(pairs.withColumn("score", F.round("score", 6)).where("score > 0"), [query], "score", doc, k)
 
 
 def fuse(a: DataFrame, b: DataFrame, keys: list[str], by: list[str], tie: str, k: int | None = None, c: int = 60) -> DataFrame:
@@ -94,8 +133,12 @@ def retrieval_log(rescored: DataFrame, candidates: DataFrame, query: str, doc: s
 
 def neighbours(found: DataFrame, corpus: DataFrame, query: str, doc: str, group: str, most: int) -> DataFrame:
     """For every query up to `most` more rows of the groups that it has hit, smallest keys first."""
-    hit = found.select(query, doc).join(corpus.select(doc, group), doc).select(query, group).distinct()
-    near = hit.join(corpus.select(group, doc), group).join(found.select(query, doc), [query, doc], "left_anti")
+    hit = found.select(query, doc).join(corpus.select(doc, group), doc).groupBy(query, group).agg(F.count_distinct(doc).alias("_hits"))
+    # Of a group only its first rows can count: as many as are wanted and the most that a query has hit in it.
+    depth = hit.groupBy(group).agg((F.max("_hits") + most).alias("_depth"))
+    most_depth = depth.agg(F.max("_depth")).first()[0] or 0
+    first = corpus.select(group, doc).withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(doc))).where(F.col("_n") <= most_depth).drop("_n")
+    near = hit.join(first, group).join(found.select(query, doc), [query, doc], "left_anti")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(doc))).where(F.col("rank") <= most).select(query, doc, "rank")
 
 

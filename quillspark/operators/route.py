@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import sentences, tokens
 from quillspark.operators.retrieve import ranked
+from quillspark.sources.readers import spread
+
 
+def keyword_hits(texts: DataFrame, key: str, text: Column, words: DataFrame, owner: str, word: str, most: int = 5_000) -> DataFrame:
+    """(key, owner, word, size) where the text holds the word.
 
-def keyword_hits(texts: DataFrame, key: str, text: Column, words: DataFrame, owner: str, word: str) -> DataFrame:
-    """(key, owner, word, size) where the text holds the word. The dictionary is a catalogue: it goes to every task."""
-    return texts.select(key, F.lower(text).alias("_t")).join(F.broadcast(words.select(owner, word)), F.contains(F.col("_t"), F.lower(F.col(word)))).select(key, owner, word, F.char_length(word).alias("size"))
+    One scan: a dictionary of at most `most` words (they are counted) is held as an array, and a row gives its hits; a larger
+    one is met in parts of that size, one after the other.
+    """
+    listed = words.where(F.col(word).isNotNull()).select(F.col(owner).alias("o"), F.col(word).alias("w")).distinct()
+    n = listed.count()
+    parts = max(1, -(-n // most))
+    kind = f"array<struct<o: {words.schema[owner].dataType.simpleString()}, w: string, size: int>>"
+    low = spread(texts.select(key, text.alias("_t"))).select(key, F.lower("_t").alias("_t"))
+    found = []
+    for i in range(parts):
+        rows = listed.where(F.pmod(F.xxhash64("o", "w"), F.lit(parts)) == i).collect()
+        table = F.from_json(F.lit(json.dumps([{"o": r["o"], "w": r["w"], "size": len(r["w"])} for r in rows])), kind)
+        found.append(low.select(key, F.explode(F.filter(table, lambda x: F.contains(F.col("_t"), F.lower(x["w"])))).alias("x")))
+    return reduce(DataFrame.unionByName, found).select(key, F.col("x.o").alias(owner), F.col("x.w").alias(word), F.col("x.size").alias("size"))
 
 
 def title_routes(titles: DataFrame, key: str, title: Column, types: DataFrame) -> DataFrame:
@@ -41,8 +59,8 @@ def family_menu(texts: DataFrame, key: str, text: Column, words: DataFrame, memb
     """Up to n members of every family that has a keyword hit (of all families without one), positives left out."""
     hits = keyword_hits(texts, key, text, words, "family", "word").groupBy(key, "family").agg(F.count("*").alias("hits"))
     families = members.select("family").distinct()
-    lacking = texts.select(key).join(hits.select(key).distinct(), key, "left_anti").crossJoin(F.broadcast(families)).withColumn("hits", F.lit(0).cast("long"))
-    offered = hits.unionByName(lacking.select(key, "family", "hits")).join(F.broadcast(members), "family").join(positives, [key, "member"], "left_anti")
+    lacking = texts.select(key).join(hits.select(key).distinct(), key, "left_anti").crossJoin(families).withColumn("hits", F.lit(0).cast("long"))
+    offered = hits.unionByName(lacking.select(key, "family", "hits")).join(members, "family").join(positives, [key, "member"], "left_anti")
     return offered.withColumn("place", F.row_number().over(Window.partitionBy(key, "family").orderBy("member"))).where(F.col("place") <= n)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import keyed_hash
 
 def filled(template: Column, values: dict[str, Column]) -> Column:
     """``{name}`` of a template by a value; a null value as nothing."""
@@ -15,7 +16,7 @@ def filled(template: Column, values: dict[str, Column]) -> Column:
 
 def by_hash(key: Column, options: list[str], seed: int) -> Column:
     """One of the options by a keyed hash: the same choice in every run and partitioning."""
-    return F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.crc32(F.concat(F.lit(f"{seed}:"), key.cast("string"))), F.lit(len(options))) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, options)), (F.pmod(keyed_hash(key, seed=seed), F.lit(len(options))) + 1).cast("int"))
 
 
 def menu_text(menu: DataFrame, key: str, none: str = "(no candidates)") -> DataFrame:
@@ -58,7 +59,7 @@ def topic_questions(hits: DataFrame, key: str, topic: str, reply: str, template:
     Passages are dealt by a keyed hash to about one bucket per 10,000 of their topic, so a task holds a bucket and never a
     large topic; a bucket is cut into groups of `size`. Every passage is in one group, groups of one are left out.
     """
-    order = F.crc32(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    order = keyed_hash(F.col(key), seed=seed)
     some = hits.where((F.col(reply) != "") & F.col(topic).isNotNull())
     buckets = some.groupBy(topic).agg(F.ceil(F.count("*") / 10_000).alias("_buckets"))
     dealt = some.join(buckets, topic).withColumn("_b", F.pmod(order, F.col("_buckets")))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import obligations as O
 from quillspark.functions import text as T
-from quillspark.operators import annotate, curate, evaluate, retrieve, route, score, segment
+from quillspark.operators import annotate, curate, evaluate, retrieve, route, score, segment, synthesize
 from quillspark.plans.coverage import SHALL, literal, query, shall
+from quillspark.plans.inventory import FAMILIES, MEMBERS, menu
 from quillspark.plans.queries import ALL, ARMS, FLAGS, LABELS, PREDICTED, STATUS, WORDS, Read, arms, flags, labels, predicted, rescored, top
 
 # Joins.
@@ -475,9 +476,16 @@ def r9_rescored(t):
     return rescored(t).select("item_id", "doc_id", "score")
 
 
-@query("WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1) SELECT source, least(n, 5) AS n FROM c")
-def o12_sample_sizes(t):
-    """What a seeded sample of five per group holds; which rows they are comes from crc32, which SQL lacks (tested by hand)."""
-    rows = t("documents").select("doc_id", "source")
-    taken = curate.sample_per_group(rows, ["source"], "doc_id", 42, 5)
-    return taken.join(rows, ["doc_id", "source"], "left_semi").groupBy("source").agg(F.count_distinct("doc_id").alias("n"))
+# The menus of R19 and C14 over whole texts, with SQL that reads whole texts too.
+
+WHOLE = f"h AS (SELECT doc_id, family, count(*) AS hits FROM documents JOIN ({FAMILIES}) v(family, word) ON contains(lower(text), word) GROUP BY 1, 2), o AS (SELECT * FROM h UNION ALL SELECT doc_id, family, 0 FROM documents ANTI JOIN h USING (doc_id) CROSS JOIN (SELECT DISTINCT family FROM ({MEMBERS}) v(family, member))), m AS (SELECT doc_id, family, member, hits, row_number() OVER (PARTITION BY doc_id, family ORDER BY member) AS place FROM o JOIN ({MEMBERS}) v(family, member) USING (family) WHERE NOT (doc_id % 2 = 0 AND member = 'a1') QUALIFY place <= 2)"
+
+
+@query(f"WITH {WHOLE} SELECT doc_id, family, member, hits, place FROM m")
+def r19_menu_of_whole_texts(t):
+    return menu(t).select("doc_id", "family", "member", "hits", "place")
+
+
+@query(f"WITH {WHOLE} SELECT doc_id, string_agg('  ' || member, chr(10) ORDER BY hits DESC, family, place) AS menu FROM m GROUP BY 1")
+def c14_menu_of_whole_texts(t):
+    return synthesize.menu_text(menu(t), "doc_id")

@@ -359,8 +359,8 @@ def r16_title_routes(t):
 @query(f"WITH {COSINE}, f AS (SELECT d.query_id, e.label::VARCHAR AS family, max(score) AS score FROM d JOIN embeddings e USING (vec_id) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, family) AS rank FROM f) SELECT query_id, family, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.0::DOUBLE ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END AS confidence FROM k WHERE rank <= 3 WINDOW w AS (PARTITION BY query_id)")
 def r17_embedding_routes(t):
     rows = t("embeddings")
-    found = retrieve.cosine(rows, rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), doc="vec_id", query="query_id", k=None)
-    best = found.join(rows.select("vec_id", F.col("label").cast("string").alias("family")), "vec_id").groupBy("query_id", "family").agg(F.max("score").alias("score"))
+    named = rows.withColumn("family", F.col("label").cast("string"))
+    best = retrieve.cosine(named, rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), doc="vec_id", query="query_id", by="family")
     return route.embedding_routes(best, "query_id")
 
 
@@ -391,33 +391,46 @@ def p32_labels_and_confidence(t):
     return t("customer").select("c_custkey", F.round(T.unit_confidence(F.col("c_nationkey") % 6), 6).alias("confidence"), T.threshold_label(F.col("c_acctbal"), 6000, 3500).alias("status"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, unnest(generate_series(1, len(a))) AS i, trim(unnest(a)) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+h AS (SELECT *, length(line) BETWEEN 1 AND 100 AND len({WORDS.format('line')}) <= 12 AND NOT ends_with(line, '.') AND (regexp_matches(line, '^[0-9]+([.][0-9]+)*[.)]?\\s+\\S') OR (upper(line) = line AND regexp_matches(line, '[A-Z]')) OR regexp_matches(line, '^#{{1,6}}\\s')) AS head FROM l),
+s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM h),
+g AS (SELECT doc_id, s, coalesce(max(line) FILTER (head), '') AS section, trim(coalesce(string_agg(line, ' ' ORDER BY i) FILTER (NOT head), '')) AS text FROM s GROUP BY 1, 2)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS n, section, substr(text, 1, 5000) AS text FROM g WHERE length(text) >= 30""")
 def x1_line_passages(t):
     return segment.lines_to_passages(t("documents"), "doc_id", F.col("text"))
 
 
-@query()
+@query("""WITH RECURSIVE x AS (SELECT doc_id, line, length(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (SELECT doc_id, unnest(a) AS line, unnest(generate_series(1, len(a))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) WHERE trim(line) <> ''),
+f AS (SELECT doc_id, i, n AS size, 0 AS chunk FROM x WHERE i = 1 UNION ALL SELECT x.doc_id, x.i, CASE WHEN f.size > 0 AND f.size + x.n > 1000 THEN x.n ELSE f.size + x.n END, f.chunk + (f.size > 0 AND f.size + x.n > 1000)::INT FROM f JOIN x ON x.doc_id = f.doc_id AND x.i = f.i + 1)
+SELECT doc_id, chunk, count(*) AS n_items, substr(string_agg(line, chr(10) ORDER BY i), 1, 1000) AS text FROM f JOIN x USING (doc_id, i) GROUP BY 1, 2""")
 def x4_chunks(t):
     return segment.chunks(t("documents"), "doc_id", F.col("text"))
 
 
-@query()
+HASH = "('0x' || substr(md5('{0}:' || {1}), 1, 8))::BIGINT"
+
+
+@query(f"SELECT doc_id, CASE WHEN {HASH.format(42, 'doc_id')} % 1000 < 800 THEN 'train' WHEN {HASH.format(42, 'doc_id')} % 1000 < 900 THEN 'dev' ELSE 'test' END AS split FROM documents")
 def o11_hash_split(t):
     return curate.split_by_hash(t("documents").select("doc_id"), ["doc_id"], 42, {"train": 800, "dev": 100, "test": 100})
 
 
-@query()
+@query(f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY {HASH.format(42, 'doc_id')}, doc_id) <= 5")
 def o12_group_sample(t):
     return curate.sample_per_group(t("documents").select("doc_id", "source"), ["source"], "doc_id", 42, 5)
 
 
-@query()
+@query(f"WITH {LABELS}, n AS (SELECT control_id, ordinal AS negative, row_number() OVER (PARTITION BY control_id ORDER BY status = 'Partially Addressed' DESC, {HASH.format(0, 'ordinal')}, ordinal) AS place FROM g WHERE status <> 'Fully Addressed' QUALIFY place <= 3) SELECT control_id, ordinal AS positive, negative, place FROM g JOIN n USING (control_id) WHERE status = 'Fully Addressed'")
 def c11_triplets(t):
     rows = labels(t).withColumn("item", F.col("ordinal"))
     return curate.triplets(rows, "control_id", "item", F.col("status") == "Fully Addressed", F.col("status") == "Partially Addressed")
 
 
-@query()
+SCORE = f"round(len(list_intersect(list_distinct({WORDS.format('q.text')}), list_distinct({WORDS.format('d.text')}))) / len(list_distinct({WORDS.format('q.text')})), 6)"
+LABEL = "CASE WHEN score >= 0.6 THEN 'Fully Addressed' WHEN score >= 0.35 THEN 'Partially Addressed' ELSE 'Not Addressed' END"
+
+
+@query(f"WITH {GROUPED}, o AS (SELECT item_id, d.source, doc_id, {SCORE} AS score FROM r JOIN benchmark q USING (item_id) JOIN documents d USING (doc_id) WHERE rank <= 10), c AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) <= 3), k AS (SELECT item_id, source, doc_id, {LABEL} AS status, score FROM c ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id)) SELECT item_id AS query_id, source AS doc_id, doc_id AS passage_id, status, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, k.doc_id) AS rank FROM k WHERE status <> 'Not Addressed' QUALIFY rank <= 10")
 def r11_control_centric(t):
     asks = t("benchmark").select(F.col("item_id").alias("query_id"), "text")
     passages = t("documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("passage_id"), "text", F.col("doc_id").alias("ordinal"))
@@ -425,7 +438,14 @@ def r11_control_centric(t):
     return mapping.control_centric(asks, passages, mapping.Options(), blocked_passages=blocked)[0]
 
 
-@query()
+def swapped(sql: str) -> str:
+    """The SQL with documents and benchmark in each other's place."""
+    for a, b in (("documents", "benchmark"), ("doc_id", "item_id")):
+        sql = sql.replace(a, "@").replace(b, a).replace("@", b)
+    return sql
+
+
+@query(f"WITH {swapped(ALL)}, o AS (SELECT doc_id, item_id, {SCORE} AS score FROM r JOIN benchmark q USING (item_id) JOIN documents d USING (doc_id) WHERE rank <= 10), c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rank FROM o) SELECT doc_id AS passage_id, item_id AS control_id, {LABEL} AS status, score, rank FROM c WHERE score >= 0.35 AND rank <= 10")
 def r12_passage_centric(t):
     controls = t("benchmark").select(F.col("item_id").alias("control_id"), "text", F.lit("all").alias("family"))
     passages = t("documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("passage_id"), "text")

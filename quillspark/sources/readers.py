@@ -78,3 +78,9 @@ def binary_files(spark: SparkSession, path: str, decoder, schema: str, glob: str
 def with_ordinal(rows: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
     """W15 for small catalogues: 0-based ordinals by the given columns (one sort; large tables use their own key column)."""
     return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where the scan has fewer partitions than there are cores (a small table in one file); else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
