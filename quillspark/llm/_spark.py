@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,16 +67,37 @@ def task(target: str, *args) -> Callable[[Iterator], Iterator]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or /tmp/checkpoints where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, in local mode only (tests): /tmp/checkpoints."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
 
+#: Folders that this process has written, so that they can be deleted when the results that read them are written.
+WRITTEN: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
+@contextmanager
+def workspace(spark: SparkSession):
+    """What the operators write inside the block is deleted at its end: write their results to their own place before that."""
+    first = len(WRITTEN)
+    try:
+        yield
+    finally:
+        for path in WRITTEN[first:]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del WRITTEN[first:]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.sources.readers import spread
+
 
 def _read(spark, sf_dir: str, table: str):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -12,7 +14,7 @@ def _read(spark, sf_dir: str, table: str):
 def op1_ngram_jaccard_join(spark, sf_dir):
     from quillspark.llm.ngram_join import jaccard_classes
 
-    return jaccard_classes(_read(spark, sf_dir, "documents"), k=3, num=90)
+    return jaccard_classes(spread(_read(spark, sf_dir, "documents").select("doc_id", "text")), k=3, num=90)
 
 
 OP1 = r"""
@@ -34,7 +36,7 @@ LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a) k USING (d
 def op2_sentencepiece(spark, sf_dir):
     from quillspark.llm.sentencepiece_bpe import decode, encode
 
-    coded = decode(encode(_read(spark, sf_dir, "documents")))
+    coded = decode(encode(spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))))
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("lossless"))
 
@@ -74,13 +76,13 @@ def op4_nearest_neighbours(spark, sf_dir):
 def op5_packing(spark, sf_dir):
     from quillspark.llm.packing import pack
 
-    return pack(_read(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack(spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op6_html_extraction(spark, sf_dir):
     from quillspark.llm.html_text import extract
 
-    return extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return extract(spread(_read(spark, sf_dir, "pages"))).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op7_chat_formatting(spark, sf_dir):
@@ -97,16 +99,39 @@ FROM conversations
 """
 
 
+def chat_linked_calls(spark, sf_dir):
+    """The linking of op7 on messages that hold calls: every message becomes a call that refers to the one before it, and a result."""
+    from quillspark.llm.chat import link_calls
+
+    turn = F.col("turn").cast("string")
+    call = F.concat(F.lit('so <tool_call>{"name":"search", "id":"t'), turn, F.lit('","arguments":{"query":"$t'), (F.col("turn") - 1).cast("string"), F.lit('","limit":'), turn, F.lit("}}</tool_call>"))
+    result = F.concat(F.lit('<tool_result>{"content":'), F.char_length(F.coalesce("text", F.lit(""))).cast("string"), F.lit(',"id":"t'), turn, F.lit('"}</tool_result>'))
+    rows = _read(spark, sf_dir, "conversations").where("turn is not null").dropDuplicates(["conv_id", "turn"])
+    asked = rows.select("conv_id", (2 * F.col("turn")).cast("long").alias("turn"), F.lit("assistant").alias("role"), call.alias("text"))
+    told = rows.select("conv_id", (2 * F.col("turn") + 1).cast("long"), F.lit("tool"), result)
+    return link_calls(asked.union(told)).select("conv_id", "turn", F.col("depth").cast("long").alias("depth"), F.size("faults").cast("long").alias("n_faults"), "call_json")
+
+
+LINKED = r"""
+WITH c AS (SELECT conv_id, turn, any_value(length(coalesce(text, ''))) AS n FROM conversations WHERE turn IS NOT NULL GROUP BY 1, 2),
+i AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM c)
+SELECT conv_id, (2 * turn)::BIGINT AS turn, (turn - min(turn) OVER (PARTITION BY conv_id, island))::BIGINT AS depth, 0::BIGINT AS n_faults,
+  '{"arguments":{"limit":' || turn || ',"query":"$t' || turn - 1 || '"},"id":"t' || turn || '","name":"search","result":' || n || '}' AS call_json
+FROM i
+"""
+
+
 def op8_quality_rules(spark, sf_dir):
     from quillspark.llm.repetition import quality_rules
 
-    return quality_rules(_read(spark, sf_dir, "documents")).drop("spans", "longest_repeat")
+    return quality_rules(spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))).drop("spans", "longest_repeat")
 
 
 # A repeat of ten words or more is a repeated ten-word window; one of more than a hundred is a repeated 101-word window.
 OP8 = r"""
 WITH w AS (
-  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS a FROM documents
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS a FROM documents
 ), k AS (
   SELECT doc_id, n, i, array_to_string(a[i : i + n - 1], ' ') AS g
   FROM (SELECT doc_id, a, n, unnest(generate_series(1, len(a) - n + 1)) AS i FROM w CROSS JOIN (VALUES (5), (10), (101)) v(n))
@@ -117,7 +142,8 @@ c AS (
 ), l AS (SELECT DISTINCT doc_id FROM f WHERE n = 101),
 d AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS dup
-  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id
 ), x AS (
   SELECT doc_id, len(a)::BIGINT AS n_words, length(array_to_string(a, ''))::BIGINT AS word_chars,
     (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
@@ -134,7 +160,7 @@ FROM x
 def op9_secret_scan(spark, sf_dir):
     from quillspark.llm.secrets import KINDS, scan, written
 
-    found = scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(spread(_read(spark, sf_dir, "documents").select("doc_id", "text")))
     base = F.filter("secrets", lambda s: s["kind"] < 3)
     of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     counts = {f"n_{name}": of(i) for i, name in enumerate(KINDS)}
@@ -148,9 +174,9 @@ def op10_token_store(spark, sf_dir):
 
 
 def queries() -> dict:
-    listed = (op1_ngram_jaccard_join, op2_sentencepiece, op3_url_filter, op4_nearest_neighbours, op5_packing, op6_html_extraction, op7_chat_formatting, op8_quality_rules, op9_secret_scan, op10_token_store)
+    listed = (chat_linked_calls, op1_ngram_jaccard_join, op2_sentencepiece, op3_url_filter, op4_nearest_neighbours, op5_packing, op6_html_extraction, op7_chat_formatting, op8_quality_rules, op9_secret_scan, op10_token_store)
     return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op3_url_filter": OP3, "op7_chat_formatting": OP7, "op8_quality_rules": OP8}
+    return {"chat_linked_calls": LINKED, "op1_ngram_jaccard_join": OP1, "op3_url_filter": OP3, "op7_chat_formatting": OP7, "op8_quality_rules": OP8}
