@@ -266,6 +266,33 @@ def read_tokens(spark: SparkSession, uri: str, shards: list[tuple[int, int, int]
     return spark.range(0, len(starts), 1, max(1, len(starts))).mapInArrow(task("token_store:read_shards", uri, starts), "doc_id long, start long, ids binary")
 
 
+def find_rows(batches, uri: str, wanted: np.ndarray, dtype: str = "<u4"):
+    """Shard numbers to (doc_id, ids) of the wanted identifiers (sorted) that their files hold, each by a lookup."""
+    files, top = opened(uri)
+    for batch in batches:
+        for shard in batch.column(0).to_pylist():
+            table = Table(files, f"{top}/{shard:06d}.sst")
+            last = id_of(table.last[-1]) if table.last else None
+            ids = wanted if last is None else wanted[: np.searchsorted(wanted, last, side="right")]
+            found = [(int(i), ids_.astype(dtype).tobytes()) for i in ids for ids_ in table.get(int(i))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["doc_id", "ids"])
+
+
+def find_tokens(spark: SparkSession, uri: str, shards: list[tuple[int, int, int]], wanted: DataFrame, *, id_col: str = "doc_id", most: int = 1_000_000) -> DataFrame:
+    """(doc_id, ids) of every document whose identifier is wanted: filter, index and one block a hit, no scan of the files.
+
+    Identifiers go to the tasks in parts of at most `most` (8 MB), by a hash; null and repeated ones count for nothing.
+    """
+    ids = wanted.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+    parts = max(1, -(-ids.count() // (most // 2)))
+    found = spark.createDataFrame([], "doc_id long, ids binary")
+    for i in range(parts):
+        own = np.sort(ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == i).toPandas()["doc_id"].to_numpy(np.int64))
+        numbers = spark.createDataFrame([(n,) for n, _, _ in shards], "shard int").repartition(max(1, len(shards))) if shards else spark.createDataFrame([], "shard int")
+        found = found.unionByName(numbers.mapInArrow(task("token_store:find_rows", uri, own), "doc_id long, ids binary"))
+    return found
+
+
 def round_trip(docs: DataFrame, **options) -> DataFrame:
     """write_tokens into a new folder of the shared ones, then read_tokens."""
     uri = scratch(docs.sparkSession, "tokens")

@@ -64,3 +64,14 @@ def test_shards_follow_the_bytes(spark, tmp_path):
     shards = token_store.write_tokens(docs, f"file://{tmp_path}/t", shard_bytes=1 << 19)
     assert sum(n for _, n, _ in shards) == 6 and len(shards) == 6
     assert token_store.read_tokens(spark, f"file://{tmp_path}/t", shards).count() == 6
+
+
+def test_lookup_of_wanted_identifiers(spark, tmp_path):
+    docs = spark.range(500).selectExpr("id * 3 as doc_id", "concat('text ', id) as text").unionByName(spark.createDataFrame([(6, "again"), (None, "none")], "doc_id long, text string"))
+    uri = f"file://{tmp_path}/t"
+    shards = token_store.write_tokens(docs, uri, shards=5)
+    wanted = spark.createDataFrame([(0,), (6,), (7,), (1497,), (None,), (0,)], "doc_id long")
+    every = {(r.doc_id, bytes(r.ids)) for r in token_store.read_tokens(spark, uri, shards).collect()}
+    for most in (1_000_000, 2):
+        got = [(r.doc_id, bytes(r.ids)) for r in token_store.find_tokens(spark, uri, shards, wanted, most=most).collect()]
+        assert sorted(i for i, _ in got) == [0, 6, 6, 1497] and set(got) <= every
