@@ -17,24 +17,27 @@ from quillspark.llm.secrets import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. A null text has no word and is rejected; repeated rows are judged each."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays (the smallest doc_id): five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group stays (the smallest doc_id): five-word shingles, a similarity of 0.8 or more.
+
+    Of rows that repeat an id and a text one stays; rows with a null id, and texts without words, belong to no group and stay.
+    """
     return keep_one(docs, k=5, num=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts; every document stays. n_chars is counted anew where a text changed."""
+    """Secrets are cut out of the texts; every document stays, null texts as they are. n_chars is counted anew where a text changed."""
     clean = redact(docs.withColumn("_before", F.col("text")))
     changed = F.col("text") != F.col("_before")
     return clean.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens. A null text is the end id alone; every row is a document."""
     return pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

@@ -189,7 +189,9 @@ GOLD = "w AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contai
 
 @query(f"WITH {ALL}, {GOLD}, m AS (SELECT item_id, min(rank) AS best FROM w LEFT JOIN (SELECT * FROM r WHERE rank <= 20) USING (item_id, doc_id) GROUP BY 1) SELECT k, count(*) AS n_queries, count(*) FILTER (best <= k) AS hits, round(count(*) FILTER (best <= k) / count(*), 6) AS hit_rate_at_k FROM m CROSS JOIN (VALUES (1), (5), (10), (20)) v(k) GROUP BY k")
 def a10_hit_rate(t):
-    gold = t("documents").select("doc_id", F.col("text").alias("d")).join(F.broadcast(t("benchmark").select("item_id", F.substring("text", 1, 60).alias("b"))), F.contains("d", F.col("b")))
+    heads = t("benchmark").select("item_id", F.substring("text", 1, 60).alias("head"))
+    hits = route.keyword_hits(t("documents"), "doc_id", F.col("text"), heads, "item_id", "head")
+    gold = hits.join(t("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("head")))
     return evaluate.hit_rate(top(t, 20), gold, [1, 5, 10, 20], query="item_id")
 
 
