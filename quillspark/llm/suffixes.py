@@ -10,7 +10,8 @@ def suffix_array(tokens: np.ndarray, group: np.ndarray, end: np.ndarray) -> tupl
 
     tokens are small integers; suffixes of different groups share nothing; end[i] is where the stream that
     holds position i ends, and no common prefix reaches past it. Each round doubles the compared length
-    and sorts only the suffixes that are still tied; equal suffixes stay tied.
+    and sorts only the suffixes that are still tied; equal suffixes stay tied. A round keeps the ranks that it changes,
+    so that the prefixes are found by undoing the rounds: memory grows with the ties, not with the number of rounds.
     """
     n = len(tokens)
     if not n:
@@ -20,7 +21,7 @@ def suffix_array(tokens: np.ndarray, group: np.ndarray, end: np.ndarray) -> tupl
     new = np.r_[True, key[sa[1:]] != key[sa[:-1]]]
     rank = np.full(n + 1, -1, np.int32)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    levels = [rank.copy()]
+    undo: list[tuple[np.ndarray, np.ndarray]] = []  # the positions whose rank a round changed, and their ranks before
     slots = np.flatnonzero(~(new & np.r_[new[1:], True]))  # places in sa of tied suffixes
     h = 1
     while len(slots):
@@ -32,18 +33,21 @@ def suffix_array(tokens: np.ndarray, group: np.ndarray, end: np.ndarray) -> tupl
         at, first, second = at[order], first[order], second[order]
         sa[slots] = at
         new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
+        undo.append((at, first))
         rank[at] = np.maximum.accumulate(np.where(new, slots, 0))
         tied = ~(new & np.r_[new[1:], True]) & (second >= 0)
         slots = slots[tied]
-        levels.append(rank.copy())
         h *= 2
     lcp = np.zeros(n, np.int64)
-    pair = np.flatnonzero(levels[0][sa[1:]] == levels[0][sa[:-1]]) + 1
+    pair = np.flatnonzero(key[sa[1:]] == key[sa[:-1]]) + 1
     a, b = sa[pair - 1], sa[pair]
     length = np.zeros(len(pair), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
+    for k in range(len(undo), -1, -1):
         x, y = np.minimum(a + length, n), np.minimum(b + length, n)
-        length += np.where((levels[k][x] == levels[k][y]) & (x < n) & (y < n), 1 << k, 0)
+        length += np.where((rank[x] == rank[y]) & (x < n) & (y < n), 1 << k, 0)
+        if k:
+            at, before = undo.pop()
+            rank[at] = before
     lcp[pair] = np.minimum(length, np.minimum(end[a] - a, end[b] - b))
     return sa, lcp
 
