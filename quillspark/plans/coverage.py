@@ -405,12 +405,14 @@ def f3_parser_words(t):
     return t("documents").select("doc_id", O.holds_any(shall(), O.PARSER_WORDS).alias("obliges"))
 
 
-P19 = ", ".join(f"({i}, '{p}', '{k}')" for i, (p, k) in enumerate(O.TYPED))
+# One branch a phrase: a pattern that is a column would be compiled anew for every sentence.
+P19 = " UNION ALL ".join(f"SELECT doc_id, text, '{k}' AS type FROM c WHERE regexp_matches(lower(text), '{EDGED.format(p)}')" for p, k in O.TYPED)
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest(string_split({SHALL}, '.')[:-2]) AS raw FROM documents),
-c AS (SELECT doc_id, regexp_replace(raw, '^{SPACE}+', '') || '.' AS text FROM s)
-SELECT doc_id, text, type FROM c JOIN (VALUES {P19}) v(i, phrase, type) ON regexp_matches(lower(text), '(?:^|[^\\p{{L}}\\p{{N}}_])' || phrase || '(?:[^\\p{{L}}\\p{{N}}_]|$)') WHERE length(text) >= 15""")
+r AS (SELECT doc_id, regexp_replace(raw, '^{SPACE}+', '') || '.' AS text FROM s),
+c AS MATERIALIZED (SELECT doc_id, text FROM r WHERE length(text) >= 15)
+{P19}""")
 def p19_source_patterns(t):
     return t("documents").select("doc_id", F.explode(O.typed(shall())).alias("x")).select("doc_id", "x.*")
 
