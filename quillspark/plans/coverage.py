@@ -50,6 +50,15 @@ def s1_json_array(t):
     return readers.json_array(t("nation").sparkSession, path, "n_nationkey long, n_name string")
 
 
+@query("SELECT s_suppkey::BIGINT AS s_suppkey, 'say \"' || s_name || '\", ' || chr(92) || chr(10) || 'ü' AS note, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS balance FROM supplier")
+def k1_json_report(t):
+    """K1: quotes, backslashes, line breaks and nulls come back from one JSON array as they were."""
+    path = place(t, "k1")
+    note = F.concat(F.lit('say "'), "s_name", F.lit('", \\\nü'))
+    sinks.json_report(t("supplier").select("s_suppkey", note.alias("note"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("balance")), path)
+    return readers.json_array(t("supplier").sparkSession, path, "s_suppkey long, note string, balance double")
+
+
 @query("SELECT r_name AS id, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS rank, n_name AS item FROM nation JOIN region ON n_regionkey = r_regionkey")
 def s2_keyed_object(t):
     """An object of id to array."""
@@ -205,6 +214,13 @@ def k7_resume(t):
     return sinks.resume(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N')")
+def k7_resume_part_done(t):
+    """K7: what a checkpoint lists, often more than once, isn't done again."""
+    done = t("lineitem").where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return sinks.resume(t("orders").select("o_custkey", "o_orderkey"), done, ["o_orderkey"])
+
+
 @query("SELECT conv_id, string_agg('=== ' || role || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
 def k8_banners(t):
     return sinks.banner_text(t("conversations"), "conv_id", "role", "text", "turn")
@@ -315,6 +331,12 @@ def p36_guarded_ratio(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", F.round(T.ratio(F.col("l_discount"), F.col("l_tax")), 6).alias("ratio"), F.round("l_extendedprice", 2).alias("two"), F.round("l_discount", 4).alias("four"))
 
 
+@query("SELECT l_orderkey, l_linenumber, round(l_discount / 8, 2) AS two, round(l_discount / 8, 3) AS three, round(l_tax / 16, 4) AS four FROM lineitem")
+def p37_rounding(t):
+    """Two to four places; halves go away from zero."""
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_discount") / 8, 2).alias("two"), F.round(F.col("l_discount") / 8, 3).alias("three"), F.round(F.col("l_tax") / 16, 4).alias("four"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 5 END AS digit FROM orders")
 def p39_choice_digit(t):
     choice = F.when(F.col("o_orderkey") % 3 == 0, "High").otherwise(F.concat((F.col("o_orderkey") % 5).cast("string"), F.lit(" - High")))

@@ -213,6 +213,13 @@ def w15_ordinals(t):
     return readers.with_ordinal(t("nation").select("n_name"), ["n_name"])
 
 
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_orderkey) AS place FROM orders")
+def o1_stable_sort(t):
+    """O1: by falling score (one of five, so ties abound); rows that tie stay in their input order."""
+    rows = t("orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    return retrieve.ranked(rows, ["o_custkey"], "o_orderpriority", "o_orderkey", name="place").drop("o_orderpriority")
+
+
 @query("SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20)")
 def o2_top_rows(t):
     """O1, O2: a top-k report with a stated tie-break."""
@@ -229,12 +236,14 @@ def o4_first_rows(t):
     return t("orders").orderBy("o_orderkey").limit(30).select("o_orderkey")
 
 
-@query("SELECT string_agg('M' || c_nationkey || ':' || c_custkey, ',' ORDER BY 'M' || c_nationkey, c_acctbal DESC, c_custkey) AS sorted FROM customer WHERE c_custkey < 40")
-def o5_several_keys(t):
-    """Ids sort as text."""
-    key = F.concat(F.lit("M"), F.col("c_nationkey").cast("string"))
-    rows = t("customer").where("c_custkey < 40").select(F.struct(key.alias("k"), (-F.col("c_acctbal")).alias("b"), "c_custkey").alias("s"))
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: F.concat_ws(":", x["k"], x["c_custkey"].cast("string"))), ",").alias("sorted"))
+@query("SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY 'M' || c_nationkey, c_acctbal DESC, c_custkey) AS place FROM customer")
+def o5_several_keys_of_all(t):
+    """Ids sort as text; all customers, each segment in its own order."""
+    from pyspark.sql import Window
+
+    id_ = F.concat(F.lit("M"), F.col("c_nationkey").cast("string"))
+    order = Window.partitionBy("c_mktsegment").orderBy(id_, F.desc("c_acctbal"), "c_custkey")
+    return t("customer").select("c_mktsegment", "c_custkey", F.row_number().over(order).alias("place"))
 
 
 @query("SELECT n_nationkey::BIGINT AS key, n_name AS name, NULL::VARCHAR AS segment FROM nation UNION ALL SELECT c_custkey, NULL, c_mktsegment FROM customer")
@@ -478,6 +487,14 @@ def r9_rescored(t):
 
 # The menus of R19 and C14 over whole texts, with SQL that reads whole texts too.
 
+@query(f"WITH {ALL}, w AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), m AS (SELECT item_id, min(rank) AS best FROM w LEFT JOIN (SELECT * FROM r WHERE rank <= 20) USING (item_id, doc_id) GROUP BY 1) SELECT k, count(*) AS n_queries, count(*) FILTER (best <= k) AS hits, round(count(*) FILTER (best <= k) / count(*), 6) AS hit_rate_at_k FROM m CROSS JOIN (VALUES (1), (5), (10), (20)) v(k) GROUP BY k")
+def a10_hit_rate_of_whole_items(t):
+    """A10: the gold documents hold the whole text of the item, not its first 60 characters."""
+    hits = route.keyword_hits(t("documents"), "doc_id", F.col("text"), t("benchmark"), "item_id", "text").withColumnRenamed("text", "item")
+    gold = hits.join(t("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item")))
+    return evaluate.hit_rate(top(t, 20), gold, [1, 5, 10, 20], query="item_id")
+
+
 WHOLE = f"h AS (SELECT doc_id, family, count(*) AS hits FROM documents JOIN ({FAMILIES}) v(family, word) ON contains(lower(text), word) GROUP BY 1, 2), o AS (SELECT * FROM h UNION ALL SELECT doc_id, family, 0 FROM documents ANTI JOIN h USING (doc_id) CROSS JOIN (SELECT DISTINCT family FROM ({MEMBERS}) v(family, member))), m AS (SELECT doc_id, family, member, hits, row_number() OVER (PARTITION BY doc_id, family ORDER BY member) AS place FROM o JOIN ({MEMBERS}) v(family, member) USING (family) WHERE NOT (doc_id % 2 = 0 AND member = 'a1') QUALIFY place <= 2)"
 
 
