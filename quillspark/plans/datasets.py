@@ -213,6 +213,14 @@ def w15_ordinals(t):
     return readers.with_ordinal(t("nation").select("n_name"), ["n_name"])
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal FROM orders")
+def w15_ordinals_of_all(t):
+    """A large table, with one order date for many rows."""
+    from quillspark.sources import readers
+
+    return readers.with_ordinal(t("orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_orderkey) AS place FROM orders")
 def o1_stable_sort(t):
     """O1: by falling score (one of five, so ties abound); rows that tie stay in their input order."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import obligations as O
 from quillspark.functions import text as T
 from quillspark.operators import annotate, curate, evaluate, retrieve, route, segment
+from quillspark.sources import readers
 
 
 def one(spark, column):
@@ -110,3 +111,12 @@ def test_small_functions(spark):
     assert f(T.status_of_score(F.lit(0.05))) == "Not Addressed" and f(T.status_of_score(F.lit(0.9))) == "Fully Addressed"
     assert [tuple(r) for r in f(T.roles_of(F.lit("Owner - keeps it - all\nrest")))] == [("Owner", "keeps it - all"), ("", "rest")]
     assert f(T.id_depth(F.lit("M1.2.3"))) and not f(T.id_depth(F.lit("M1.2"))) and f(T.like_glob(F.lit("a_1.json"), "a_?.js*"))
+
+
+def test_ordinals_are_gapless_over_nulls_ties_and_empty_tables(spark):
+    rows = spark.createDataFrame([(3, "a"), (None, "b"), (1, "c"), (3, "d"), (1, "e"), (None, "f")], "k int, _n string")
+    got = readers.with_ordinal(rows, ["k", "_n"]).orderBy("ordinal").collect()
+    assert [(r._n, r.ordinal) for r in got] == [("b", 0), ("f", 1), ("c", 2), ("e", 3), ("a", 4), ("d", 5)]
+    tied = readers.with_ordinal(rows, ["k"]).collect()
+    assert sorted(r.ordinal for r in tied) == list(range(6)) and {r.ordinal for r in tied if r.k == 1} == {2, 3}
+    assert readers.with_ordinal(rows.where("k > 9"), ["k"]).collect() == []
