@@ -173,10 +173,58 @@ def op10_token_store(spark, sf_dir):
     return round_trip(_read(spark, sf_dir, "documents")).select("doc_id", "start", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    from quillspark.llm.manifest import prove
+
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower).otherwise(F.col("text"))
+    found = prove(_read(spark, sf_dir, "documents"), forged={"text": tampered})
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+# crc32 by the usual table of 256 values, from its rule; the trees level by level; a row's fold and proof from its leaf up.
+OP11 = r"""
+WITH RECURSIVE c(i, k, v) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM c WHERE k < 8
+), t AS (SELECT list(v ORDER BY i) AS t FROM c WHERE k = 8),
+s AS (
+  SELECT doc_id, lang, text, xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: xor(a >> 8, t.t[(xor(a, x) & 255) + 1])), 4294967295) % 3 = 0 AS bad,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM documents CROSS JOIN t
+), l AS (
+  SELECT doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || CASE WHEN bad THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS forged,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n
+  FROM s
+), a(g, lvl, p, d, n) AS (
+  SELECT g::BIGINT, 0::BIGINT, p::BIGINT, leaf, n::BIGINT FROM l
+  UNION ALL SELECT g, any_value(lvl) + 1, p // 8, sha256(string_agg(d, '' ORDER BY p)), any_value((n + 7) // 8) FROM a WHERE n > 1 GROUP BY g, p // 8
+), b(lvl, p, d, n) AS (
+  SELECT 0::BIGINT, g - 1, d, count(*) OVER () FROM a WHERE n = 1
+  UNION ALL SELECT any_value(lvl) + 1, p // 8, sha256(string_agg(d, '' ORDER BY p)), any_value((n + 7) // 8) FROM b WHERE n > 1 GROUP BY p // 8
+), ar AS (SELECT g, lvl, p // 8 AS r, list(d ORDER BY p) AS ds FROM a WHERE n > 1 GROUP BY ALL),
+br AS (SELECT lvl, p // 8 AS r, list(d ORDER BY p) AS ds FROM b WHERE n > 1 GROUP BY ALL),
+x(doc_id, leaf, g, lvl, p, proof, f) AS (
+  SELECT doc_id, leaf, g::BIGINT, 0::BIGINT, p::BIGINT, '', forged FROM l
+  UNION ALL SELECT doc_id, leaf, x.g, x.lvl + 1, p // 8, proof || array_to_string(ds[1 : p % 8], '') || array_to_string(ds[p % 8 + 2 :], ''),
+    sha256(array_to_string(ds[1 : p % 8], '') || f || array_to_string(ds[p % 8 + 2 :], ''))
+  FROM x JOIN ar ON ar.g = x.g AND ar.lvl = x.lvl AND ar.r = p // 8
+), y(doc_id, leaf, g, lvl, p, proof, f) AS (
+  SELECT doc_id, leaf, x.g, 0::BIGINT, x.g - 1, proof, f FROM x JOIN a ON a.g = x.g AND a.lvl = x.lvl AND a.n = 1
+  UNION ALL SELECT doc_id, leaf, g, y.lvl + 1, p // 8, proof || array_to_string(ds[1 : p % 8], '') || array_to_string(ds[p % 8 + 2 :], ''),
+    sha256(array_to_string(ds[1 : p % 8], '') || f || array_to_string(ds[p % 8 + 2 :], ''))
+  FROM y JOIN br ON br.lvl = y.lvl AND br.r = p // 8
+)
+SELECT y.doc_id, y.leaf, a.d AS subroot, b.d AS root, sha256(y.proof) AS proof_sha256, y.f AS folded_root, y.f = b.d AS verified
+FROM y JOIN b ON b.lvl = y.lvl AND b.n = 1 JOIN a ON a.g = y.g AND a.n = 1
+"""
+
+
 def queries() -> dict:
-    listed = (chat_linked_calls, op1_ngram_jaccard_join, op2_sentencepiece, op3_url_filter, op4_nearest_neighbours, op5_packing, op6_html_extraction, op7_chat_formatting, op8_quality_rules, op9_secret_scan, op10_token_store)
+    listed = (chat_linked_calls, op1_ngram_jaccard_join, op2_sentencepiece, op3_url_filter, op4_nearest_neighbours, op5_packing, op6_html_extraction, op7_chat_formatting, op8_quality_rules, op9_secret_scan, op10_token_store, op11_merkle_manifest)
     return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"chat_linked_calls": LINKED, "op1_ngram_jaccard_join": OP1, "op3_url_filter": OP3, "op7_chat_formatting": OP7, "op8_quality_rules": OP8}
+    return {"chat_linked_calls": LINKED, "op1_ngram_jaccard_join": OP1, "op3_url_filter": OP3, "op7_chat_formatting": OP7, "op8_quality_rules": OP8, "op11_merkle_manifest": OP11}
