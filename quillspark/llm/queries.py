@@ -221,8 +221,31 @@ FROM y JOIN b ON b.lvl = y.lvl AND b.n = 1 JOIN a ON a.g = y.g AND a.n = 1
 """
 
 
+def op12_periodic_runs(spark, sf_dir):
+    from quillspark.llm.periodic import find_runs
+    from quillspark.llm.secrets import let
+
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return let(F.struct(a.cast("int").alias("a"), p.cast("int").alias("p")), lambda v: F.array_join(F.transform(words, lambda w, i: F.when(i < v["a"], w).otherwise(F.get(words, v["a"] + (i - v["a"]) % v["p"]))), " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, planted(w)))).otherwise(F.col("text"))
+    found = find_runs(spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.alias("text")))
+    longer = lambda m, r: r["length"] * m["period"] > m["length"] * r["period"]
+    best = F.aggregate("runs", F.lit(None).cast("struct<start: long, length: long, period: long>"), lambda m, r: F.when(m.isNull() | longer(m, r), r).otherwise(m))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    told = found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return told.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
-    listed = (chat_linked_calls, op1_ngram_jaccard_join, op2_sentencepiece, op3_url_filter, op4_nearest_neighbours, op5_packing, op6_html_extraction, op7_chat_formatting, op8_quality_rules, op9_secret_scan, op10_token_store, op11_merkle_manifest)
+    listed = (chat_linked_calls, op1_ngram_jaccard_join, op2_sentencepiece, op3_url_filter, op4_nearest_neighbours, op5_packing, op6_html_extraction, op7_chat_formatting, op8_quality_rules, op9_secret_scan, op10_token_store, op11_merkle_manifest, op12_periodic_runs)
     return {f.__name__: f for f in listed}
 
 
