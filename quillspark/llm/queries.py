@@ -244,10 +244,58 @@ def op12_periodic_runs(spark, sf_dir):
     return told.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_license_scan(spark, sf_dir):
+    from quillspark.llm.licenses import scan
+
+    found = scan(spread(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    base, own = F.transform("places", lambda p: p["label"]), F.transform("matches", lambda m: m["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    at = F.transform("places", lambda p: p["word"])
+    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)))
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), joined(base).alias("base_labels"), joined(F.concat(base, own)).alias("labels"), score.alias("score"))
+
+
+def op13_sql() -> str:
+    """Every block is held against every template. The templates' words come from the operator's own list."""
+    from quillspark.llm.licenses import LINE, PHRASES, SHARE, TEMPLATES, WINDOW, need, words_of
+
+    rows = []
+    for i, (label, text) in enumerate(TEMPLATES):
+        own = [w.decode() for w in words_of(text)]
+        rows.append(f"({i}, '{label}', {sorted(set(own))}, {len(set(own))}, {need(len(set(own)), SHARE)}, {len(own) > LINE // 2})")
+    phrases = ", ".join(f"({phrase.split()}, {len(phrase.split())}, '{label}')" for phrase, label in PHRASES)
+    return rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), a AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS a FROM w),
+v(id, label, words, size, need, long) AS (VALUES {", ".join(rows)}),
+i AS (SELECT r, unnest(generate_series(0, len(a) - 1)) AS i, a FROM a),
+p AS (SELECT r, i, f.label FROM i JOIN (VALUES {phrases}) f(words, n, label) ON a[i + 1 : i + n] = f.words),
+n AS (SELECT r, unnest(list_transform(string_split(t, chr(10)), lambda x: regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS a FROM a),
+s AS (
+  SELECT r, a, false AS long, {LINE} AS width FROM n WHERE len(a) > 0 UNION ALL SELECT r, a, true, {WINDOW} FROM a WHERE len(a) > 0
+), b AS (
+  SELECT r, long, row_number() OVER () AS b, list_distinct(a[k * (width // 2) + 1 : k * (width // 2) + width]) AS ws
+  FROM (SELECT *, unnest(generate_series(0, greatest(1, ceil(len(a) / (width // 2))::BIGINT - 1) - 1)) AS k FROM s)
+), m AS (
+  SELECT b.r, b.b, v.id, v.label, v.size, v.words, len(list_intersect(ws, v.words)) / v.size::DOUBLE AS c
+  FROM b JOIN v ON b.long = v.long AND len(list_intersect(ws, v.words)) >= v.need
+), k AS (
+  SELECT r, label, c FROM m WHERE NOT EXISTS (
+    SELECT 1 FROM m o WHERE o.b = m.b AND o.id <> m.id AND 2 * len(list_intersect(o.words, m.words)) >= least(o.size, m.size) AND (o.c > m.c OR o.c = m.c AND (o.size > m.size OR o.size = m.size AND o.id < m.id)))
+), pb AS (SELECT r, count(*) AS n, min(i) AS first, max(i) AS last, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM p GROUP BY r),
+every AS (SELECT r, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT r, label FROM p UNION ALL SELECT r, label FROM k) GROUP BY r),
+best AS (SELECT r, max(c) AS c FROM k GROUP BY r)
+SELECT doc_id, len(a)::BIGINT AS n_words, coalesce(pb.n, 0)::BIGINT AS n_base, pb.first::BIGINT AS first_word, pb.last::BIGINT AS last_word,
+  coalesce(pb.labels, '') AS base_labels, coalesce(every.labels, '') AS labels, CASE WHEN pb.n > 0 THEN 1.0 ELSE coalesce(best.c, 0) END::DOUBLE AS score
+FROM a LEFT JOIN pb USING (r) LEFT JOIN every USING (r) LEFT JOIN best USING (r)
+"""
+
+
 def queries() -> dict:
-    listed = (chat_linked_calls, op1_ngram_jaccard_join, op2_sentencepiece, op3_url_filter, op4_nearest_neighbours, op5_packing, op6_html_extraction, op7_chat_formatting, op8_quality_rules, op9_secret_scan, op10_token_store, op11_merkle_manifest, op12_periodic_runs)
+    listed = (chat_linked_calls, op1_ngram_jaccard_join, op2_sentencepiece, op3_url_filter, op4_nearest_neighbours, op5_packing, op6_html_extraction, op7_chat_formatting, op8_quality_rules, op9_secret_scan, op10_token_store, op11_merkle_manifest, op12_periodic_runs, op13_license_scan)
     return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"chat_linked_calls": LINKED, "op1_ngram_jaccard_join": OP1, "op3_url_filter": OP3, "op7_chat_formatting": OP7, "op8_quality_rules": OP8, "op11_merkle_manifest": OP11}
+    return {"chat_linked_calls": LINKED, "op1_ngram_jaccard_join": OP1, "op3_url_filter": OP3, "op7_chat_formatting": OP7, "op8_quality_rules": OP8, "op11_merkle_manifest": OP11, "op13_license_scan": op13_sql()}
