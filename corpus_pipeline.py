@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import materialize
+from quillspark.llm._spark import free_name, materialize
 from quillspark.llm.ngram_join import keep_one
 from quillspark.llm.packing import pack
 from quillspark.llm.repetition import keep_good
@@ -31,8 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; every document stays, null texts as they are. n_chars is counted anew where a text changed."""
-    clean = redact(docs.withColumn("_before", F.col("text")))
-    changed = F.col("text") != F.col("_before")
+    before = free_name(docs, "_before")
+    clean = redact(docs.withColumn(before, F.col("text")))
+    changed = F.col("text") != F.col(before)
     return clean.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

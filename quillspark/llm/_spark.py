@@ -107,6 +107,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the name with underscores behind it where df has such a column: a helper column never meets one of the input's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
     """Hint a broadcast only for a counted number of (narrow) rows; beyond it Spark's shuffled joins do the work."""
     return F.broadcast(df) if rows <= most else df

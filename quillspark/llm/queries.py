@@ -130,8 +130,7 @@ def op8_quality_rules(spark, sf_dir):
 # A repeat of ten words or more is a repeated ten-word window; one of more than a hundred is a repeated 101-word window.
 OP8 = r"""
 WITH w AS (
-  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+') AS a FROM documents
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents
 ), k AS (
   SELECT doc_id, n, i, array_to_string(a[i : i + n - 1], ' ') AS g
   FROM (SELECT doc_id, a, n, unnest(generate_series(1, len(a) - n + 1)) AS i FROM w CROSS JOIN (VALUES (5), (10), (101)) v(n))
@@ -142,8 +141,7 @@ c AS (
 ), l AS (SELECT DISTINCT doc_id FROM f WHERE n = 101),
 d AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS dup
-  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^ 	-
-]') GROUP BY doc_id
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), x AS (
   SELECT doc_id, len(a)::BIGINT AS n_words, length(array_to_string(a, ''))::BIGINT AS word_chars,
     (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm._spark import free_name
+
 # Kinds in the order in which they are listed, and their patterns.
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -143,15 +145,18 @@ def scan(docs: DataFrame, *, text_col: str = "text", out_col: str = "secrets", s
     model = model or train(labelled_samples(docs, text_col, sample_rows))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = let(F.lower(text), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in ("passw", "secret", "token", "api"))))
-    runs = docs.withColumn("_runs", found(text, RUN, 3))
-    base = runs.withColumn("_base", F.concat(bare(found(text, ASSIGN, 0, 2, 8, named)), bare(found(text, ACCESS, 1, likely=F.contains(text, F.lit("AKIA")))), bare(found(text, HEX, 2, likely=F.size("_runs") > 0))))
+    runs_col = free_name(docs, "_runs")
+    runs = docs.withColumn(runs_col, found(text, RUN, 3))
+    base_col = free_name(runs, "_base")
+    base = runs.withColumn(base_col, F.concat(bare(found(text, ASSIGN, 0, 2, 8, named)), bare(found(text, ACCESS, 1, likely=F.contains(text, F.lit("AKIA")))), bare(found(text, HEX, 2, likely=F.size(runs_col) > 0))))
 
     def secret(s):
         return ratio(s["match"], model) >= F.greatest(F.lit(least), F.lit(per_letter) * F.char_length(s["match"]))
 
     # Only strings that the models take for random are held against the pattern matches.
-    random = base.withColumn("_random", F.when(F.size("_runs") > 0, bare(F.filter("_runs", secret))).otherwise(F.expr(NONE)))
-    return random.withColumn(out_col, F.array_sort(F.concat("_base", apart(F.col("_random"), F.col("_base"))))).drop("_base", "_runs", "_random")
+    random_col = free_name(base, "_random")
+    random = base.withColumn(random_col, F.when(F.size(runs_col) > 0, bare(F.filter(runs_col, secret))).otherwise(F.expr(NONE)))
+    return random.withColumn(out_col, F.array_sort(F.concat(base_col, apart(F.col(random_col), F.col(base_col))))).drop(base_col, runs_col, random_col)
 
 
 def apart(spans: Column, others: Column) -> Column:
@@ -176,13 +181,14 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """docs with every secret of text_col replaced by mark (touching or overlapping spans by one). Null texts stay null."""
-    scanned = scan(docs, text_col=text_col, out_col="_spans", **options)
+    spans = free_name(docs, "_spans")
+    scanned = scan(docs, text_col=text_col, out_col=spans, **options)
     t = F.col(text_col)
 
     def cut(at, s):
         return F.struct(at.alias("prev"), F.greatest(at, s["start"]).alias("stop"), ((s["start"] > at) | ((at == 0) & (s["start"] == 0))).alias("new"))
 
-    cuts = running(F.col("_spans"), lambda at, s: F.greatest(at, s["end"]), cut, "struct<prev: int, stop: int, new: boolean>")
+    cuts = running(F.col(spans), lambda at, s: F.greatest(at, s["end"]), cut, "struct<prev: int, stop: int, new: boolean>")
 
     def pieces(block):
         """What stays before each of a block's secrets, cut out of the block's own part of the text."""
@@ -190,6 +196,6 @@ def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", *
         part = F.substr(t, low + 1, F.element_at(block, -1)["stop"] - low)
         return let(part, lambda own: F.transform(block, lambda c: F.concat(F.substr(own, c["prev"] - low + 1, c["stop"] - c["prev"]), F.when(c["new"], F.lit(mark)).otherwise(F.lit("")))))
 
-    rest = F.substr(t, F.array_max(F.transform("_spans", lambda s: s["end"])) + 1, F.char_length(t))
+    rest = F.substr(t, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.char_length(t))
     joined = F.array_join(F.flatten(let(cuts, lambda v: F.transform(blocks_of(v, 64), pieces))), "")
-    return scanned.withColumn(text_col, F.when(F.size("_spans") > 0, F.concat(joined, rest)).otherwise(t)).drop("_spans")
+    return scanned.withColumn(text_col, F.when(F.size(spans) > 0, F.concat(joined, rest)).otherwise(t)).drop(spans)

@@ -266,31 +266,54 @@ def read_tokens(spark: SparkSession, uri: str, shards: list[tuple[int, int, int]
     return spark.range(0, len(starts), 1, max(1, len(starts))).mapInArrow(task("token_store:read_shards", uri, starts), "doc_id long, start long, ids binary")
 
 
-def find_rows(batches, uri: str, wanted: np.ndarray, dtype: str = "<u4"):
-    """Shard numbers to (doc_id, ids) of the wanted identifiers (sorted) that their files hold, each by a lookup."""
+def last_ids(batches, uri: str):
+    """Shard numbers to (shard, last): the greatest identifier of each file, null where it holds null ones only."""
     files, top = opened(uri)
     for batch in batches:
-        for shard in batch.column(0).to_pylist():
-            table = Table(files, f"{top}/{shard:06d}.sst")
-            last = id_of(table.last[-1]) if table.last else None
-            ids = wanted if last is None else wanted[: np.searchsorted(wanted, last, side="right")]
-            found = [(int(i), ids_.astype(dtype).tobytes()) for i in ids for ids_ in table.get(int(i))]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["doc_id", "ids"])
+        shards = batch.column(0).to_pylist()
+        lasts = [id_of(Table(files, f"{top}/{shard:06d}.sst").last[-1]) for shard in shards]
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(lasts, pa.int64())], names=["shard", "last"])
 
 
-def find_tokens(spark: SparkSession, uri: str, shards: list[tuple[int, int, int]], wanted: DataFrame, *, id_col: str = "doc_id", most: int = 1_000_000) -> DataFrame:
+def route_rows(batches, shards: np.ndarray, lasts: np.ndarray):
+    """Identifiers to (shard, doc_id) of each file whose range holds them; one that ends a file may go on in the next."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        first, stop = np.searchsorted(lasts, ids, "left"), np.minimum(np.searchsorted(lasts, ids, "right") + 1, len(lasts))
+        times = np.maximum(stop - first, 0)
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        yield pa.RecordBatch.from_arrays([pa.array(shards[np.repeat(first, times) + within], pa.int32()), pa.array(np.repeat(ids, times), pa.int64())], names=["shard", "doc_id"])
+
+
+def find_rows(batches, uri: str, dtype: str = "<u4"):
+    """(shard, doc_id), sorted, to (doc_id, ids) of the identifiers that the files hold, each by a lookup."""
+    files, top = opened(uri)
+    held, table = None, None
+    for batch in batches:
+        found = []
+        for shard, doc_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if shard != held:
+                held, table = shard, Table(files, f"{top}/{shard:06d}.sst")
+            found += [(doc_id, ids.astype(dtype).tobytes()) for ids in table.get(doc_id)]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["doc_id", "ids"])
+
+
+def find_tokens(spark: SparkSession, uri: str, shards: list[tuple[int, int, int]], wanted: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, ids) of every document whose identifier is wanted: filter, index and one block a hit, no scan of the files.
 
-    Identifiers go to the tasks in parts of at most `most` (8 MB), by a hash; null and repeated ones count for nothing.
+    Wanted identifiers are dealt to the files whose ranges hold them, by each file's greatest identifier (16 bytes a file go
+    to the tasks), and looked up there in order. No identifier passes the driver. Null and repeated ones count for nothing.
     """
     ids = wanted.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-    parts = max(1, -(-ids.count() // (most // 2)))
-    found = spark.createDataFrame([], "doc_id long, ids binary")
-    for i in range(parts):
-        own = np.sort(ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == i).toPandas()["doc_id"].to_numpy(np.int64))
-        numbers = spark.createDataFrame([(n,) for n, _, _ in shards], "shard int").repartition(max(1, len(shards))) if shards else spark.createDataFrame([], "shard int")
-        found = found.unionByName(numbers.mapInArrow(task("token_store:find_rows", uri, own), "doc_id long, ids binary"))
-    return found
+    if not shards:
+        return spark.createDataFrame([], "doc_id long, ids binary")
+    numbers = spark.createDataFrame([(n,) for n, _, _ in shards], "shard int").repartition(len(shards))
+    ends = sorted((r["shard"], r["last"]) for r in numbers.mapInArrow(task("token_store:last_ids", uri), "shard int, last long").collect())
+    ends = [(n, last) for n, last in ends if last is not None]  # files of null identifiers only
+    bounds = np.array([n for n, _ in ends], np.int32), np.array([last for _, last in ends], np.int64)
+    dealt = ids.mapInArrow(task("token_store:route_rows", *bounds), "shard int, doc_id long")
+    ordered = dealt.repartition("shard").sortWithinPartitions("shard", "doc_id")
+    return ordered.mapInArrow(task("token_store:find_rows", uri), "doc_id long, ids binary")
 
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:

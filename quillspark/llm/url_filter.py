@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm._spark import materialize
+from quillspark.llm._spark import free_name, materialize
 
 # The rules in force, and hosts that are refused where no rule fits.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -29,11 +29,9 @@ REFUSED = ("ads-track.example.com", "adult-x.example.com", "casino-win.example.n
 MOST_BITS = 1 << 27
 
 
-def values(spark: SparkSession, keys: list[str]) -> DataFrame:
-    """A column `key` of the given strings."""
-    import json
-
-    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("key"))
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, by a lambda: however long the list of shapes or levels, the generated code stays small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 class Level:
@@ -43,69 +41,147 @@ class Level:
         self.number, self.bits, self.probes = number, bits, probes
         self.words: Column | None = None
 
-    def places(self, key: Column) -> list[Column]:
+    def hashes(self, key: Column) -> Column:
         a = F.shiftrightunsigned(F.xxhash64(key, F.lit(self.number)), 3)
         b = F.shiftrightunsigned(F.xxhash64(key, F.lit(self.number), F.lit("step")), 8)
-        return [F.pmod(a + F.lit(i) * b, F.lit(self.bits)) for i in range(self.probes)]
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    def place(self, h: Column, i: Column) -> Column:
+        return F.pmod(h["a"] + i * h["b"], F.lit(self.bits))
+
+    def turns(self) -> Column:
+        return F.array(*(F.lit(i).cast("long") for i in range(self.probes)))
 
     def fill(self, keys: DataFrame) -> None:
         """The words are built by partial bitwise ORs and kept as one row; no key and no word passes through the driver's code."""
-        at = keys.select(F.explode(F.array(*self.places(F.col("key")))).alias("at"))
+        at = keys.select(F.explode(let(self.hashes(F.col("key")), lambda h: F.transform(self.turns(), lambda i: self.place(h, i)))).alias("at"))
         word = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bits"))
         every = keys.sparkSession.range(self.bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
         whole = word.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
         row = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
         self.words = materialize(row, "level").scalar()
 
-    def has(self, key: Column) -> Column:
-        hit = F.lit(True)
-        for at in self.places(key):
-            word = F.get(self.words, F.shiftright(at, 6).cast("int"))
-            hit = hit & (F.getbit(word, (at.bitwiseAND(F.lit(63))).cast("int")) == 1)
-        return hit
+    def put(self, hashes: list[tuple[int, int]]) -> None:
+        """The same words from few keys' hashes: constants of the plan."""
+        words = [0] * (self.bits // 64)
+        for a, b in hashes:
+            for i in range(self.probes):
+                at = wrapped(a + i * b) % self.bits
+                words[at >> 6] |= 1 << (at & 63)
+        self.words = F.array(*(F.lit(wrapped(w)).cast("long") for w in words))
+
+    def takes(self, hashes: tuple[int, int], words: set[int]) -> bool:
+        """Whether a key of these hashes passes; words: the places that are set."""
+        return all(wrapped(hashes[0] + i * hashes[1]) % self.bits in words for i in range(self.probes))
+
+    def places_of(self, hashes: list[tuple[int, int]]) -> set[int]:
+        return {wrapped(a + i * b) % self.bits for a, b in hashes for i in range(self.probes)}
+
+    def hit(self, at: Column, words: Column) -> Column:
+        return F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def has(self, key: Column, words: Column | None = None) -> Column:
+        """Whether a key passes. words is the level's row as a bound column; without it the subquery stands in the expression once a probe."""
+        if words is None:
+            places = let(self.hashes(key), lambda h: F.transform(self.turns(), lambda i: self.place(h, i)))
+            return reduce(Column.__and__, (self.hit(F.get(places, F.lit(i)), self.words) for i in range(self.probes)))
+        return let(self.hashes(key), lambda h: F.forall(self.turns(), lambda i: self.hit(self.place(h, i), words)))
+
+    def passing(self, keys: DataFrame) -> DataFrame:
+        bound, words = bind(keys.select("key"), self.words)
+        return bound.where(let(words, lambda w: self.has(F.col("key"), w))).select("key")
+
+
+def bind(rows: DataFrame, words: Column) -> tuple[DataFrame, Column]:
+    """rows with words as a column, which a lambda can use (a subquery can't stand in one). The optimizer puts it where its one use is, so no row holds it."""
+    name = free_name(rows, "_words")
+    return rows.withColumn(name, words), F.col(name)
+
+
+def wrapped(x: int) -> int:
+    """x as a signed 64-bit number."""
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
 class Cascade:
     """Exact membership of `listed` within `universe` (DataFrames with a string column `key`; nulls are no keys).
 
     The first filter's error rate is chosen so that about as many foreign keys pass it as there are listed
-    ones; later levels err on one key in two. An empty list gives a cascade that holds nothing.
+    ones; later levels err on one key in two. An empty list gives a cascade that holds nothing. A list of at most `few` keys
+    takes an error rate of 2^-20 unseen; if no more than `few` corpus keys pass that, the levels behind are built from
+    their hashes alone, as constants. Otherwise each level is built by jobs, as a row of a table.
     """
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, most: int = 60):
+    def __init__(self, listed: DataFrame, universe: DataFrame, most: int = 60, few: int = 1024):
         listed = materialize(listed.where("key is not null").distinct(), "listed")
         r = listed.count()
         self.levels: list[Level] = []
         if not r:
             return
-        foreign = max(1, universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"] - r)
-        inside, outside, error = listed, universe, first_error(r, foreign)
+        if r <= few:
+            error = 2.0**-20
+        else:
+            error = first_error(r, max(1, universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"] - r))
+        inside, outside = listed, universe
         for number in range(most):
             bits = bits_for(r, error)
             if bits > MOST_BITS:
                 raise ValueError(f"{r} keys need {bits} bits: deal them to several cascades (see pieces_for)")
             level = Level(number, bits, max(1, round(-math.log2(error))))
-            level.fill(inside)
+            if number == 0 and r <= few:
+                level.put(hashes_of(listed, [level])[0])
+            else:
+                level.fill(inside)
             self.levels.append(level)
             # Those of the other side that this level takes for its own. The first time they come out of the whole corpus.
-            wrong = outside.where(level.has(F.col("key"))).distinct()
+            wrong = level.passing(outside).distinct()
             if number == 0:
                 wrong = wrong.join(listed, "key", "left_anti")
             wrong = materialize(wrong, "wrong")
-            inside, outside, error, r = wrong, inside, 0.5, wrong.count()
+            inside, outside, error, was, r = wrong, inside, 0.5, r, wrong.count()
             if not r:
                 break
+            if number == 0 and was <= few and r <= few:
+                self.close(wrong, listed, was, r, most)
+                break
         else:
             raise ValueError("the cascade did not close")
 
-    def has(self, key: Column) -> Column:
-        """Whether a key of the universe is listed."""
+    def close(self, wrong: DataFrame, listed: DataFrame, n_listed: int, n_wrong: int, most: int) -> None:
+        """The further levels, between few listed and few wrong keys: their hashes are known, so no job is needed."""
+        probe = [Level(i, 64, 1) for i in range(1, most)]
+        sides = [list(zip(*hashes_of(side, probe), strict=True)) for side in (wrong, listed)]
+        for number in range(1, most):
+            inside, outside = sides
+            if not inside:
+                return
+            level = Level(number, bits_for(len(inside), 0.5), 1)
+            own = [h[number - 1] for h in inside]
+            level.put(own)
+            self.levels.append(level)
+            places = level.places_of(own)
+            sides = [[h for h in outside if level.takes(h[number - 1], places)], inside]
+        raise ValueError("the cascade did not close")
+
+    def words(self) -> Column:
+        """Every level's words, to be bound once with let."""
+        return F.struct(*(level.words.alias(f"w{level.number}") for level in self.levels))
+
+    def has(self, key: Column, words: Column | None = None) -> Column:
+        """Whether a key of the universe is listed. words: the bound words(), needed inside a lambda."""
         out = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(self.levels):
-            out = F.when(level.has(key), out).otherwise(F.lit(level.number % 2 == 1))
+            own = words[f"w{level.number}"] if words is not None else None
+            out = F.when(level.has(key, own), out).otherwise(F.lit(level.number % 2 == 1))
         return out
 
 
+def hashes_of(keys: DataFrame, levels: list[Level]) -> list[list[tuple[int, int]]]:
+    """For each level, the hashes of few keys (a counted number)."""
+    rows = keys.select(F.array(*(level.hashes(F.col("key")) for level in levels)).alias("h")).collect()
+    return [[(r["h"][i]["a"], r["h"][i]["b"]) for r in rows] for i in range(len(levels))]
+
+
 def first_error(listed: int, foreign: int) -> float:
     return min(0.5, math.sqrt(0.5) * listed / foreign)
 
@@ -136,6 +212,22 @@ def as_table(spark: SparkSession, rows, *names: str) -> DataFrame:
     return spark.createDataFrame(made, ", ".join(f"{n} string" for n in names))
 
 
+def keys_of(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """A URL's keys (m, key) of the given shapes (labels of the suffix, characters of the path; -1: of a host)."""
+    every = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n, m in shapes))
+    parts_of = F.struct(F.split(host, r"\.", -1).alias("labels"), path.alias("path"))
+
+    def key(v, s):
+        suffix = F.array_join(F.slice(v["labels"], -s["n"], s["n"]), ".")
+        text = F.when(s["m"] < 0, F.concat(F.lit("h:"), suffix)).otherwise(F.concat(F.lit("r:"), suffix, F.substr(v["path"], F.lit(1), F.greatest(s["m"], F.lit(0)))))
+        return F.struct(s["m"].alias("m"), text.alias("key"))
+
+    def fits(v, s):
+        return (F.size(v["labels"]) >= s["n"]) & (F.char_length(v["path"]) >= s["m"])
+
+    return let(parts_of, lambda v: F.transform(F.filter(every, lambda s: fits(v, s)), lambda s: key(v, s)))
+
+
 def judge(pages: DataFrame, *, url_col: str = "url", rules=RULES, refused=REFUSED, most_bits: int = MOST_BITS, group: int = 64) -> DataFrame:
     """pages with host, path, rule, verdict.
 
@@ -143,7 +235,7 @@ def judge(pages: DataFrame, *, url_col: str = "url", rules=RULES, refused=REFUSE
     the rule's; the longest wins (equal lengths: the longer host; block before allow). Where none fits, `rule` is null
     and the verdict is block for a refused host or its subdomains, else allow. rules (rule, verdict) and refused (host)
     are lists or tables of any length; null entries are none. Null URLs have empty parts and are allowed. Repeated rows
-    are judged each, an empty table gives an empty one. Input columns named as an output are replaced.
+    are judged each, an empty table gives an empty one. Input columns named as an output are replaced, all others stay.
     """
     spark = pages.sparkSession
     rule = as_table(spark, rules, "rule", "verdict").where("rule is not null")
@@ -157,33 +249,36 @@ def judge(pages: DataFrame, *, url_col: str = "url", rules=RULES, refused=REFUSE
     shapes = sorted(tuple(r) for r in every.select("n", "m").distinct().collect())
     host, path = parts(F.col(url_col).cast("string"))
     named = pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
-    labels = F.split("host", r"\.", -1)
+    best, bad, blocks = (free_name(named, name) for name in ("_best", "_bad", "_blocks"))
+    told = named.withColumns({best: F.lit(None).cast("struct<size: int, host: int, rule: string>"), bad: F.lit(False)})
+    groups = [shapes[i : i + group] for i in range(0, len(shapes), group)]
 
-    def key_of(n: int, m: int) -> Column:
-        """A URL's key of a shape, or null."""
-        suffix = F.array_join(F.slice(labels, -n, n), ".")
-        key = F.concat(F.lit("h:"), suffix) if m < 0 else F.when(F.char_length("path") >= m, F.concat(F.lit("r:"), suffix, F.substring("path", 1, m)))
-        return F.when(F.size(labels) >= n, key)
+    def better(k):
+        n = F.char_length(k["key"]) - 2
+        return F.struct(n.alias("size"), (n - k["m"]).alias("host"), F.substr(k["key"], F.lit(3)).alias("rule"))
+
+    def of_hits(hits, best, bad):
+        own = lambda h: F.array_max(F.transform(F.filter(h, lambda k: k["m"] >= 0), better))
+        return let(hits, lambda h: F.struct(F.greatest(best, own(h)).alias("best"), (bad | F.exists(h, lambda k: k["m"] < 0)).alias("bad")))
 
-    told = named.withColumns({"_best": F.lit(None).cast("struct<size: int, host: int, rule: string>"), "_bad": F.lit(False)})
-    groups = [shapes[i : i + group] for i in range(0, len(shapes), group)]
     for own in groups:
         listed = every if len(groups) == 1 else every.join(F.broadcast(spark.createDataFrame(own, "n int, m int")), ["n", "m"], "left_semi")
-        universe = named.select(F.explode(F.array_compact(F.array(*(key_of(*shape) for shape in own)))).alias("key"))
+        keys = keys_of(F.col("host"), F.col("path"), own)
+        universe = named.select(F.explode(keys).alias("k")).select("k.key")
         for inside in cascades(listed, universe, most_bits):
-            hit = {shape: inside(key_of(*shape)) for shape in own}
-            fits = [F.when(hit[n, m], F.struct((F.char_length(key_of(n, m)) - 2).alias("size"), (F.char_length(key_of(n, m)) - 2 - m).alias("host"), F.substr(key_of(n, m), F.lit(3)).alias("rule"))) for n, m in own if m >= 0]
-            bad = [F.coalesce(hit[n, m], F.lit(False)) for n, m in own if m < 0]
-            told = told.withColumns({"_best": F.greatest("_best", *fits) if fits else F.col("_best"), "_bad": reduce(Column.__or__, bad, F.col("_bad"))})
+            bound, words = bind(told, inside.cascade.words())
+            told = bound.withColumn(best, of_hits(inside.of(keys, words), F.col(best), F.col(bad))).drop(words)
+            told = told.withColumns({best: F.col(f"{best}.best"), bad: F.col(f"{best}.bad")})
             if len(groups) > 1 or inside.pieces > 1:
                 told = materialize(told, "judged")
     # Among the rules, those that block: one more cascade, whose universe is the list.
-    told = told.withColumn("_blocks", F.lit(False))
+    told = told.withColumn(blocks, F.lit(False))
     for inside in cascades(every.where("blocks and m >= 0"), every.where("m >= 0"), most_bits):
-        told = told.withColumn("_blocks", F.col("_blocks") | F.coalesce(inside(F.concat(F.lit("r:"), "_best.rule")), F.lit(False)))
+        bound, words = bind(told, inside.cascade.words())
+        told = bound.withColumn(blocks, F.col(blocks) | F.coalesce(inside(F.concat(F.lit("r:"), f"{best}.rule"), words), F.lit(False))).drop(words)
         told = materialize(told, "judged") if inside.pieces > 1 else told
-    blocks = F.when(F.col("_best").isNotNull(), F.col("_blocks")).otherwise(F.col("_bad"))
-    return told.withColumns({"rule": F.col("_best.rule"), "verdict": F.when(blocks, "block").otherwise("allow")}).drop("_best", "_bad", "_blocks")
+    is_blocked = F.when(F.col(best).isNotNull(), F.col(blocks)).otherwise(F.col(bad))
+    return told.withColumns({"rule": F.col(f"{best}.rule"), "verdict": F.when(is_blocked, "block").otherwise("allow")}).drop(best, bad, blocks)
 
 
 class Piece:
@@ -195,9 +290,15 @@ class Piece:
     def mine(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key, F.lit("piece")), F.lit(self.pieces)) == self.piece
 
-    def __call__(self, key: Column) -> Column:
-        found = self.cascade.has(key) if self.pieces == 1 else self.mine(key) & self.cascade.has(key)
-        return F.when(key.isNotNull(), found)
+    def bound(self, key: Column, words: Column) -> Column:
+        return self.cascade.has(key, words) if self.pieces == 1 else self.mine(key) & self.cascade.has(key, words)
+
+    def of(self, keys: Column, words: Column) -> Column:
+        """The listed ones of an array of (m, key)."""
+        return let(words, lambda w: F.filter(keys, lambda k: self.bound(k["key"], w)))
+
+    def __call__(self, key: Column, words: Column) -> Column:
+        return F.when(key.isNotNull(), let(words, lambda w: self.bound(key, w)))
 
 
 def cascades(listed: DataFrame, universe: DataFrame, most_bits: int):

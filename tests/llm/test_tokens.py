@@ -19,9 +19,11 @@ def documents():
 
 
 def library():
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+def test_the_text_of_an_added_token_is_that_token():
+    assert WordIds(default_tokenizer()).encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
 
 
 def test_word_ids_equal_the_library():
