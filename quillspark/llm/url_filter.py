@@ -34,6 +34,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def hashes(number: Column, key: Column) -> Column:
+    """The two hashes of a key at a level."""
+    a = F.shiftrightunsigned(F.xxhash64(key, number), 3)
+    b = F.shiftrightunsigned(F.xxhash64(key, number, F.lit("step")), 8)
+    return F.struct(a.alias("a"), b.alias("b"))
+
+
 class Level:
     """One Bloom filter: m bits in 64-bit words, k probes by double hashing."""
 
@@ -42,9 +49,7 @@ class Level:
         self.words: Column | None = None
 
     def hashes(self, key: Column) -> Column:
-        a = F.shiftrightunsigned(F.xxhash64(key, F.lit(self.number)), 3)
-        b = F.shiftrightunsigned(F.xxhash64(key, F.lit(self.number), F.lit("step")), 8)
-        return F.struct(a.alias("a"), b.alias("b"))
+        return hashes(F.lit(self.number), key)
 
     def place(self, h: Column, i: Column) -> Column:
         return F.pmod(h["a"] + i * h["b"], F.lit(self.bits))
@@ -64,18 +69,12 @@ class Level:
     def put(self, hashes: list[tuple[int, int]]) -> None:
         """The same words from few keys' hashes: constants of the plan."""
         words = [0] * (self.bits // 64)
-        for a, b in hashes:
-            for i in range(self.probes):
-                at = wrapped(a + i * b) % self.bits
-                words[at >> 6] |= 1 << (at & 63)
+        for at in {at for h in hashes for at in self.places(h)}:
+            words[at >> 6] |= 1 << (at & 63)
         self.words = F.array(*(F.lit(wrapped(w)).cast("long") for w in words))
 
-    def takes(self, hashes: tuple[int, int], words: set[int]) -> bool:
-        """Whether a key of these hashes passes; words: the places that are set."""
-        return all(wrapped(hashes[0] + i * hashes[1]) % self.bits in words for i in range(self.probes))
-
-    def places_of(self, hashes: list[tuple[int, int]]) -> set[int]:
-        return {wrapped(a + i * b) % self.bits for a, b in hashes for i in range(self.probes)}
+    def places(self, hashes: tuple[int, int]) -> set[int]:
+        return {wrapped(hashes[0] + i * hashes[1]) % self.bits for i in range(self.probes)}
 
     def hit(self, at: Column, words: Column) -> Column:
         return F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
@@ -113,54 +112,63 @@ class Cascade:
     """
 
     def __init__(self, listed: DataFrame, universe: DataFrame, most: int = 60, few: int = 1024):
-        listed = materialize(listed.where("key is not null").distinct(), "listed")
-        r = listed.count()
         self.levels: list[Level] = []
-        if not r:
-            return
-        if r <= few:
-            error = 2.0**-20
-        else:
-            error = first_error(r, max(1, universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"] - r))
+        self.most, self.few = most, few
+        listed = listed.where("key is not null").select("key").distinct()
+        known = self.hashed(listed)
+        if known is None:
+            self.build(listed, universe)
+        elif known:
+            self.close(known, universe, listed)
+
+    def hashed(self, keys: DataFrame) -> dict[str, list] | None:
+        """Each of few keys with its hashes at every level; None where there are more than few."""
+        every = F.transform(F.sequence(F.lit(0), F.lit(self.most - 1)), lambda i: hashes(i, F.col("key")))
+        rows = keys.select("key", every.alias("h")).limit(self.few + 1).collect()
+        return None if len(rows) > self.few else {r["key"]: r["h"] for r in rows}
+
+    def close(self, known: dict[str, list], universe: DataFrame, listed: DataFrame) -> None:
+        """Few listed keys: the first level errs on one key in 2^20. Where it takes few others, their hashes give all levels behind it."""
+        level = Level(0, bits_for(len(known), 2.0**-20), 20)
+        level.put([h[0] for h in known.values()])
+        others = level.passing(universe).where(~F.col("key").isin(list(known))).distinct()
+        wrong = self.hashed(others)
+        if wrong is None:
+            return self.build(listed, universe)
+        sides = [list(wrong.values()), list(known.values())]
+        while sides[0]:
+            self.levels.append(level)
+            if len(self.levels) == self.most:
+                raise ValueError("the cascade did not close")
+            inside, outside = sides
+            level = Level(len(self.levels), bits_for(len(inside), 0.5), 1)
+            own = [h[level.number] for h in inside]
+            level.put(own)
+            places = {place for h in own for place in level.places(h)}
+            sides = [[h for h in outside if places.issuperset(level.places(h[level.number]))], inside]
+        self.levels.append(level)
+
+    def build(self, listed: DataFrame, universe: DataFrame) -> None:
+        """Each level by jobs, as a row of a table."""
+        listed = materialize(listed, "listed")
+        r = listed.count()
+        error = first_error(r, max(1, universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"] - r))
         inside, outside = listed, universe
-        for number in range(most):
+        for number in range(self.most):
             bits = bits_for(r, error)
             if bits > MOST_BITS:
                 raise ValueError(f"{r} keys need {bits} bits: deal them to several cascades (see pieces_for)")
             level = Level(number, bits, max(1, round(-math.log2(error))))
-            if number == 0 and r <= few:
-                level.put(hashes_of(listed, [level])[0])
-            else:
-                level.fill(inside)
+            level.fill(inside)
             self.levels.append(level)
             # Those of the other side that this level takes for its own. The first time they come out of the whole corpus.
             wrong = level.passing(outside).distinct()
             if number == 0:
                 wrong = wrong.join(listed, "key", "left_anti")
             wrong = materialize(wrong, "wrong")
-            inside, outside, error, was, r = wrong, inside, 0.5, r, wrong.count()
+            inside, outside, error, r = wrong, inside, 0.5, wrong.count()
             if not r:
-                break
-            if number == 0 and was <= few and r <= few:
-                self.close(wrong, listed, was, r, most)
-                break
-        else:
-            raise ValueError("the cascade did not close")
-
-    def close(self, wrong: DataFrame, listed: DataFrame, n_listed: int, n_wrong: int, most: int) -> None:
-        """The further levels, between few listed and few wrong keys: their hashes are known, so no job is needed."""
-        probe = [Level(i, 64, 1) for i in range(1, most)]
-        sides = [list(zip(*hashes_of(side, probe), strict=True)) for side in (wrong, listed)]
-        for number in range(1, most):
-            inside, outside = sides
-            if not inside:
                 return
-            level = Level(number, bits_for(len(inside), 0.5), 1)
-            own = [h[number - 1] for h in inside]
-            level.put(own)
-            self.levels.append(level)
-            places = level.places_of(own)
-            sides = [[h for h in outside if level.takes(h[number - 1], places)], inside]
         raise ValueError("the cascade did not close")
 
     def words(self) -> Column:
@@ -176,12 +184,6 @@ class Cascade:
         return out
 
 
-def hashes_of(keys: DataFrame, levels: list[Level]) -> list[list[tuple[int, int]]]:
-    """For each level, the hashes of few keys (a counted number)."""
-    rows = keys.select(F.array(*(level.hashes(F.col("key")) for level in levels)).alias("h")).collect()
-    return [[(r["h"][i]["a"], r["h"][i]["b"]) for r in rows] for i in range(len(levels))]
-
-
 def first_error(listed: int, foreign: int) -> float:
     return min(0.5, math.sqrt(0.5) * listed / foreign)
 
@@ -245,7 +247,9 @@ def judge(pages: DataFrame, *, url_col: str = "url", rules=RULES, refused=REFUSE
     label_count = lambda h: F.size(F.split(h, r"\.", -1))
     of_rules = rule.select(F.concat(F.lit("r:"), "rule").alias("key"), label_count(at).alias("n"), (F.char_length("rule") - F.char_length(at)).alias("m"), (F.col("verdict") == "block").alias("blocks"))
     of_hosts = as_table(spark, refused, "host").where("host is not null").select(F.concat(F.lit("h:"), "host").alias("key"), label_count(F.col("host")).alias("n"), F.lit(-1).alias("m"), F.lit(True).alias("blocks"))
-    every = materialize(of_rules.unionByName(of_hosts), "rules")
+    every = of_rules.unionByName(of_hosts)
+    if isinstance(rules, DataFrame) or isinstance(refused, DataFrame):
+        every = materialize(every, "rules")
     shapes = sorted(tuple(r) for r in every.select("n", "m").distinct().collect())
     host, path = parts(F.col(url_col).cast("string"))
     named = pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
@@ -303,8 +307,8 @@ class Piece:
 
 def cascades(listed: DataFrame, universe: DataFrame, most_bits: int):
     """The cascades that a list needs, one after the other."""
-    n = listed.count()
-    pieces = pieces_for(n, universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"], most_bits) if 64 * n > most_bits else 1
+    n = listed.limit(most_bits // 64 + 1).count()
+    pieces = pieces_for(listed.count(), universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"], most_bits) if 64 * n > most_bits else 1
     for i in range(pieces):
         mine = Piece(None, i, pieces).mine(F.col("key")) if pieces > 1 else F.lit(True)
         cascade = Cascade(listed.where(mine).select("key"), universe.where(mine).select("key"))

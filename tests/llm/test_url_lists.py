@@ -36,3 +36,19 @@ def test_a_level_stands_once_in_the_plan(spark):
     assert judged.where("verdict = 'block'").count() == 500 // 50 * len([i for i in range(50) if i % 7 == 0])
     plan = judged._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 200_000 and "Join" not in plan
+
+
+@pytest.mark.parametrize("few", [1024, 20, 0])
+def test_short_lists_close_without_jobs(spark, few):
+    """A list of few keys with few false ones behind it, one with too many false ones, and one built by jobs: all exact."""
+    universe = spark.range(30_000).selectExpr("concat('k', id) as key")
+    listed = spark.range(12).selectExpr("concat('k', id * 1000) as key")
+    own = url_filter.bits_for
+    try:
+        url_filter.bits_for = lambda keys, error: max(64, own(keys, max(error, 0.001)))  # so that keys pass wrongly
+        cascade = url_filter.Cascade(listed, universe, few=few)
+    finally:
+        url_filter.bits_for = own
+    assert len(cascade.levels) > 1
+    got = {r["key"] for r in universe.where(cascade.has(universe["key"])).collect()}
+    assert got == {f"k{1000 * i}" for i in range(12)}
