@@ -14,7 +14,7 @@ NOISE_HEADINGS = ["purpose", "scope", "definitions", "references", "introduction
 
 def tokens(text: Column) -> Column:
     """Lower-case words between white space."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
 def snippet(text: Column, n: int) -> Column:

@@ -71,6 +71,40 @@ def features(pairs: DataFrame, query: Column, text: Column) -> DataFrame:
     return pairs.withColumns({"n_query": F.size(q), "n_text": F.size(t), "n_shared": both, "share": F.round(F.when(F.size(q) > 0, both / F.size(q)).otherwise(0.0), 6), "jaccard": F.round(F.when(F.size(F.array_union(q, t)) > 0, both / F.size(F.array_union(q, t))).otherwise(0.0), 6), "contains": F.contains(F.lower(text), F.lower(query)), "length": F.char_length(text)})
 
 
+# The words that the source's ranker counts in a passage, and the order of its features.
+REGULATORY = ("shall", "must", "required", "ensure", "implement", "control", "policy", "procedure", "risk", "security")
+RANKING = ("bm25_score", "dense_similarity", "rrf_score", "control_id_in_query", "family_match", "passage_length", "word_overlap", "word_overlap_ratio", "regulatory_keyword_count")
+
+
+def dense_similarity(a: Column, b: Column) -> Column:
+    """The cosine of two vectors; 0 where one is null, has no length, or their sizes differ."""
+    zero = F.lit(0.0)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), zero, lambda s, z: s + z)
+    x, y = a.cast("array<double>"), b.cast("array<double>")
+    size = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+    return F.coalesce(F.when((F.size(x) == F.size(y)) & (size > 0), dot(x, y) / size), zero)
+
+
+def ranking_features(pairs: DataFrame, query: Column, text: Column, control_id: Column, family: Column, bm25: Column, dense: Column, rrf: Column) -> DataFrame:
+    """Pairs with the nine features that the source ranks by; a missing score is 0. An empty control id is in every query, an empty family in none."""
+    q, t = F.array_distinct(tokens(query)), F.array_distinct(tokens(text))
+    both = F.size(F.array_intersect(q, t))
+    asked, kind = F.lower(query), F.lower(F.coalesce(family, F.lit("")))
+    held = [F.contains(F.lower(text), F.lit(w)).cast("long") for w in REGULATORY]
+    made = (
+        F.coalesce(bm25, F.lit(0.0)),
+        F.round(F.coalesce(dense, F.lit(0.0)), 6),
+        F.coalesce(rrf, F.lit(0.0)),
+        F.contains(asked, F.lower(F.coalesce(control_id, F.lit("")))).cast("double"),
+        ((kind != "") & F.contains(asked, kind)).cast("double"),
+        F.char_length(text) / 1000.0,
+        F.round(both / F.greatest(F.size(q), F.lit(1)), 6),
+        F.round(both / F.greatest(F.size(t), F.lit(1)), 6),
+        reduce(Column.__add__, held),
+    )
+    return pairs.withColumns(dict(zip(RANKING, made, strict=True)))
+
+
 def extract_answer(pairs: DataFrame, keys: list[str], query: Column, text: Column, k: int = 3, prefix: int = 300) -> DataFrame:
     """The k sentences with most words of the query, in text order; the start of the text where none has any."""
     words = F.array_distinct(tokens(query))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import threshold_label, tokens
 from quillspark.operators.retrieve import ranked
+from quillspark.sources.readers import spread
 
 
 class Scorer(Protocol):
@@ -21,9 +22,30 @@ class Scorer(Protocol):
 
 def overlap(query: Column, text: Column) -> Column:
     """The default score: the share of the query's distinct words that the text holds, to 6 places; JVM-side."""
-    words = F.array_distinct(tokens(query))
-    hits = F.size(F.array_intersect(words, F.array_distinct(tokens(text))))
-    return F.when(F.size(words) > 0, F.round(hits / F.size(words), 6)).otherwise(F.lit(0.0))
+    return shared(word_set(query), word_set(text))
+
+
+def word_set(text: Column) -> Column:
+    return F.array_distinct(tokens(text))
+
+
+def shared(query_words: Column, text_words: Column) -> Column:
+    """overlap() of two texts' distinct words."""
+    hits = F.size(F.array_intersect(query_words, text_words))
+    return F.when(F.size(query_words) > 0, F.round(hits / F.size(query_words), 6)).otherwise(F.lit(0.0))
+
+
+def score_found(found: DataFrame, queries: DataFrame, passages: DataFrame, query: str, passage: str, scorer: Scorer | None = None, text: str = "text") -> DataFrame:
+    """found (query, passage, ...) with `score` of the two texts; both sides are keyed tables with a column `text`.
+
+    By the default scorer each text that was found is cut to words once, before the join, however many pairs it is in.
+    """
+    of_q = spread(queries.select(query, text)).join(found.select(query).distinct(), query, "left_semi")
+    of_p = spread(passages.select(passage, text)).join(found.select(passage).distinct(), passage, "left_semi")
+    made = word_set(F.col(text)) if scorer is None else F.col(text)
+    pairs = spread(found).join(of_q.select(query, made.alias("_q")), query).join(of_p.select(passage, made.alias("_p")), passage)
+    scored = pairs.withColumn("score", shared(F.col("_q"), F.col("_p"))) if scorer is None else rescore(pairs, "_q", "_p", scorer)
+    return scored.drop("_q", "_p")
 
 
 def rescore(pairs: DataFrame, query_text: str, text: str, scorer: Scorer | None = None, cut: int = 512) -> DataFrame:

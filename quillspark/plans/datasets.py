@@ -493,24 +493,9 @@ def r9_rescored(t):
     return rescored(t).select("item_id", "doc_id", "score")
 
 
-# The menus of R19 and C14 over whole texts, with SQL that reads whole texts too.
-
 @query(f"WITH {ALL}, w AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), m AS (SELECT item_id, min(rank) AS best FROM w LEFT JOIN (SELECT * FROM r WHERE rank <= 20) USING (item_id, doc_id) GROUP BY 1) SELECT k, count(*) AS n_queries, count(*) FILTER (best <= k) AS hits, round(count(*) FILTER (best <= k) / count(*), 6) AS hit_rate_at_k FROM m CROSS JOIN (VALUES (1), (5), (10), (20)) v(k) GROUP BY k")
 def a10_hit_rate_of_whole_items(t):
     """A10: the gold documents hold the whole text of the item, not its first 60 characters."""
     hits = route.keyword_hits(t("documents"), "doc_id", F.col("text"), t("benchmark"), "item_id", "text").withColumnRenamed("text", "item")
     gold = hits.join(t("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item")))
     return evaluate.hit_rate(top(t, 20), gold, [1, 5, 10, 20], query="item_id")
-
-
-WHOLE = f"h AS (SELECT doc_id, family, count(*) AS hits FROM documents JOIN ({FAMILIES}) v(family, word) ON contains(lower(text), word) GROUP BY 1, 2), o AS (SELECT * FROM h UNION ALL SELECT doc_id, family, 0 FROM documents ANTI JOIN h USING (doc_id) CROSS JOIN (SELECT DISTINCT family FROM ({MEMBERS}) v(family, member))), m AS (SELECT doc_id, family, member, hits, row_number() OVER (PARTITION BY doc_id, family ORDER BY member) AS place FROM o JOIN ({MEMBERS}) v(family, member) USING (family) WHERE NOT (doc_id % 2 = 0 AND member = 'a1') QUALIFY place <= 2)"
-
-
-@query(f"WITH {WHOLE} SELECT doc_id, family, member, hits, place FROM m")
-def r19_menu_of_whole_texts(t):
-    return menu(t).select("doc_id", "family", "member", "hits", "place")
-
-
-@query(f"WITH {WHOLE} SELECT doc_id, string_agg('  ' || member, chr(10) ORDER BY hits DESC, family, place) AS menu FROM m GROUP BY 1")
-def c14_menu_of_whole_texts(t):
-    return synthesize.menu_text(menu(t), "doc_id")

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import annotate, curate, evaluate, extract, rank, route, segment, synthesize
+from quillspark.operators import annotate, curate, evaluate, extract, rank, retrieve, route, segment, synthesize
 from quillspark.plans.queries import ALL, FLAGS, LABELS, ORACLE, PREDICTED, QUERIES, STATUS, WORDS, Read, a7_confusion_per_policy, flags, labels, predicted, query, top
 
+from quillspark.sources.readers import spread
+from quillspark.sources.sinks import materialize
+
 __all__ = ["ORACLE", "QUERIES"]
 
 
@@ -249,13 +252,15 @@ def r13_regroup(t):
 
 FAMILIES = "VALUES ('A', 'password'), ('A', 'that'), ('B', 'und'), ('B', 'tion'), ('C', 'dans')"
 MEMBERS = "VALUES ('A', 'a1'), ('A', 'a2'), ('A', 'a3'), ('B', 'b1'), ('B', 'b2'), ('B', 'b3'), ('C', 'c1')"
-HITS = f"h AS (SELECT doc_id, family, count(*) AS hits FROM documents JOIN ({FAMILIES}) v(family, word) ON contains(lower(substr(text, 1, 400)), word) GROUP BY 1, 2)"
+HITS = f"h AS (SELECT doc_id, family, count(*) AS hits FROM documents JOIN ({FAMILIES}) v(family, word) ON contains(lower(text), word) GROUP BY 1, 2)"
+# The documents have no title column: a document's title is its first line.
+TITLE_HITS = f"h AS (SELECT doc_id, family, count(*) AS hits FROM documents JOIN ({FAMILIES}) v(family, word) ON contains(lower(split_part(text, chr(10), 1)), word) GROUP BY 1, 2)"
 
 
-@query(f"WITH {HITS}, e AS (SELECT doc_id, lang AS family, 0.5::DOUBLE AS confidence FROM documents WHERE lang <> 'fr'), x AS (SELECT doc_id, family, 1.0::DOUBLE AS confidence, 'title' AS method FROM h UNION ALL SELECT *, 'embedding' FROM e ANTI JOIN h USING (doc_id)) SELECT * FROM x UNION ALL SELECT doc_id, NULL, NULL, 'none' FROM documents ANTI JOIN x USING (doc_id)")
+@query(f"WITH {TITLE_HITS}, e AS (SELECT doc_id, lang AS family, 0.5::DOUBLE AS confidence FROM documents WHERE lang <> 'fr'), x AS (SELECT doc_id, family, 1.0::DOUBLE AS confidence, 'title' AS method FROM h UNION ALL SELECT *, 'embedding' FROM e ANTI JOIN h USING (doc_id)) SELECT * FROM x UNION ALL SELECT doc_id, NULL, NULL, 'none' FROM documents ANTI JOIN x USING (doc_id)")
 def r18_routes(t):
     docs = t("documents")
-    hits = route.keyword_hits(docs, "doc_id", F.substring("text", 1, 400), literal(t, FAMILIES, "family, word"), "family", "word")
+    hits = route.keyword_hits(docs, "doc_id", F.substring_index("text", "\n", 1), literal(t, FAMILIES, "family, word"), "family", "word")
     titled = hits.select("doc_id", "family", F.lit(1.0).alias("confidence")).distinct()
     return route.routes(docs, "doc_id", titled, docs.where("lang <> 'fr'").select("doc_id", F.col("lang").alias("family"), F.lit(0.5).alias("confidence")))
 
@@ -301,14 +306,51 @@ def r25_crosswalk(t):
     return route.crosswalk(*found, "doc_id")
 
 
+# A document's vector is the row of embeddings with its number, an item's likewise; source and lang stand for control and family.
+DENSE = """
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+dn AS (
+  SELECT item_id, doc_id, rank FROM (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (
+      SELECT q.vec_id AS item_id, x.vec_id AS doc_id, round(list_inner_product(q.e, x.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(x.e, x.e)) + 1e-9), 6) AS score
+      FROM v q JOIN benchmark b ON b.item_id = q.vec_id JOIN v x ON x.vec_id <> q.vec_id JOIN documents d ON d.doc_id = x.vec_id) WHERE score > 0) WHERE rank <= 50
+), fu AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf_score DESC, doc_id) AS rank FROM (
+    SELECT item_id, doc_id, round(coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + dn.rank), 0), 9) AS rrf_score FROM (SELECT * FROM r WHERE rank <= 50) a FULL JOIN dn USING (item_id, doc_id))) WHERE rank <= 50
+), pr AS (
+  SELECT fu.item_id, fu.doc_id, fu.rank, rrf_score, coalesce(r.score, 0) AS bm25_score, b.text AS q, d.text AS t, d.source, d.lang, qe.e AS qe, de.e AS de,
+    list_distinct(""" + WORDS.format("b.text") + """) AS qw, list_distinct(""" + WORDS.format("d.text") + """) AS tw
+  FROM fu JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) LEFT JOIN (SELECT * FROM r WHERE rank <= 50) r USING (item_id, doc_id) LEFT JOIN v qe ON qe.vec_id = fu.item_id LEFT JOIN v de ON de.vec_id = fu.doc_id
+)"""
+HELD = " + ".join(f"contains(lower(t), '{w}')::BIGINT" for w in route.REGULATORY)
+
+
+def ranking(t: Read) -> DataFrame:
+    """The first 50 of both arms' fusion, with the nine features."""
+    items, docs = t("benchmark"), t("documents")
+    vectors = t("embeddings").select("vec_id", "embedding")
+    of_items = vectors.withColumnRenamed("vec_id", "item_id").join(items.select("item_id"), "item_id", "left_semi")
+    of_docs = vectors.withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    lexical = materialize(top(t, 50), "lexical")
+    dense = retrieve.cosine(of_docs, of_items, doc="doc_id", query="item_id", k=50)
+    fused = retrieve.fuse(lexical, dense, ["item_id", "doc_id"], ["item_id"], "doc_id", 50).withColumnRenamed("score", "rrf")
+    pairs = fused.join(lexical.select("item_id", "doc_id", F.col("score").alias("bm25")), ["item_id", "doc_id"], "left")
+    pairs = pairs.join(items.select("item_id", F.col("text").alias("q")), "item_id").join(docs.select("doc_id", F.col("text").alias("d"), "source", "lang"), "doc_id")
+    pairs = pairs.join(of_items.withColumnRenamed("embedding", "qe"), "item_id", "left").join(of_docs.withColumnRenamed("embedding", "de"), "doc_id", "left")
+    told = route.ranking_features(spread(pairs), F.col("q"), F.col("d"), F.col("source"), F.col("lang"), F.col("bm25"), route.dense_similarity(F.col("qe"), F.col("de")), F.col("rrf"))
+    return told.withColumn("label", F.contains("d", F.col("q")).cast("double")).select("item_id", "doc_id", "rank", *route.RANKING, "label")
+
+
+@query(f"WITH {ALL}, {DENSE} SELECT item_id, doc_id, rank, bm25_score, coalesce(CASE WHEN len(qe) = len(de) AND list_inner_product(qe, qe) > 0 AND list_inner_product(de, de) > 0 THEN round(list_inner_product(qe, de) / (sqrt(list_inner_product(qe, qe)) * sqrt(list_inner_product(de, de))), 6) END, 0) AS dense_similarity, rrf_score, contains(lower(q), lower(source))::INT::DOUBLE AS control_id_in_query, contains(lower(q), lower(lang))::INT::DOUBLE AS family_match, length(t) / 1000 AS passage_length, round(len(list_intersect(qw, tw)) / greatest(len(qw), 1), 6) AS word_overlap, round(len(list_intersect(qw, tw)) / greatest(len(tw), 1), 6) AS word_overlap_ratio, {HELD} AS regulatory_keyword_count, contains(t, q)::INT::DOUBLE AS label FROM pr")
+def r20_ranking_features(t):
+    return ranking(t)
+
+
 @query()
 def r21_learned_rank(t):
-    """Features of the found pairs; the label is whether the document holds the item's start. Fitted on seven items in ten, ranked on the others."""
-    pairs = top(t, 20).join(t("benchmark").select("item_id", F.col("text").alias("q")), "item_id").join(t("documents").select("doc_id", F.col("text").alias("d")), "doc_id")
-    names = ["score", "n_query", "n_text", "n_shared", "share", "jaccard"]
-    rows = route.features(pairs, F.col("q"), F.col("d")).withColumn("label", F.contains("d", F.substring("q", 1, 60)).cast("double")).withColumnRenamed("score", "bm25").drop("rank")
-    names[0] = "bm25"
-    split = curate.split_by_hash(rows, ["item_id"], 42, {"train": 700, "dev": 300})
+    """The nine features of the fused pairs; the label is whether the document holds the whole item. Fitted on seven items in ten, ranked on the others."""
+    split = curate.split_by_hash(materialize(ranking(t).drop("rank"), "features"), ["item_id"], 42, {"train": 700, "dev": 300})
+    names = list(route.RANKING)
     return rank.learned_rank(rank.fit_ranker(split.where("split = 'train'"), names, "label"), split.where("split = 'dev'"), names, ["item_id"], "doc_id")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.evaluate import POSITIVE
 from quillspark.operators.retrieve import bm25, ranked, retrieval_log
-from quillspark.operators.score import Scorer, label_and_cut, rescore
+from quillspark.operators.score import Scorer, label_and_cut, score_found
+from quillspark.sources.sinks import materialize
 
 
 @dataclass(frozen=True)
@@ -49,10 +50,10 @@ def control_centric(queries: DataFrame, passages: DataFrame, options: Options, *
         routed = pairs.join(routing.select("doc_id", "family"), ["doc_id", "family"], "left_semi")
         free = pairs.join(known, "doc_id", "left_anti")
         found = routed.unionByName(free).join(loaded.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left_semi").drop("family")
-    texts = found.join(passages.select("passage_id", F.col("text").alias("passage"), "ordinal"), "passage_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-    scored = rescore(texts.drop("score", "rank"), "query", "passage", scorer)
+    found = materialize(found.drop("score", "rank"), "candidates")
+    scored = score_found(found, queries, passages, "query_id", "passage_id", scorer)
     cut = label_and_cut(scored, ["query_id", "doc_id"], "passage_id", options.full, options.partial, options.per_document)
-    log = retrieval_log(cut.select("query_id", "passage_id", "score"), texts.select("query_id", "passage_id", "ordinal"), "query_id", "passage_id", "ordinal")
+    log = retrieval_log(cut.select("query_id", "passage_id", "score"), found.join(passages.select("passage_id", "ordinal"), "passage_id").select("query_id", "passage_id", "ordinal"), "query_id", "passage_id", "ordinal")
     kept = cut
     if blocked_passages is not None:
         kept = kept.join(blocked_passages, "passage_id", "left_anti")
@@ -66,8 +67,8 @@ def passage_centric(passages: DataFrame, controls: DataFrame, options: Options,
     """Roles swapped: each passage searches the controls; families are filtered after the cut (T11), so fewer may stay."""
     asks = passages.select(F.col("passage_id").alias("query_id"), "text")
     found = bm25(controls, asks, doc="control_id", text=F.col("text"), query="query_id", query_text=F.col("text"), k=options.candidates)
-    texts = found.join(controls.select("control_id", F.col("text").alias("control"), "family"), "control_id").join(asks.select("query_id", F.col("text").alias("passage")), "query_id")
-    cut = label_and_cut(rescore(texts.drop("score", "rank"), "control", "passage", scorer), ["query_id"], "control_id", options.full, options.partial, options.per_query)
+    found = materialize(found.drop("score", "rank"), "candidates").join(controls.select("control_id", "family"), "control_id")
+    cut = label_and_cut(score_found(found, controls, asks, "control_id", "query_id", scorer), ["query_id"], "control_id", options.full, options.partial, options.per_query)
     if routing is not None:
         cut = cut.join(passages.select(F.col("passage_id").alias("query_id"), "doc_id"), "query_id").join(routing, ["doc_id", "family"], "left_semi")
     return cut.where(F.col("status").isin(POSITIVE)).select(F.col("query_id").alias("passage_id"), "control_id", "status", "score", "rank")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import annotate, curate, evaluate, retrieve, route, score, segment
 from quillspark.plans import mapping
+from quillspark.sources.sinks import materialize
 from quillspark.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,9 +94,9 @@ OVERLAP = f"""
 o AS (SELECT item_id, doc_id, round(len(list_intersect(list_distinct({WORDS.format('q.text')}), list_distinct({WORDS.format('d.text')}))) / len(list_distinct({WORDS.format('q.text')})), 6) AS score FROM r JOIN benchmark q USING (item_id) JOIN documents d USING (doc_id) WHERE rank <= 10)"""
 
 
-def rescored(t: Read, k: int = 10) -> DataFrame:
-    found = top(t, k).select("item_id", "doc_id", F.col("rank").alias("found")).join(t("benchmark").select("item_id", F.col("text").alias("query")), "item_id")
-    return score.rescore(found.join(t("documents").select("doc_id", F.col("text").alias("passage")), "doc_id"), "query", "passage").drop("query", "passage")
+def rescored(t: Read, found: DataFrame | None = None) -> DataFrame:
+    found = materialize(top(t, 10), "found") if found is None else found
+    return score.score_found(found.select("item_id", "doc_id", F.col("rank").alias("found")), t("benchmark"), t("documents"), "item_id", "doc_id")
 
 
 @query(f"WITH {ALL}, {OVERLAP}, x AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM o) SELECT item_id, doc_id, score, rank, CASE WHEN score >= 0.6 THEN 'Fully Addressed' WHEN score >= 0.35 THEN 'Partially Addressed' ELSE 'Not Addressed' END AS status FROM x WHERE rank <= 5")
@@ -107,7 +108,8 @@ ARMS = f"WITH {ALL}, {OVERLAP}, a AS (SELECT item_id, doc_id, score, rank FROM r
 
 
 def arms(t: Read) -> tuple[DataFrame, DataFrame]:
-    return top(t, 10), retrieve.ranked(rescored(t), ["item_id"], "score", "doc_id", 6)
+    found = materialize(top(t, 10), "found")
+    return found, retrieve.ranked(rescored(t, found), ["item_id"], "score", "doc_id", 6)
 
 
 @query(ARMS + ", f AS (SELECT item_id, doc_id, round(coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + e.rank), 0), 9) AS score FROM a FULL JOIN (SELECT * FROM e WHERE rank <= 6) e USING (item_id, doc_id)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 5")
@@ -184,12 +186,12 @@ def j8_without_blocked_pairs(t):
     return predicted(t).join(evaluate.blocked_pairs(labels(t), "control_id", "passage_id", "status"), ["control_id", "passage_id"], "left_anti").select("control_id", "passage_id", "score")
 
 
-GOLD = "w AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
+GOLD = "w AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 @query(f"WITH {ALL}, {GOLD}, m AS (SELECT item_id, min(rank) AS best FROM w LEFT JOIN (SELECT * FROM r WHERE rank <= 20) USING (item_id, doc_id) GROUP BY 1) SELECT k, count(*) AS n_queries, count(*) FILTER (best <= k) AS hits, round(count(*) FILTER (best <= k) / count(*), 6) AS hit_rate_at_k FROM m CROSS JOIN (VALUES (1), (5), (10), (20)) v(k) GROUP BY k")
 def a10_hit_rate(t):
-    heads = t("benchmark").select("item_id", F.substring("text", 1, 60).alias("head"))
+    heads = t("benchmark").select("item_id", F.col("text").alias("head"))
     hits = route.keyword_hits(t("documents"), "doc_id", F.col("text"), heads, "item_id", "head")
     gold = hits.join(t("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("head")))
     return evaluate.hit_rate(top(t, 20), gold, [1, 5, 10, 20], query="item_id")
@@ -353,9 +355,10 @@ def types(t: Read) -> DataFrame:
     return t("region").limit(1).select(F.explode(F.array(*(F.struct(F.lit(f).alias("family"), F.lit(n).alias("name")) for f, n in (("A", "the"), ("A", "there"), ("B", "tion"), ("B", "ing"), ("C", "ungkeit"), ("C", "und"))))).alias("x")).select("x.*")
 
 
-@query(f"WITH h AS (SELECT doc_id, family, max(length(name)) AS size FROM documents JOIN ({TYPES}) v(family, name) ON contains(lower(substr(text, 1, 60)), name) GROUP BY 1, 2) SELECT doc_id, family, round(size / max(size) OVER (PARTITION BY doc_id), 6) AS confidence FROM h")
+@query(f"WITH h AS (SELECT doc_id, family, max(length(name)) AS size FROM documents JOIN ({TYPES}) v(family, name) ON contains(lower(split_part(text, chr(10), 1)), name) GROUP BY 1, 2) SELECT doc_id, family, round(size / max(size) OVER (PARTITION BY doc_id), 6) AS confidence FROM h")
 def r16_title_routes(t):
-    return route.title_routes(t("documents"), "doc_id", F.substring("text", 1, 60), types(t))
+    """The documents have no title column: a document's title is its first line."""
+    return route.title_routes(t("documents"), "doc_id", F.substring_index("text", "\n", 1), types(t))
 
 
 @query(f"WITH {COSINE}, f AS (SELECT d.query_id, e.label::VARCHAR AS family, max(score) AS score FROM d JOIN embeddings e USING (vec_id) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, family) AS rank FROM f) SELECT query_id, family, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.0::DOUBLE ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END AS confidence FROM k WHERE rank <= 3 WINDOW w AS (PARTITION BY query_id)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 from xml.etree import ElementTree
 
@@ -90,4 +91,35 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = "file:///tmp/checkpoints"
-    return f"{there.rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
+    path = f"{there.rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
+#: Folders that this process has named, for workspace().
+WRITTEN: list[str] = []
+
+
+@contextmanager
+def workspace(spark: SparkSession):
+    """What operators write to shared folders inside the block is deleted at its end: write their results elsewhere before that."""
+    first = len(WRITTEN)
+    try:
+        yield
+    finally:
+        for name in WRITTEN[first:]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(name)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del WRITTEN[first:]
+
+
+def materialize(rows: DataFrame, name: str) -> DataFrame:
+    """rows written as Parquet to a shared folder and read again: computed once, however often they are used."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def small(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """rows (narrow and written down) with a broadcast hint where they are counted to be few; beyond that Spark's shuffled joins do the work."""
+    return F.broadcast(rows) if rows.count() <= most else rows
