@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import keyed_hash
+from quillspark.sources.sinks import materialize
 
 
 def vote(rows: DataFrame, key: list[str], label: str, ranks: dict[str, int], ordinal: str) -> DataFrame:
@@ -95,6 +96,31 @@ def overlaps(items: DataFrame, owner: str, item: str, near: float = 0.9) -> Data
     return both.select("a", "b", "shared", "na", "nb", kind.alias("kind"))
 
 
+def near_duplicates(items: DataFrame, owner: str, item: str, near: int = 90) -> DataFrame:
+    """(a, b, shared, na, nb, kind) of the pairs of owners that share `near` percent of the smaller set's items: exact or near.
+
+    Items are ordered by how many owners have them, rarest first. A smaller set of n items that shares need = near percent of
+    them, rounded up, has one shared item among its first n - need + 1: only those look for larger sets, so an item that all
+    owners have makes no candidates unless a set has hardly another. Candidates' items are then counted exactly.
+    Null owners and items are none.
+    """
+    sets = materialize(items.select(F.col(owner).alias("o"), F.col(item).alias("i")).dropna().distinct(), "sets")
+    frequency = sets.groupBy("i").agg(F.count("*").alias("df"))
+    sized = sets.join(sets.groupBy("o").agg(F.count("*").alias("n")), "o")
+    placed = sized.join(frequency, "i").withColumn("place", F.row_number().over(Window.partitionBy("o").orderBy("df", "i")))
+    need = F.floor((F.col("n") * near + 99) / 100)
+    probes = placed.where(F.col("place") <= F.col("n") - need + 1).select("i", F.col("o").alias("a"), F.col("n").alias("na"))
+    larger = sized.select("i", F.col("o").alias("b"), F.col("n").alias("nb"))
+    found = probes.join(larger, "i").where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    found = materialize(found.select("a", "b", "na", "nb").distinct(), "candidates")
+    counted = found.join(sets.select(F.col("o").alias("a"), "i"), "a").join(sets.select(F.col("o").alias("b"), "i"), ["b", "i"])
+    shared = counted.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") * 100 >= F.col("na") * near)
+    kind = F.when((F.col("shared") == F.col("na")) & (F.col("na") == F.col("nb")), "exact").otherwise("near")
+    first = F.col("a") < F.col("b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return shared.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), "shared", pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), kind.alias("kind"))
+
+
 def training_pairs(labels: DataFrame, queries: DataFrame, passages: DataFrame, scores: dict[str, float]) -> DataFrame:
     """Label rows with texts (the stored snippet where a text is missing) and the status's score."""
     score = F.element_at(F.create_map(*[x for k, v in scores.items() for x in (F.lit(k), F.lit(v))]), F.col("status"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import f1, ratio, tokens
+from quillspark.sources.sinks import in_ranges, materialize
 
 POSITIVE = ["Fully Addressed", "Partially Addressed"]
 
@@ -17,24 +18,20 @@ def with_total(counts: DataFrame, n: str = "n") -> DataFrame:
     return counts.withColumn("percent", F.round(100 * F.col(n) / counts.agg(F.sum(n)).scalar(), 4))
 
 
-def running_sums(counts: DataFrame, order: str, values: list[str], by: list[str], falling: bool = False, buckets: int = 64) -> DataFrame:
+def running_sums(counts: DataFrame, order: str, values: list[str], by: list[str], falling: bool = False, few: int = 100_000) -> DataFrame:
     """counts with ``<value>_upto``: sums over the rows up to and with this one, by `order` (distinct in each group of `by`).
 
-    Without groups no task takes all rows: they are cut at quantiles into buckets, summed inside each, and the sums of the
-    buckets before (at most `buckets` numbers) are added.
+    counts is computed once. Its rows are dealt to ranges of (group, order); each range is summed by itself, and what its
+    group has in the ranges before (one row for a range and group) is added. No task takes a group that spans ranges whole.
     """
     sort = F.desc(order) if falling else F.asc(order)
-    if by:
-        return counts.withColumns({f"{v}_upto": F.sum(v).over(Window.partitionBy(*by).orderBy(sort)) for v in values})
-    bounds = sorted(set(counts.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
-    at = F.col(order).cast("double")
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), (lambda b: b < at))) if bounds else F.lit(0)
-    dealt = counts.withColumn("_bucket", -bucket if falling else bucket)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("_bucket").agg(*(F.sum(v).alias(f"_{v}") for v in values))
-    base = sums.select("_bucket", *(F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}_before") for v in values))
-    own = dealt.join(F.broadcast(base), "_bucket")
-    inside = Window.partitionBy("_bucket").orderBy(sort)
+    dealt = in_ranges(counts, [*by, sort], few=few)
+    sums = dealt.groupBy("_range", *by).agg(*(F.sum(v).alias(f"_{v}") for v in values))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col("_range").alias("_r"), *(F.col(c).alias(f"_by_{c}") for c in by), *(F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}_before") for v in values))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by), F.col("_range") == F.col("_r"))
+    inside = Window.partitionBy("_range", *by).orderBy(sort)
+    own = dealt.join(F.broadcast(base) if not by else base, same)
     return own.withColumns({f"{v}_upto": F.col(f"_{v}_before") + F.sum(v).over(inside) for v in values}).select(*counts.columns, *(f"{v}_upto" for v in values))
 
 
@@ -87,23 +84,38 @@ def per_class(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def distribution(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """N, least, greatest, mean, median and sample deviation (null for one row)."""
+    """N, least, greatest, mean, median and sample deviation (null for one row); nulls don't count.
+
+    The median is exact: values are counted, the counts summed in ranges, and those looked up that hold the middle one or two.
+    """
     v = F.col(value)
-    return rows.groupBy(by).agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.round(F.stddev_samp(v), 6).alias("deviation"))
+    told = rows.groupBy(by).agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("deviation"))
+    middle = medians(rows, by, value).withColumnsRenamed({by: "_by", "median": "_median"})
+    return told.join(middle, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "least", "greatest", "mean", F.round("_median", 6).alias("median"), "deviation")
+
+
+def medians(rows: DataFrame, by: str, value: str, few: int = 100_000) -> DataFrame:
+    """(by, median) of every group with a value: no task lists or sorts a group of more than `few` different values whole."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    sums = materialize(running_sums(counts, "_v", ["_n"], [by], few=few), "sums")
+    totals = sums.groupBy(by).agg(F.max("_n_upto").alias("_all")).withColumnRenamed(by, "_by")
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    holds = lambda place: (F.col("_n_upto") >= place) & (F.col("_n_upto") - F.col("_n") < place)
+    middle = sums.join(totals, F.col(by).eqNullSafe(F.col("_by"))).where(holds(low) | holds(high))
+    return middle.groupBy(by).agg((F.avg(F.col("_v").cast("double"))).alias("median"))
 
 
 def threshold_sweep(rows: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
     """For every distinct score as threshold: tp, fp, fn, precision, recall, F1.
 
-    One pass: counts per distinct score, then running sums over falling scores.
+    One pass: counts per distinct score, computed once, then running sums over falling scores.
     """
     by = by or []
     counts = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
     sums = running_sums(counts, "threshold", ["p", "n"], by, falling=True).withColumnsRenamed({"p_upto": "tp", "n_upto": "fp"})
-    if by:
-        sums = sums.join(counts.groupBy(*by).agg(F.sum("p").alias("all")), by)
-    else:
-        sums = sums.withColumn("all", counts.agg(F.sum("p")).scalar())
+    sums = materialize(sums, "sums")
+    every = sums.groupBy(*by).agg(F.max("tp").alias("all"))
+    sums = sums.join(every, by) if by else sums.withColumn("all", every.scalar())
     swept = sums.withColumn("fn", F.col("all") - F.col("tp"))
     swept = swept.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("all"))})
     return swept.select(*by, "threshold", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall")), F.round(f1(F.col("precision"), F.col("recall")), 6).alias("f1"))
@@ -132,6 +144,7 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
         counts = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
         return running_sums(counts, c, ["_n"], []).select(c, (F.col("_n_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(f"_rank_{c}"))
 
+    rows = materialize(rows.select(a, b), "pairs")
     both = rows.join(average_rank(a), a).join(average_rank(b), b)
     return both.agg(F.round(F.avg(F.abs(F.col(a) - F.col(b))), 4).alias("mae"), F.round(F.corr(f"_rank_{a}", f"_rank_{b}"), 6).alias("spearman"), F.count("*").alias("n"))
 

@@ -11,25 +11,60 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import sentences, tokens
 from quillspark.operators.retrieve import ranked
 from quillspark.sources.readers import spread
+from quillspark.sources.sinks import materialize, small
 
 
-def keyword_hits(texts: DataFrame, key: str, text: Column, words: DataFrame, owner: str, word: str, most: int = 5_000) -> DataFrame:
-    """(key, owner, word, size) where the text holds the word.
+def keyword_hits(texts: DataFrame, key: str, text: Column, words: DataFrame, owner: str, word: str, most: int = 16_000_000, few: int = 64) -> DataFrame:
+    """(key, owner, word, size) where the text holds the word, in any case.
 
-    One scan: a dictionary of at most `most` words (they are counted) is held as an array, and a row gives its hits; a larger
-    one is met in parts of that size, one after the other.
+    One scan. A dictionary of at most `few` words is an array that each row filters. A larger one becomes an automaton (a trie
+    with failure links), which finds all words in one pass over a text, however many there are; it goes to the
+    tasks as a broadcast of at most `most` characters, which are counted first; a still larger dictionary is met in parts.
+    Null texts hold nothing; an empty word is in every other text; a word may have several owners.
     """
-    listed = words.where(F.col(word).isNotNull()).select(F.col(owner).alias("o"), F.col(word).alias("w")).distinct()
-    n = listed.count()
-    parts = max(1, -(-n // most))
-    kind = f"array<struct<o: {words.schema[owner].dataType.simpleString()}, w: string, size: int>>"
+    listed = materialize(words.where(F.col(word).isNotNull()).select(F.col(owner).alias("o"), F.col(word).alias("w")).distinct(), "words")
+    size = listed.agg(F.count("*").alias("n"), F.sum(F.char_length("w") + 8).alias("chars")).first()
     low = spread(texts.select(key, text.alias("_t"))).select(key, F.lower("_t").alias("_t"))
+    if size["n"] <= few:
+        kind = f"array<struct<o: {words.schema[owner].dataType.simpleString()}, w: string>>"
+        table = F.from_json(F.lit(json.dumps([{"o": r["o"], "w": r["w"]} for r in listed.collect()])), kind)
+        hits = low.select(key, F.explode(F.filter(table, lambda x: F.contains(F.col("_t"), F.lower(x["w"])))).alias("x"))
+        return hits.select(key, F.col("x.o").alias(owner), F.col("x.w").alias(word), F.char_length("x.w").alias("size"))
+    parts = max(1, -(-size["chars"] // most))
     found = []
     for i in range(parts):
-        rows = listed.where(F.pmod(F.xxhash64("o", "w"), F.lit(parts)) == i).collect()
-        table = F.from_json(F.lit(json.dumps([{"o": r["o"], "w": r["w"], "size": len(r["w"])} for r in rows])), kind)
-        found.append(low.select(key, F.explode(F.filter(table, lambda x: F.contains(F.col("_t"), F.lower(x["w"])))).alias("x")))
-    return reduce(DataFrame.unionByName, found).select(key, F.col("x.o").alias(owner), F.col("x.w").alias(word), F.col("x.size").alias("size"))
+        # One row a lower-case word; what owners write it how is joined to the hits.
+        rows = listed.where(F.pmod(F.xxhash64(F.lower("w")), F.lit(parts)) == i).select(F.lower("w").alias("w")).distinct().collect()
+        held = low.sparkSession.sparkContext.broadcast([r["w"] for r in rows])
+        found.append(low.mapInArrow(held_words(held), f"`{key}` {low.schema[key].dataType.simpleString()}, _low string"))
+    hits = reduce(DataFrame.unionByName, found)
+    named = listed.select(F.lower("w").alias("_low"), F.col("o").alias(owner), F.col("w").alias(word), F.char_length("w").alias("size"))
+    return hits.join(small(named), "_low").select(key, owner, word, "size")
+
+
+def held_words(words):
+    """(key, text) to (key, word) of the broadcast words that a text holds. The automaton is made once a task."""
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        made = ahocorasick.Automaton()
+        for w in words.value:
+            if w:
+                made.add_word(w, w)
+        made.make_automaton()
+        always = [""] if "" in words.value else []
+        for batch in batches:
+            keys, rows, found = batch.column(0), [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if text is not None:
+                    own = [*{w for _, w in made.iter(text)}, *always] if len(made) else always
+                    rows += [i] * len(own)
+                    found += own
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["key", "_low"])
+
+    return run
 
 
 def title_routes(titles: DataFrame, key: str, title: Column, types: DataFrame) -> DataFrame:

@@ -499,3 +499,23 @@ def a10_hit_rate_of_whole_items(t):
     hits = route.keyword_hits(t("documents"), "doc_id", F.col("text"), t("benchmark"), "item_id", "text").withColumnRenamed("text", "item")
     gold = hits.join(t("documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item")))
     return evaluate.hit_rate(top(t, 20), gold, [1, 5, 10, 20], query="item_id")
+
+
+# Dictionaries and sets that grow with the tables.
+
+DICTIONARY = "dict AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(" + WORDS.format("text") + ") AS w FROM benchmark) WHERE length(w) >= 7)"
+
+
+@query(f"WITH {DICTIONARY}, u AS (SELECT DISTINCT w FROM dict), h AS (SELECT doc_id, w FROM documents JOIN u ON contains(lower(text), w)) SELECT doc_id, count(*) AS n_hits, count(DISTINCT item_id) AS n_items, max(length(w)) AS longest FROM h JOIN dict USING (w) GROUP BY 1")
+def j17_long_dictionary(t):
+    """J17 with every word of seven letters or more of all items as the dictionary."""
+    words = t("benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("w")).where("length(w) >= 7")
+    hits = route.keyword_hits(t("documents"), "doc_id", F.col("text"), words, "item_id", "w")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.count_distinct("item_id").alias("n_items"), F.max(F.col("size").cast("long")).alias("longest"))
+
+
+@query(f"WITH s AS (SELECT DISTINCT doc_id AS f, i FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS i FROM documents) WHERE length(i) >= 8), n AS (SELECT f, count(*) AS n FROM s GROUP BY 1), p AS (SELECT x.f AS a, y.f AS b, count(*) AS shared FROM s x JOIN s y ON x.i = y.i AND x.f < y.f GROUP BY 1, 2) SELECT a, b, shared, x.n AS na, y.n AS nb, CASE WHEN shared = x.n AND x.n = y.n THEN 'exact' ELSE 'near' END AS kind FROM p JOIN n x ON x.f = a JOIN n y ON y.f = b WHERE shared * 100 >= 90 * least(x.n, y.n)")
+def c4_near_files(t):
+    """C4: documents as files, their words of eight letters or more as items."""
+    rows = t("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("i")).where("length(i) >= 8")
+    return curate.near_duplicates(rows, "doc_id", "i")

@@ -78,19 +78,16 @@ def binary_files(spark: SparkSession, path: str, decoder, schema: str, glob: str
 def with_ordinal(rows: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
     """0-based ordinals by the given columns, nulls first; rows that tie in all of them come in any order.
 
-    Ranges of the order are written once to the shared folder and sorted each by itself; what moves between them is a
+    Ranges of the order are written to the shared folder and sorted each by itself; what moves between them is a
     count for every range.
     """
-    from quillspark.sources.sinks import shared_folder
+    from quillspark.sources.sinks import in_ranges, small
 
-    spark, path = rows.sparkSession, shared_folder(rows.sparkSession, "ordinals")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    ranged = spark.read.parquet(path)
+    ranged = in_ranges(rows, order)
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     base = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return ranged.join(F.broadcast(base), "_range").withColumn(name, F.col("_before") + own).select(*rows.columns, name)
+    return ranged.join(small(base), "_range").withColumn(name, F.col("_before") + own).select(*rows.columns, name)
 
 
 def spread(rows: DataFrame) -> DataFrame:

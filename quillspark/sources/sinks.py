@@ -6,7 +6,7 @@ from contextlib import contextmanager
 from functools import reduce
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -123,3 +123,15 @@ def materialize(rows: DataFrame, name: str) -> DataFrame:
 def small(rows: DataFrame, most: int = 500_000) -> DataFrame:
     """rows (narrow and written down) with a broadcast hint where they are counted to be few; beyond that Spark's shuffled joins do the work."""
     return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def in_ranges(rows: DataFrame, order: list[str | Column], name: str = "_range", few: int = 100_000) -> DataFrame:
+    """rows with the number of their range of the order, written down: no range holds a row that sorts before one of an earlier range.
+
+    The input is computed once, into a written table; Spark's range partitioner samples that one. Rows that tie in all of
+    the order's columns are in one range. A table counted to have at most `few` rows is one range.
+    """
+    written = materialize(rows, "rows")
+    if written.count() <= few:
+        return written.withColumn(name, F.lit(0))
+    return materialize(written.repartitionByRange(*order).withColumn(name, F.spark_partition_id()), "ranges")
