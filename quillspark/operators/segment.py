@@ -13,21 +13,52 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once: what a lambda uses is bound outside it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fold(items: Column, start: Column, step, kind: str, size: int = 512) -> Column:
+    """The state after each item, as array<kind>: start, then step(state, item) for one after the other.
+
+    An array that grows item by item costs the square of its length. Here states are gathered in blocks of `size`, and the
+    blocks joined once, so a text of millions of lines costs time in proportion. items must be bound (see let).
+    """
+    none, initial = F.array().cast(f"array<{kind}>"), start.cast(kind)
+
+    def block(state, first, stop):
+        grown = lambda acc, i: let(step(acc["at"], F.get(items, i)).cast(kind), lambda new: F.struct(new.alias("at"), F.concat(acc["out"], F.array(new)).alias("out")))
+        return F.aggregate(F.sequence(first, stop - 1), F.struct(state.alias("at"), none.alias("out")), grown)
+
+    def outer(acc, b):
+        first = b * size
+        return let(block(acc["at"], first, F.least(first + size, F.size(items))), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int"))
+    begun = F.struct(initial.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.when(F.size(items) > 0, F.aggregate(blocks, begun, outer, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+
+
+def part(items: Column, first: Column, stop: Column) -> Column:
+    """The items [first, stop) of a bound array of strings, each taken by its place (slice would copy the whole array each time)."""
+    return F.when(first < stop, F.transform(F.sequence(first, stop - 1), lambda i: F.get(items, i))).otherwise(F.array().cast("array<string>"))
+
+
+def places(items: Column, test) -> Column:
+    """The places of the items of a bound array that pass the test."""
+    return F.filter(F.transform(items, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+
+
 def lines_to_passages(docs: DataFrame, doc: str, text: Column, least: int = 30, most: int = 5000) -> DataFrame:
-    """(doc, n, section, text): lines under the heading before them; each document is folded in one row."""
+    """(doc, n, section, text): lines under the heading before them. Headings are found first, and the lines between them joined."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
-    state = F.struct(F.lit("").alias("section"), F.array().cast("array<struct<section:string,text:string>>").alias("out"), F.lit("").alias("body"))
 
-    def closed(acc):
-        new = F.struct(acc["section"].alias("section"), F.trim(acc["body"]).alias("text"))
-        return F.when(F.char_length(F.trim(acc["body"])) >= least, F.concat(acc["out"], F.array(new))).otherwise(acc["out"])
+    def sections(v):
+        heads = F.concat(F.array(F.lit(-1)), places(v, is_heading))
+        return let(heads, lambda h: F.transform(h, lambda at, i: F.struct(F.when(at >= 0, F.get(v, at)).otherwise("").alias("section"), F.trim(F.array_join(part(v, at + 1, F.coalesce(F.get(h, i + 1), F.size(v))), " ")).alias("text"))))
 
-    def step(acc, line):
-        heading = is_heading(line)
-        return F.struct(F.when(heading, line).otherwise(acc["section"]).alias("section"), F.when(heading, closed(acc)).otherwise(acc["out"]).alias("out"), F.when(heading, F.lit("")).otherwise(F.concat_ws(" ", acc["body"], line)).alias("body"))
-
-    folded = F.aggregate(lines, state, step, closed)
-    each = docs.select(doc, F.posexplode(folded).alias("n", "p"))
+    kept = F.filter(let(lines, sections), lambda s: F.char_length(s["text"]) >= least)
+    each = docs.select(doc, F.posexplode(kept).alias("n", "p"))
     return each.select(doc, (F.col("n") + 1).alias("n"), "p.section", F.substring("p.text", 1, most).alias("text"))
 
 
@@ -89,15 +120,14 @@ def markdown_sections(docs: DataFrame, doc: str, text: Column) -> DataFrame:
 
 def chunk_numbers(items: Column, limit: int) -> Column:
     """The chunk of each item, where a chunk starts when its characters would pass the limit."""
-    state = F.struct(F.lit(0).alias("size"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc, x):
+    def step(at, x):
         n = F.coalesce(F.char_length(x), F.lit(0))
-        new = (acc["size"] > 0) & (acc["size"] + n > limit)
-        chunk = acc["chunk"] + new.cast("int")
-        return F.struct(F.when(new, n).otherwise(acc["size"] + n).alias("size"), chunk.alias("chunk"), F.concat(acc["out"], F.array(chunk)).alias("out"))
+        new = (at["size"] > 0) & (at["size"] + n > limit)
+        return F.struct(F.when(new, n).otherwise(at["size"] + n).alias("size"), (at["chunk"] + new.cast("int")).alias("chunk"))
 
-    return F.aggregate(items, state, step, lambda acc: acc["out"])
+    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("chunk"))
+    return let(items, lambda v: F.transform(fold(v, start, step, "struct<size: int, chunk: int>"), lambda at: at["chunk"]))
 
 
 def chunks(docs: DataFrame, doc: str, text: Column, limit: int = 1000, by: str = r"\n") -> DataFrame:
@@ -128,17 +158,16 @@ def inline_matches(docs: DataFrame, doc: str, text: Column, pattern: str) -> Dat
 def nested_list(text: Column) -> Column:
     """X11: numbered lines with the lettered lines under them, as array<struct<text, sub>>."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-    kind = "array<struct<text:string,sub:array<string>>>"
+    bare = lambda line: F.regexp_replace(line, r"^(?:\d+|[a-z])[.)]\s+", "")
+
+    def items(v):
+        def item(tops, at, i):
+            under = F.filter(part(v, at + 1, F.coalesce(F.get(tops, i + 1), F.size(v))), lambda x: x.rlike(r"^[a-z][.)]\s"))
+            return F.struct(bare(F.get(v, at)).alias("text"), F.transform(under, bare).alias("sub"))
 
-    def step(acc, line):
-        top, sub = line.rlike(r"^\d+[.)]\s"), line.rlike(r"^[a-z][.)]\s")
-        body = F.regexp_replace(line, r"^(?:\d+|[a-z])[.)]\s+", "")
-        last = F.element_at(acc, -1)
-        front = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        under = F.concat(front, F.array(F.struct(last["text"].alias("text"), F.concat(last["sub"], F.array(body)).alias("sub"))))
-        return F.when(top, F.concat(acc, F.array(F.struct(body.alias("text"), F.array().cast("array<string>").alias("sub"))))).when(sub & (F.size(acc) > 0), under).otherwise(acc)
+        return let(places(v, lambda x: x.rlike(r"^\d+[.)]\s")), lambda tops: F.transform(tops, lambda at, i: item(tops, at, i)))
 
-    return F.aggregate(lines, F.array().cast(kind), step)
+    return let(lines, items)
 
 
 def control_passages(controls: DataFrame) -> DataFrame:
@@ -154,14 +183,17 @@ def paragraph_chunks(docs: DataFrame, doc: str, text: Column, most: int = 2000,
     their characters stay within `most`, joined by a space; chunks under `least` are dropped. (doc, n, text); a longer
     paragraph is a chunk of its own, whole."""
     parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), strip), lambda p: F.char_length(p) >= shortest)
-    state = F.struct(F.array().cast("array<array<string>>").alias("out"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("size"))
 
-    def step(acc, p):
-        full = (acc["size"] + F.char_length(p) > most) & (F.size(acc["now"]) > 0)
-        return F.struct(F.when(full, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]).alias("out"), F.when(full, F.array(p)).otherwise(F.concat(acc["now"], F.array(p))).alias("now"), F.when(full, F.char_length(p)).otherwise(acc["size"] + F.char_length(p)).alias("size"))
+    def step(at, p):
+        full = at["some"] & (at["size"] + F.char_length(p) > most)
+        return F.struct(F.when(full, F.char_length(p)).otherwise(at["size"] + F.char_length(p)).alias("size"), F.lit(True).alias("some"), (full | ~at["some"]).alias("new"))
 
-    groups = F.aggregate(parts, state, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]))
-    kept = F.filter(F.transform(groups, lambda g: F.array_join(g, " ")), lambda t: F.char_length(t) >= least)
+    def texts(v):
+        start = F.struct(F.lit(0).alias("size"), F.lit(False).alias("some"), F.lit(False).alias("new"))
+        states = fold(v, start, step, "struct<size: int, some: boolean, new: boolean>")
+        return let(places(states, lambda at: at["new"]), lambda starts: F.transform(starts, lambda at, i: F.array_join(part(v, at, F.coalesce(F.get(starts, i + 1), F.size(v))), " ")))
+
+    kept = F.filter(let(parts, texts), lambda t: F.char_length(t) >= least)
     return docs.select(doc, F.posexplode(kept).alias("n", "text")).select(doc, (F.col("n") + 1).cast("long").alias("n"), "text")
 
 
@@ -188,18 +220,21 @@ def hierarchical_passages(docs: DataFrame, doc: str, text: Column, obligations)
     role, scope and exception flags come from its title. Sections without text are left out.
     """
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: x != "")
-    kind = "struct<id: string, title: string, body: array<string>>"
-
-    def step(acc, line):
-        number = F.regexp_extract(line, r"^(\d+(?:\.\d+)*)\s+(.+)$", 1)
-        loose = (F.char_length(line) < 100) & line.rlike(r"^\d+[.)]")
-        last = F.element_at(acc, -1)
-        new = F.struct(F.when(number != "", number).otherwise(last["id"]).alias("id"), F.when(number != "", F.regexp_extract(line, r"^(\d+(?:\.\d+)*)\s+(.+)$", 2)).otherwise(line).alias("title"), F.array().cast("array<string>").alias("body"))
-        longer = F.struct(last["id"].alias("id"), last["title"].alias("title"), F.concat(last["body"], F.array(line)).alias("body"))
-        return F.when((number != "") | loose, F.concat(acc, F.array(new))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer)))
-
-    start = F.array(F.struct(F.lit("").alias("id"), F.lit("").alias("title"), F.array().cast("array<string>").alias("body")).cast(kind))
-    some = F.filter(F.aggregate(lines, start, step), lambda s: F.size(s["body"]) > 0)
+    numbered = r"^(\d+(?:\.\d+)*)\s+(.+)$"
+    is_head = lambda line: line.rlike(numbered) | ((F.char_length(line) < 100) & line.rlike(r"^\d+[.)]"))
+
+    def sections(v):
+        def named(at, place):
+            line = F.get(v, place)
+            number = F.regexp_extract(line, numbered, 1)
+            return F.struct(place.alias("place"), F.when(number != "", number).otherwise(at["id"]).alias("id"), F.when(number != "", F.regexp_extract(line, numbered, 2)).otherwise(line).alias("title"))
+
+        kind = "struct<place: int, id: string, title: string>"
+        start = F.struct(F.lit(-1).alias("place"), F.lit("").alias("id"), F.lit("").alias("title")).cast(kind)
+        heads = let(places(v, is_head), lambda at: F.concat(F.array(start), fold(at, start, named, kind)))
+        return let(heads, lambda h: F.transform(h, lambda x, i: F.struct(x["id"].alias("id"), x["title"].alias("title"), part(v, x["place"] + 1, F.coalesce(F.get(h, i + 1)["place"], F.size(v))).alias("body"))))
+
+    some = F.filter(let(lines, sections), lambda s: F.size(s["body"]) > 0)
     each = docs.select(doc, F.posexplode(some).alias("n", "s")).select(doc, (F.col("n") + 1).cast("long").alias("n"), F.col("s.id").alias("section_id"), F.coalesce(F.nullif("s.title", F.lit("")), F.lit("Section")).alias("section_title"), F.array_join("s.body", " ").alias("content"))
     title = F.lower("section_title")
     return each.select("*", obligations(F.col("content")).alias("obligations"), title.rlike("role|responsib").alias("role"), title.rlike("scope|applicab").alias("scope"), title.rlike("exception|exemption|waiver").alias("exception"))

@@ -519,3 +519,17 @@ def c4_near_files(t):
     """C4: documents as files, their words of eight letters or more as items."""
     rows = t("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("i")).where("length(i) >= 8")
     return curate.near_duplicates(rows, "doc_id", "i")
+
+
+# Packed by a fold over structs: the parts so far, the chunk at hand and its size.
+SEVERAL = """
+d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: length(p) >= 20) AS a FROM documents),
+e AS (SELECT doc_id, list_reduce(list_transform(a, lambda p: {'size': length(p)::BIGINT, 'now': [p], 'past': []::VARCHAR[][]}), lambda s, x: CASE WHEN s.size + x.size > 600 THEN {'size': x.size, 'now': x.now, 'past': list_append(s.past, s.now)} ELSE {'size': s.size + x.size, 'now': list_concat(s.now, x.now), 'past': s.past} END) AS s FROM d WHERE len(a) > 0),
+c AS (SELECT doc_id, list_filter(list_transform(list_append(s.past, s.now), lambda g: array_to_string(g, ' ')), lambda t: length(t) >= 50) AS c FROM e)"""
+
+
+@query(f"WITH {SEVERAL} SELECT doc_id, unnest(generate_series(1, len(c))) AS n, sha256(unnest(c)) AS text FROM c")
+def x4_several_chunks(t):
+    """X4 with every line a paragraph and a limit of 600 characters: most documents come to several chunks."""
+    found = segment.paragraph_chunks(t("documents"), "doc_id", F.regexp_replace("text", "\n", "\n\n"), 600)
+    return found.select("doc_id", "n", F.sha2("text", 256).alias("text"))
