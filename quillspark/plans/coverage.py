@@ -182,10 +182,11 @@ def s12_scorer(t):
     return score.rescore(pairs, "query", "text", lambda frame: (frame["text"].str.len() / 1000).round(6)).select("item_id", "score")
 
 
-@query("SELECT * FROM (VALUES ('block_before', 'True'), ('candidates', '7'), ('full', '0.8'), ('partial', '0.35'), ('per_document', '3'), ('per_query', '10')) v(name, value)")
+@query(f"WITH {registered.ALL} SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 7")
 def s13_options(t):
-    options = Options.read({"candidates": "7", "full": "0.8", "block_before": "true", "unknown": "x"})
-    return t("region").sparkSession.createDataFrame([(k, str(v)) for k, v in vars(options).items()], "name string, value string")
+    """The depth of a search from an environment's text; names that aren't options are passed over."""
+    options = Options.read({"candidates": " 7", "full": "0.8", "block_before": "true", "unknown": "x"})
+    return registered.top(t, options.candidates)
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name AS name, n_regionkey::VARCHAR AS id FROM nation")
@@ -226,21 +227,19 @@ def k8_banners(t):
     return sinks.banner_text(t("conversations"), "conv_id", "role", "text", "turn")
 
 
-@query("SELECT '<View><Text name=\"passage\" value=\"$passage\" /><Choices name=\"status\" toName=\"passage\"><Choice value=\"A &amp; B\" /><Choice value=\"&lt;none&gt;\" /></Choices><TextArea name=\"comment\" toName=\"passage\" /></View>' AS form")
+CHOICE = "'<Choice value=\"' || replace(replace(replace(n_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '\" />'"
+
+
+@query(f"SELECT r_regionkey::BIGINT AS r_regionkey, '<View><Text name=\"passage\" value=\"$passage\" /><Choices name=\"family\" toName=\"passage\">' || string_agg({CHOICE}, '' ORDER BY n_name) || '</Choices><TextArea name=\"comment\" toName=\"passage\" /></View>' AS form FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def k10_label_form(t):
-    form = sinks.label_config({"status": ("Choices", ["A & B", "<none>"]), "comment": ("TextArea", [])}, ["passage"])
-    return t("region").sparkSession.createDataFrame([(form,)], "form string")
-
-
-@query("SELECT 'part-' || v AS file, v <> 2 AS moved FROM (VALUES (0), (1), (2)) x(v)")
-def k12_archive(t):
-    """Files that are there move, one that isn't is passed over."""
-    path, spark = place(t, "k12"), t("region").sparkSession
-    for i in (0, 1):
-        t("region").limit(1).select(F.lit("x").alias("value")).coalesce(1).write.text(f"{path}/part-{i}")
-    moved = sinks.archive(spark, [f"{path}/part-{i}" for i in range(3)], f"{path}/archive")
-    there = [readers.first_existing(spark, [f"{path}/archive/part-{i}"]) is not None and f"{path}/part-{i}" in moved for i in range(3)]
-    return spark.createDataFrame([(f"part-{i}", x) for i, x in enumerate(there)], "file string, moved boolean")
+    """A form a region, its nations (with what XML escapes) the choices."""
+    named = t("nation").groupBy(F.col("n_regionkey").cast("long").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+
+    def forms(frames):
+        for frame in frames:
+            yield frame.assign(form=[sinks.label_config({"family": ("Choices", list(n)), "comment": ("TextArea", [])}, ["passage"]) for n in frame["names"]])[["r_regionkey", "form"]]
+
+    return named.mapInPandas(forms, "r_regionkey long, form string")
 
 
 # Column functions.

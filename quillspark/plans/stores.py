@@ -1,10 +1,12 @@
-"""Queries of Word files, resumable model runs and keyed tables, with DuckDB SQL."""
+"""Queries of Word files, resumable model runs, keyed tables and cosine search with bounds, with DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import retrieve
 from quillspark.plans.coverage import place, query
+from quillspark.plans.queries import COSINE
 from quillspark.sources import docx, keyed, sinks
 from quillspark.streaming import model_runs
 from quillspark.streaming.model_runs import Model
@@ -87,7 +89,7 @@ def k12_kept_versions(t):
 
 
 @query("SELECT s_suppkey::BIGINT AS s_suppkey, s_suppkey <> max(s_suppkey) OVER (PARTITION BY s_nationkey) AS moved FROM supplier")
-def k12_superseded_files(t):
+def k12_archive(t):
     """A file a supplier; of each nation's the last stays, the others move to the archive."""
     spark, path = t("supplier").sparkSession, place(t, "k12-files")
     t("supplier").select("s_suppkey", F.col("s_name").alias("value")).write.partitionBy("s_suppkey").text(path)
@@ -97,3 +99,26 @@ def k12_superseded_files(t):
     file = F.input_file_name()
     there = spark.read.option("recursiveFileLookup", True).text(path)
     return there.select(F.regexp_extract(file, r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey"), F.contains(file, F.lit("/archive/")).alias("moved"))
+
+
+def _bounded(t, **how):
+    rows = t("embeddings").withColumn("family", F.col("label").cast("string"))
+    return retrieve.bounded_cosine(rows, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), doc="vec_id", query="query_id", **how)
+
+
+@query(f"WITH {COSINE} SELECT query_id, vec_id, score, rank FROM d WHERE rank <= 20")
+def r2_bounded_topk(t):
+    """R2: the first 20 by way of cells."""
+    return _bounded(t, k=20)
+
+
+@query(f"WITH {COSINE} SELECT query_id, vec_id, score FROM d")
+def j3_bounded_positive(t):
+    """Every positive cosine by way of cells."""
+    return _bounded(t, k=None).drop("rank")
+
+
+@query(f"WITH {COSINE} SELECT query_id, label::VARCHAR AS family, max(score) AS score FROM d JOIN embeddings USING (vec_id) GROUP BY 1, 2")
+def r17_bounded_families(t):
+    """Each family's greatest cosine by way of cells of its own."""
+    return _bounded(t, by="family")
