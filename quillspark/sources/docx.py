@@ -232,31 +232,48 @@ def _body(row) -> str:
 
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 NAMESPACE = W.strip("{}")
-LEVELS = "".join(f'<w:lvl w:ilvl="{i}"><w:numFmt w:val="decimal"/><w:lvlText w:val="%{i + 1}."/></w:lvl>' for i in range(9))
-STYLES = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{i}"><w:name w:val="heading {i}"/><w:pPr><w:outlineLvl w:val="{i - 1}"/></w:pPr></w:style>' for i in range(1, 10))
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml"
-PARTS = {
-    "[Content_Types].xml": f'<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="{TYPE}.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="{TYPE}.styles+xml"/><Override PartName="/word/numbering.xml" ContentType="{TYPE}.numbering+xml"/></Types>',
-    "_rels/.rels": f'<Relationships xmlns="{PACKAGE}/relationships"><Relationship Id="r1" Type="{OFFICE}/officeDocument" Target="word/document.xml"/></Relationships>',
-    "word/_rels/document.xml.rels": f'<Relationships xmlns="{PACKAGE}/relationships"><Relationship Id="r1" Type="{OFFICE}/styles" Target="styles.xml"/><Relationship Id="r2" Type="{OFFICE}/numbering" Target="numbering.xml"/></Relationships>',
-    "word/styles.xml": f'<w:styles xmlns:w="{NAMESPACE}">{STYLES}</w:styles>',
-    "word/numbering.xml": f'<w:numbering xmlns:w="{NAMESPACE}"><w:abstractNum w:abstractNumId="0">{LEVELS}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>',
-}
+
+
+def _parts(levels: set[int], lists: bool) -> dict[str, str]:
+    """The parts of a package beside its body: styles and numbering only where the body uses them."""
+    used = {"styles": bool(levels), "numbering": lists}
+    names = [n for n, u in used.items() if u]
+    types = "".join(f'<Override PartName="/word/{n}.xml" ContentType="{TYPE}.{k}+xml"/>' for n, k in [("document", "document.main"), *((n, n) for n in names)])
+    relation = lambda i, kind, target: f'<Relationship Id="r{i}" Type="{OFFICE}/{kind}" Target="{target}"/>'
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{types}</Types>',
+        "_rels/.rels": f'<Relationships xmlns="{PACKAGE}/relationships">{relation(1, "officeDocument", "word/document.xml")}</Relationships>',
+    }
+    if names:
+        parts["word/_rels/document.xml.rels"] = f'<Relationships xmlns="{PACKAGE}/relationships">{"".join(relation(i, n, f"{n}.xml") for i, n in enumerate(names))}</Relationships>'
+    if levels:
+        styles = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{i}"><w:name w:val="heading {i}"/><w:pPr><w:outlineLvl w:val="{i - 1}"/></w:pPr></w:style>' for i in sorted(levels))
+        parts["word/styles.xml"] = f'<w:styles xmlns:w="{NAMESPACE}">{styles}</w:styles>'
+    if lists:
+        steps = "".join(f'<w:lvl w:ilvl="{i}"><w:numFmt w:val="decimal"/><w:lvlText w:val="%{i + 1}."/></w:lvl>' for i in range(9))
+        parts["word/numbering.xml"] = f'<w:numbering xmlns:w="{NAMESPACE}"><w:abstractNum w:abstractNumId="0">{steps}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>'
+    return parts
 
 
 def document(rows) -> bytes:
     """A Word file of rows with kind, level, text and cells; equal rows give equal bytes."""
-    out = io.BytesIO()
+    out, levels, lists = io.BytesIO(), set(), False
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as made:
-        for name, part in PARTS.items():
-            made.writestr(zipfile.ZipInfo(name), HEAD + part, zipfile.ZIP_DEFLATED)
-        with made.open(zipfile.ZipInfo("word/document.xml"), "w") as body:
-            body.write(f'{HEAD}<w:document xmlns:w="{NAMESPACE}"><w:body>'.encode())
+        body = zipfile.ZipInfo("word/document.xml")
+        body.compress_type = zipfile.ZIP_DEFLATED
+        with made.open(body, "w") as xml:
+            xml.write(f'{HEAD}<w:document xmlns:w="{NAMESPACE}"><w:body>'.encode())
             for row in rows:
-                body.write(_body(row).encode("utf-8", "replace"))
-            body.write(b"<w:sectPr/></w:body></w:document>")
+                xml.write(_body(row).encode("utf-8", "replace"))
+                lists = lists or row["kind"] == "list"
+                if row["kind"] == "heading":
+                    levels.add(min(max(row["level"] or 1, 1), 9))
+            xml.write(b"<w:sectPr/></w:body></w:document>")
+        for name, part in _parts(levels, lists).items():
+            made.writestr(zipfile.ZipInfo(name), HEAD + part, zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 
