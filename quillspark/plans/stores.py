@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import retrieve
 from quillspark.plans.coverage import place, query
 from quillspark.plans.queries import COSINE
-from quillspark.sources import docx, keyed, sinks
+from quillspark.sources import docx, keyed, readers, sinks
 from quillspark.streaming import model_runs
 from quillspark.streaming.model_runs import Model
 
@@ -17,16 +17,15 @@ LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnes
 @query(f"WITH {LINES} SELECT doc_id, ordinal, CASE WHEN ordinal = 0 THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN ordinal = 0 THEN 1 END::BIGINT AS level, line AS text, NULL::VARCHAR AS cells FROM l UNION ALL SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0), 'table', NULL, NULL, 'field,value;source,' || coalesce(source, '') || ';n_chars,' || coalesce(n_chars::VARCHAR, '') FROM documents")
 def s10_word_files(t):
     """A Word file a document (a heading, paragraphs, a table), written and read back."""
-    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "text"))
-    first = F.col("ordinal") == 0
-    none = F.lit(None).cast("array<array<string>>")
-    body = lines.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.when(first, "heading").otherwise("paragraph").alias("kind"), F.when(first, 1).alias("level"), "text", none.alias("cells"))
+    element = lambda kind, level, text, cells: F.struct(kind.alias("kind"), level.cast("int").alias("level"), text.cast("string").alias("text"), cells.cast("array<array<string>>").alias("cells"))
+    none = F.lit(None)
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: element(F.when(i == 0, "heading").otherwise("paragraph"), F.when(i == 0, 1), x, none))
     pair = lambda name, value: F.array(F.lit(name), value)
     grid = F.array(pair("field", F.lit("value")), pair("source", F.col("source")), pair("n_chars", F.col("n_chars").cast("string")))
-    tables = t("documents").select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("ordinal"), F.lit("table").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("text"), grid.alias("cells"))
+    body = F.concat(F.coalesce(lines, F.array()), F.array(element(F.lit("table"), none, none, grid)))
     path = place(t, "s10-word")
-    docx.write(body.unionByName(tables).withColumn("file", docx.file_name(F.col("doc_id"))), path)
-    found = docx.sound(docx.scan(body.sparkSession, path))
+    docx.write(readers.spread(t("documents")).select(docx.file_name(F.col("doc_id")).alias("file"), body.alias("elements")), path)
+    found = docx.sound(docx.scan(t("documents").sparkSession, path))
     flat = F.array_join(F.transform("cells", lambda row: F.array_join(row, ",")), ";")
     return found.select(F.regexp_extract("file", r"^d(\d+)\.docx$", 1).cast("long").alias("doc_id"), "ordinal", "kind", F.col("level").cast("long").alias("level"), "text", flat.alias("cells"))
 

@@ -282,15 +282,17 @@ class Written(WriterCommitMessage):
 
 
 class DocxWriter(DataSourceWriter):
-    """Rows sorted by file within partitions, a file in one partition. A file is moved into place whole; a repeated task writes the same."""
+    """Rows sorted by file within partitions, a file in one partition; or a row a file with its elements in an array.
+    A file is moved into place whole; a repeated task writes the same."""
 
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, whole: bool):
+        self.path, self.whole = options["path"], whole
 
     def write(self, iterator):
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
-        for file, rows in groupby(iterator, key=lambda r: r["file"]):
+        files = ((r["file"], r["elements"] or []) for r in iterator) if self.whole else groupby(iterator, key=lambda r: r["file"])
+        for file, rows in files:
             if file is None:
                 raise ValueError("a row has no file")
             part = f"{root}/_{uuid.uuid4().hex}.part"
@@ -318,7 +320,7 @@ class Docx(DataSource):
         return DocxReader(self.options)
 
     def writer(self, schema, overwrite):
-        return DocxWriter(self.options)
+        return DocxWriter(self.options, "elements" in schema.names)
 
 
 def scan(spark: SparkSession, path: str, group_bytes: int = 16 << 20) -> DataFrame:
@@ -333,12 +335,17 @@ def file_name(key: Column) -> Column:
 
 
 def write(rows: DataFrame, path: str) -> None:
-    """Elements (file, ordinal, kind, level, text, cells) as a Word file for each `file`, in order of the ordinals. Files that are there already are replaced.
-    Characters that XML can't hold become U+FFFD. A document is written by one task."""
+    """Elements (file, ordinal, kind, level, text, cells) as a Word file for each `file`, in order of the ordinals; or a row a file
+    (file, elements: an array of kind, level, text, cells), which needs no shuffle.
+
+    Files that are there already are replaced. Characters that XML can't hold become U+FFFD. A document is written by one task.
+    """
     rows.sparkSession.dataSource.register(Docx)
-    columns = [F.col(c) for c in ("file", "ordinal", "kind", "level", "text", "cells")]
-    ordered = rows.select(*columns).repartition("file").sortWithinPartitions("file", "ordinal")
-    ordered.write.format("docx").option("path", path).mode("append").save()
+    if "elements" in rows.columns:
+        ready = rows.select("file", "elements")
+    else:
+        ready = rows.select("file", "ordinal", "kind", "level", "text", "cells").repartition("file").sortWithinPartitions("file", "ordinal")
+    ready.write.format("docx").option("path", path).mode("append").save()
 
 
 def sound(rows: DataFrame) -> DataFrame:

@@ -87,6 +87,12 @@ def test_scan_and_write(spark, tmp_path):
     docx.write(rows.withColumn("file", docx.file_name(F.col("k"))), at)
     folder = tmp_path / "made"
     assert len(list(folder.iterdir())) == 30 and not [p for p in tmp_path.rglob("*") if p.is_file() and p.parent != folder]
+    item = F.struct("ordinal", "kind", "level", "text", "cells")
+    whole = rows.groupBy("k").agg(F.array_sort(F.collect_list(item)).alias("elements")).withColumn("file", docx.file_name(F.col("k")))
+    docx.write(whole.unionByName(whole.limit(1).withColumns({"file": F.lit("none.docx"), "elements": F.lit(None).cast(whole.schema["elements"].dataType)})), f"file://{tmp_path}/whole")
+    bytes_of = lambda at: {p.name: p.read_bytes() for p in at.iterdir()}
+    again = bytes_of(tmp_path / "whole")
+    assert docx.elements(again.pop("none.docx")) == [] and again == bytes_of(folder)
     (folder / "broken.docx").write_bytes(b"no zip")
     (folder / "cut.docx").write_bytes(next(folder.glob("d*")).read_bytes()[:-100])
     (folder / "empty.DOCX").write_bytes(b"")
