@@ -7,13 +7,16 @@ has already can't add to its result. The pivots come from a sample and steer the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.meeting import batch, matrix, meet, pieces
 from quillspark.sources.sinks import materialize
 
 #: More than rounding to six places and double precision can move a score.
@@ -163,37 +166,30 @@ def search(index: Cells, queries: DataFrame, *, query: str, out: str, vector: st
     kinds = index.rows.schema
     result = f"`{query}` {queries.schema[query].dataType.simpleString()}, _of int, `{out}` {(kinds['_by'] if by else kinds['_id']).dataType.simpleString()}, score double"
 
-    def multiply(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = {query: [], "_of": [], out: [], "score": []}
-        if len(rows) and len(asked):
-            rows = rows.sort_values("_id", kind="stable")
-            x, ids = np.stack(rows["_v"].to_numpy()), rows["_id"].to_numpy()
-            size, group = np.sqrt((x * x).sum(axis=1)), int(of[rows["_cell"].iat[0]])
-            for first in range(0, len(asked), 256):
-                part = asked.iloc[first : first + 256]
-                y, names = np.stack(part["_v"].to_numpy()), part["_q"].to_numpy()
-                score = (y @ x.T) / (np.sqrt((y * y).sum(axis=1))[:, None] * size[None, :] + epsilon)
-                score = np.floor(score * 1e6 + 0.5) / 1e6
-                score[names[:, None] == ids[None, :]] = -np.inf
-                if wanted is not None and wanted < score.shape[1]:  # ties go to the smaller id, which stands first
-                    edge = np.partition(score, -wanted, axis=1)[:, -wanted][:, None]
-                    spare = wanted - (score > edge).sum(axis=1)
-                    tied = score == edge
-                    score[(score < edge) | (tied & (np.cumsum(tied, axis=1) > spare[:, None]))] = -np.inf
-                i, j = np.nonzero(score > 0)
-                found[query].append(names[i])
-                found["_of"].append(np.full(len(i), group))
-                found[out].append(rows["_by"].to_numpy()[j] if by else ids[j])
-                found["score"].append(score[i, j])
-        return pd.DataFrame({c: pd.Series(np.concatenate(p) if p else [], dtype="float64" if c == "score" else object) for c, p in found.items()})
+    def multiply(rows: pa.Table, asked: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.sort_by("_id")
+        x, ids = matrix(rows["_v"]), rows["_id"].to_numpy()
+        size, group = np.sqrt((x * x).sum(axis=1)), int(of[rows["_cell_"][0].as_py()])
+        for part in pieces(asked, len(x)):
+            y, names = matrix(part["_v"]), part["_q"].to_numpy()
+            score = (y @ x.T) / (np.sqrt((y * y).sum(axis=1))[:, None] * size[None, :] + epsilon)
+            score = np.floor(score * 1e6 + 0.5) / 1e6
+            score[names[:, None] == ids[None, :]] = -np.inf
+            if wanted is not None and wanted < score.shape[1]:  # ties go to the smaller id, which stands first
+                edge = np.partition(score, -wanted, axis=1)[:, -wanted][:, None]
+                spare = wanted - (score > edge).sum(axis=1)
+                tied = score == edge
+                score[(score < edge) | (tied & (np.cumsum(tied, axis=1) > spare[:, None]))] = -np.inf
+            i, j = np.nonzero(score > 0)
+            yield batch({query: part["_q"].take(pa.array(i)), "_of": pa.array(np.full(len(i), group, np.int32)), out: rows["_by" if by else "_id"].take(pa.array(j)), "score": pa.array(score[i, j])})
 
     def compare(pairs: DataFrame) -> DataFrame:
         asked = pairs.join(F.broadcast(sizes), "_cell").select("_q", "_v", "_part", "_cell", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
         met = pairs.select(F.col("_cell").alias("_met"), F.col("_part").alias("_of_part")).distinct()
         # A cell's rows go once to each part of the queries that asks for it.
         held = index.rows.join(met, F.col("_cell") == F.col("_met")).select(*index.rows.columns, F.col("_of_part").alias("_part"))
-        keys = ("_cell", "_salt", "_part")
-        return held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(multiply, result)
+        keys = ["_cell", "_salt", "_part"]
+        return meet(held.withColumn("_cell_", F.col("_cell")), asked, keys, multiply, result)
 
     begun = materialize(asks.mapInPandas(begin, asks.select("*", F.array().cast("array<int>").alias("_first")).schema), "begun")
     found = None
