@@ -83,6 +83,29 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, columns: list[str]) ->
     return b.join(c, F.col(f"b.{key}") == F.col(f"c.{key}"), "full_outer").select(F.coalesce(f"b.{key}", f"c.{key}").alias(key), *(F.coalesce(f"c.{x}", f"b.{x}").alias(x) for x in columns))
 
 
+def met_in_blocks(first: DataFrame, second: DataFrame, key: str, many: int = 4_096, few: int = 256) -> DataFrame:
+    """The rows of an equality join of (key, x) and (key, y) where few keys have very many rows on both sides: (key, x, y).
+
+    Rows of a key are dealt to blocks by their value, and blocks meet; so a key is many tasks' work, what is shuffled is
+    blocks (the second side once for every `many` rows of the first), and a block of the second comes out again and again,
+    which a compressed file holds in a fraction of the rows' size. Rows with a null key meet none.
+    """
+    x, y = (next(c for c in rows.columns if c != key) for rows in (first, second))
+
+    def blocks(rows, value, size, name):
+        dealt = rows.join(rows.groupBy(key).agg(F.ceil(F.count("*") / size).alias("_n")), key).withColumn(name, F.pmod(F.xxhash64(value), F.col("_n")))
+        # Structs, as a list of values would lose the nulls.
+        return dealt.groupBy(key, "_n", name).agg(F.collect_list(F.struct(value)).alias(f"_{value}"))
+
+    left = materialize(blocks(first.join(second.select(key).distinct(), key, "left_semi"), x, many, "_a"), "blocks")
+    right = materialize(blocks(second.join(left.select(key).distinct(), key, "left_semi"), y, few, "_b"), "blocks")
+    times = left.groupBy(key).agg(F.first("_n").alias("_times"))
+    sent = right.join(times, key).withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
+    tasks = min(2_000, max(first.sparkSession.sparkContext.defaultParallelism, left.count()))
+    met = sent.select(key, "_a", f"_{y}").repartition(tasks, key, "_a").join(left.select(key, "_a", f"_{x}").repartition(tasks, key, "_a").hint("shuffle_hash"), [key, "_a"])
+    return met.select(key, F.explode(f"_{x}").alias("_x"), f"_{y}").select(key, F.col(f"_x.{x}").alias(x), F.explode(f"_{y}").alias("_y")).select(key, x, F.col(f"_y.{y}").alias(y))
+
+
 def overlaps(items: DataFrame, owner: str, item: str, near: float = 0.9) -> DataFrame:
     """Pairs of owners with shared items: exact if the sets are equal, near from 0.9 of the smaller one.
 
