@@ -122,26 +122,33 @@ def overlaps(items: DataFrame, owner: str, item: str, near: float = 0.9) -> Data
 def near_duplicates(items: DataFrame, owner: str, item: str, near: int = 90) -> DataFrame:
     """(a, b, shared, na, nb, kind) of the pairs of owners that share `near` percent of the smaller set's items: exact or near.
 
-    Items are ordered by how many owners have them, rarest first. A smaller set of n items that shares need = near percent of
-    them, rounded up, has one shared item among its first n - need + 1: only those look for larger sets, so an item that all
-    owners have makes no candidates unless a set has hardly another. Candidates' items are then counted exactly.
-    Null owners and items are none.
+    Owners with equal sets are one class; classes meet, and pairs of owners are made of the classes' pairs at the end. Items are
+    ordered by how many owners have them, rarest first. A smaller set of n items that shares need = near percent of them, rounded
+    up, has one shared item among its first n - need + 1: only those look for larger sets, so an item that all owners have
+    makes no candidates unless a set has hardly another. Candidates' items are then counted exactly, as arrays of numbers:
+    a candidate is a row with its smaller set, never a row for each of its items. Null owners and items are none.
     """
     sets = materialize(items.select(F.col(owner).alias("o"), F.col(item).alias("i")).dropna().distinct(), "sets")
-    frequency = sets.groupBy("i").agg(F.count("*").alias("df"))
-    sized = sets.join(sets.groupBy("o").agg(F.count("*").alias("n")), "o")
-    placed = sized.join(frequency, "i").withColumn("place", F.row_number().over(Window.partitionBy("o").orderBy("df", "i")))
+    frequency = materialize(sets.groupBy("i").agg(F.count("*").alias("df")).withColumn("c", F.monotonically_increasing_id()), "items")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "c"))), lambda x: x["c"])
+    coded = materialize(sets.join(frequency, "i").groupBy("o").agg(ordered.alias("items")), "coded")
+    classes = materialize(coded.groupBy("items").agg(F.min("o").alias("r"), F.count("*").alias("m")).withColumn("n", F.size("items").cast("long")), "classes")
+    members = materialize(coded.join(classes, "items").select("r", "o", "n", "m"), "members")
     need = F.floor((F.col("n") * near + 99) / 100)
-    probes = placed.where(F.col("place") <= F.col("n") - need + 1).select("i", F.col("o").alias("a"), F.col("n").alias("na"))
-    larger = sized.select("i", F.col("o").alias("b"), F.col("n").alias("nb"))
-    found = probes.join(larger, "i").where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    probes = classes.select(F.explode(F.slice("items", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("c"), F.col("r").alias("a"), F.col("n").alias("na"))
+    larger = classes.select(F.explode("items").alias("c"), F.col("r").alias("b"), F.col("n").alias("nb"))
+    found = probes.join(larger, "c").where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     found = materialize(found.select("a", "b", "na", "nb").distinct(), "candidates")
-    counted = found.join(sets.select(F.col("o").alias("a"), "i"), "a").join(sets.select(F.col("o").alias("b"), "i"), ["b", "i"])
-    shared = counted.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") * 100 >= F.col("na") * near)
-    kind = F.when((F.col("shared") == F.col("na")) & (F.col("na") == F.col("nb")), "exact").otherwise("near")
-    first = F.col("a") < F.col("b")
+    held = found.join(classes.select(F.col("r").alias("a"), F.col("items").alias("_a")), "a").join(classes.select(F.col("r").alias("b"), F.col("items").alias("_b")), "b")
+    shared = held.select("a", "b", "na", "nb", F.size(F.array_intersect("_a", "_b")).cast("long").alias("shared")).where(F.col("shared") * 100 >= F.col("na") * near)
+    own = lambda side: members.select(F.col("r").alias(side), F.col("o").alias(f"_{side}"))
+    pairs = materialize(shared, "near").join(own("a"), "a").join(own("b"), "b")
+    first = F.col("_a") < F.col("_b")
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return shared.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), "shared", pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), kind.alias("kind"))
+    apart = pairs.select(pick("_a", "_b").alias("a"), pick("_b", "_a").alias("b"), "shared", pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), F.lit("near").alias("kind"))
+    copies = members.where("m > 1")
+    same = copies.select("r", F.col("o").alias("a"), "n").join(copies.select("r", F.col("o").alias("b")), "r").where("a < b")
+    return apart.unionByName(same.select("a", "b", F.col("n").alias("shared"), F.col("n").alias("na"), F.col("n").alias("nb"), F.lit("exact").alias("kind")))
 
 
 def training_pairs(labels: DataFrame, queries: DataFrame, passages: DataFrame, scores: dict[str, float]) -> DataFrame:
