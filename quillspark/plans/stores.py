@@ -91,12 +91,12 @@ def k12_kept_versions(t):
 def k12_archive(t):
     """A file a supplier; of each nation's the last stays, the others move to the archive."""
     spark, path = t("supplier").sparkSession, place(t, "k12-files")
-    t("supplier").select("s_suppkey", F.col("s_name").alias("value")).write.partitionBy("s_suppkey").text(path)
+    readers.spread(t("supplier").select("s_suppkey", F.col("s_name").alias("value"))).write.partitionBy("s_suppkey").text(path)
     newest = t("supplier").groupBy("s_nationkey").agg(F.max("s_suppkey").alias("s_suppkey"))
     old = t("supplier").join(newest, "s_suppkey", "left_anti").select(F.concat(F.lit(f"{path}/s_suppkey="), F.col("s_suppkey").cast("string")))
     sinks.archive(spark, [r[0] for r in old.toLocalIterator()], f"{path}/archive")
     file = F.input_file_name()
-    there = spark.read.option("recursiveFileLookup", True).text(path)
+    there = readers.all_files(spark, path)
     return there.select(F.regexp_extract(file, r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey"), F.contains(file, F.lit("/archive/")).alias("moved"))
 
 
