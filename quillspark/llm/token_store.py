@@ -298,11 +298,12 @@ def find_rows(batches, uri: str, dtype: str = "<u4"):
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], names=["doc_id", "ids"])
 
 
-def find_tokens(spark: SparkSession, uri: str, shards: list[tuple[int, int, int]], wanted: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+def find_tokens(spark: SparkSession, uri: str, shards: list[tuple[int, int, int]], wanted: DataFrame, *, id_col: str = "doc_id", most: int = 1_000_000) -> DataFrame:
     """(doc_id, ids) of every document whose identifier is wanted: filter, index and one block a hit, no scan of the files.
 
     Wanted identifiers are dealt to the files whose ranges hold them, by each file's greatest identifier (16 bytes a file go
-    to the tasks), and looked up there in order. No identifier passes the driver. Null and repeated ones count for nothing.
+    to the tasks), and looked up there in order, those of one file in parts of about `most` at the most. No identifier passes
+    the driver. Null and repeated ones count for nothing.
     """
     ids = wanted.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
     if not shards:
@@ -312,7 +313,8 @@ def find_tokens(spark: SparkSession, uri: str, shards: list[tuple[int, int, int]
     ends = [(n, last) for n, last in ends if last is not None]  # files of null identifiers only
     bounds = np.array([n for n, _ in ends], np.int32), np.array([last for _, last in ends], np.int64)
     dealt = ids.mapInArrow(task("token_store:route_rows", *bounds), "shard int, doc_id long")
-    ordered = dealt.repartition("shard").sortWithinPartitions("shard", "doc_id")
+    parts = max(1, -(-ids.count() // most))
+    ordered = dealt.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).sortWithinPartitions("shard", "doc_id")
     return ordered.mapInArrow(task("token_store:find_rows", uri), "doc_id long, ids binary")
 
 
