@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import keyed_hash
-from quillspark.sources.sinks import materialize
+from quillspark.sources.sinks import materialize, small
 
 
 def vote(rows: DataFrame, key: list[str], label: str, ranks: dict[str, int], ordinal: str) -> DataFrame:
@@ -83,27 +83,36 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, columns: list[str]) ->
     return b.join(c, F.col(f"b.{key}") == F.col(f"c.{key}"), "full_outer").select(F.coalesce(f"b.{key}", f"c.{key}").alias(key), *(F.coalesce(f"c.{x}", f"b.{x}").alias(x) for x in columns))
 
 
-def met_in_blocks(first: DataFrame, second: DataFrame, key: str, many: int = 4_096, few: int = 256) -> DataFrame:
+def met_in_blocks(first: DataFrame, second: DataFrame, key: str, few: int = 16, many: int = 256, stretch: int = 256) -> DataFrame:
     """The rows of an equality join of (key, x) and (key, y) where few keys have very many rows on both sides: (key, x, y).
 
-    Rows of a key are dealt to blocks by their value, and blocks meet; so a key is many tasks' work, what is shuffled is
-    blocks (the second side once for every `many` rows of the first), and a block of the second comes out again and again,
-    which a compressed file holds in a fraction of the rows' size. Rows with a null key meet none.
+    Rows of a key are dealt by their value to blocks, of `few` rows on the first side and of `many` on the second, and blocks meet.
+    A cell is a block of the second with up to `stretch` blocks of the first; cells are what tasks get, so a key is many tasks' work.
+    Two blocks that meet make about few * many rows, as Spark holds what one row of a join is exploded to. A sorted join
+    has the rows of a cell in sequence: a block of the second comes out again and again, which a compressed file holds in a
+    fraction of the rows' size. Copies of a row are dealt one by one. Rows with a null key meet none.
     """
     x, y = (next(c for c in rows.columns if c != key) for rows in (first, second))
-
-    def blocks(rows, value, size, name):
-        dealt = rows.join(rows.groupBy(key).agg(F.ceil(F.count("*") / size).alias("_n")), key).withColumn(name, F.pmod(F.xxhash64(value), F.col("_n")))
+    each = [rows.groupBy(key).agg(F.ceil(F.count("*") / size).alias(n)) for rows, size, n in ((first, few, "_an"), (second, many, "_bn"))]
+    sizes = materialize(each[0].join(each[1], key).withColumn("_sn", F.ceil(F.col("_an") / stretch)), "sizes")
+    cells = sizes.agg(F.sum(F.col("_sn") * F.col("_bn"))).first()[0] or 0
+    tasks = min(2_000, max(first.sparkSession.sparkContext.defaultParallelism, cells // 4))
+    sizes = small(sizes)
+
+    def blocks(rows, value, n, name):
+        copies = rows.groupBy(key, value).agg(F.count("*").alias("_n")).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+        dealt = copies.join(sizes, key).withColumn(name, F.pmod(F.xxhash64(value, "_n"), F.col(n)))
         # Structs, as a list of values would lose the nulls.
-        return dealt.groupBy(key, "_n", name).agg(F.collect_list(F.struct(value)).alias(f"_{value}"))
-
-    left = materialize(blocks(first.join(second.select(key).distinct(), key, "left_semi"), x, many, "_a"), "blocks")
-    right = materialize(blocks(second.join(left.select(key).distinct(), key, "left_semi"), y, few, "_b"), "blocks")
-    times = left.groupBy(key).agg(F.first("_n").alias("_times"))
-    sent = right.join(times, key).withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
-    tasks = min(2_000, max(first.sparkSession.sparkContext.defaultParallelism, left.count()))
-    met = sent.select(key, "_a", f"_{y}").repartition(tasks, key, "_a").join(left.select(key, "_a", f"_{x}").repartition(tasks, key, "_a").hint("shuffle_hash"), [key, "_a"])
-    return met.select(key, F.explode(f"_{x}").alias("_x"), f"_{y}").select(key, F.col(f"_x.{x}").alias(x), F.explode(f"_{y}").alias("_y")).select(key, x, F.col(f"_y.{y}").alias(y))
+        return dealt.groupBy(key, "_bn", "_sn", name).agg(F.collect_list(F.struct(value)).alias("_rows")).withColumn("_rows", F.col(f"_rows.{value}"))
+
+    def numbers(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    left = blocks(first, x, "_an", "_a").select(key, (F.col("_a") % F.col("_sn")).alias("_s"), numbers("_bn").alias("_b"), F.col("_rows").alias("_x"))
+    right = blocks(second, y, "_bn", "_b").select(key, numbers("_sn").alias("_s"), "_b", F.col("_rows").alias("_y"))
+    cell = [key, "_s", "_b"]
+    met = left.repartition(tasks, *cell).join(right.repartition(tasks, *cell).hint("merge"), cell)
+    return met.select(key, F.explode("_x").alias(x), "_y").select(key, x, F.explode("_y").alias(y))
 
 
 def overlaps(items: DataFrame, owner: str, item: str, near: float = 0.9) -> DataFrame:
